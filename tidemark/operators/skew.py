@@ -7,16 +7,12 @@ the list of them, however large N is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Rows of one key that one task still sorts comfortably.
 HOT_ROWS = 4_000_000
 
-# How many tasks share a hot key.
-SALTS = 256
-
 # Rows of a side table that may be broadcast after they have been counted.
 BROADCAST_ROWS = 100_000
 
@@ -32,67 +28,33 @@ def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def row_salt(df: DataFrame, salts: int) -> Column:
-    """A salt that depends only on the row's content, so a re-run task repeats it."""
-    hashable = [
-        f.name for f in df.schema.fields if not _contains_unhashable(f.dataType)
-    ]
-    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), F.lit(salts)).cast("int")
-
-
-def _contains_unhashable(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.ArrayType):
-        return _contains_unhashable(dtype.elementType)
-    if isinstance(dtype, T.StructType):
-        return any(_contains_unhashable(f.dataType) for f in dtype.fields)
-    return isinstance(dtype, (T.MapType, T.VariantType))
-
-
 def lookup_join(
-    rows: DataFrame,
-    table: DataFrame,
-    key: str,
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    rows: DataFrame, table: DataFrame, key: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Left join of many rows with a table that has one row per key.
 
-    Rows of hot keys and rows with a null key are spread over ``salts`` tasks by
-    content hash; only the table rows of hot keys are repeated, once per salt.
+    Rows of hot keys never enter the shuffle: the table rows of hot keys are few
+    (see the module's bound) and are broadcast to them. Rows with a null key
+    match nothing and stay on that branch too. All other rows join by shuffle.
     """
-    hot = F.broadcast(hot_keys(rows, key, hot_rows).withColumn("__hot", F.lit(True)))
-    spread = row_salt(rows, salts)
-    left = rows.join(hot, key, "left").withColumn(
-        "__salt", F.when(F.col("__hot") | F.col(key).isNull(), spread).otherwise(F.lit(0))
-    )
-    right = table.join(hot, key, "left").withColumn(
-        "__salt",
-        F.explode(
-            F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
-    )
-    joined = left.drop("__hot").join(right.drop("__hot"), [key, "__salt"], "left")
+    hot = hot_keys(rows, key, hot_rows)
     ordered = rows.columns + [c for c in table.columns if c != key]
-    return joined.select(*ordered)
+    hot_table = table.join(F.broadcast(hot), key, "left_semi")
+    flagged = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
+    stays = F.col("__hot").isNotNull() | F.col(key).isNull()
+    near = flagged.filter(stays).join(F.broadcast(hot_table), key, "left")
+    far = flagged.filter(~stays).join(table, key, "left")
+    return near.select(*ordered).unionByName(far.select(*ordered))
 
 
 def side_table_join(
-    rows: DataFrame,
-    side: DataFrame,
-    key: str,
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    rows: DataFrame, side: DataFrame, key: str, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Left join with a metadata table that is expected to be small.
+    """Left join with a metadata table, one row per key, expected to be small.
 
     The side is counted first (the count stops at the bound). Within the bound
-    it is broadcast; beyond it, the join shuffles with every side row repeated
-    per salt, so that a key holding most rows still spreads.
+    it is broadcast; beyond it the skew-safe shuffle join takes over.
     """
     if side.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(side), key, "left")
-    left = rows.withColumn("__salt", row_salt(rows, salts))
-    right = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "__salt"], "left").drop("__salt")
+    return lookup_join(rows, side, key)
