@@ -133,8 +133,6 @@ def lineage(models: DataFrame, specs: DataFrame) -> DataFrame:
 def active_deployments(log: DataFrame) -> DataFrame:
     """Deployments in force: the newest production of each model supersedes earlier
     ones; canaries and shadows stay until retired."""
-    if "retired_at" in log.columns:
-        log = log.filter(F.col("retired_at").isNull())
     rest = [c for c in log.columns if c != "model_name"]
     production = (
         log.filter(F.col("mode") == PRODUCTION)
@@ -143,7 +141,10 @@ def active_deployments(log: DataFrame) -> DataFrame:
         .select("model_name", "__row.*")
         .select(*log.columns)
     )
-    return production.unionByName(log.filter(F.col("mode").isin(CANARY, SHADOW)))
+    active = production.unionByName(log.filter(F.col("mode").isin(CANARY, SHADOW)))
+    if "retired_at" in log.columns:
+        active = active.filter(F.col("retired_at").isNull())
+    return active
 
 
 def deployment_intervals(log: DataFrame) -> DataFrame:

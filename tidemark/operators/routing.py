@@ -38,7 +38,7 @@ def active_at(
     packed = _packed(deployment_intervals(deployment_log)).withColumnRenamed(
         "model_name", model_col
     )
-    joined = side_table_join(requests, packed, model_col)
+    joined = side_table_join(requests, packed, model_col, size_of=deployment_log)
 
     def in_force(d: Column) -> Column:
         started = d["created_at"] <= F.col(request_ts)
@@ -51,10 +51,9 @@ def active_now(
     requests: DataFrame, deployment_log: DataFrame, model_col: str = "model_name"
 ) -> DataFrame:
     """Requests with ``deployments``: those in force at the end of the log."""
-    packed = _packed(active_deployments(deployment_log)).withColumnRenamed(
-        "model_name", model_col
-    )
-    return side_table_join(requests, packed, model_col)
+    active = active_deployments(deployment_log)
+    packed = _packed(active).withColumnRenamed("model_name", model_col)
+    return side_table_join(requests, packed, model_col, size_of=active)
 
 
 def assign(

@@ -66,37 +66,39 @@ def array_predictor(predict: Callable[[np.ndarray], np.ndarray]) -> Predictor:
 def score(
     routed: DataFrame,
     predictors: Mapping[tuple[str, int], Predictor],
-    order: list[str],
+    order: list[str] | Mapping[tuple[str, int], list[str]],
     model_col: str = "model_name",
     overrides: str | None = None,
 ) -> DataFrame:
     """Score each request with its assigned version and with every shadow.
 
+    ``order`` is the feature order of all versions, or one list per version.
+
     Adds ``prediction``, ``score_error`` and ``shadow_predictions``, a map from
     ``v<version>`` to the shadow's value. A shadow that is not loaded or fails
     (null) has no entry and never affects the request.
     """
-    rows = routed.withColumn("__vector", feature_vector(order, overrides))
-
-    def only(condition: Column) -> Column:
-        return F.when(condition, F.col("__vector"))
-
+    orders = order if isinstance(order, Mapping) else dict.fromkeys(predictors, order)
+    vectors = {
+        version: feature_vector(list(names), overrides) for version, names in orders.items()
+    }
     primary = F.lit(None).cast("double")
     loaded = F.lit(False)
     shadows = []
     for (model, version), predict in predictors.items():
         is_model = F.col(model_col) == model
         mine = is_model & (F.col("model_version") == version)
-        value = predict(only(mine)).cast("double")
+        vector = vectors[model, version]
+        value = predict(F.when(mine, vector)).cast("double")
         primary = F.when(mine, value).otherwise(primary)
         loaded = loaded | mine
         watched = is_model & F.array_contains("shadow_versions", F.lit(version))
-        shadow = predict(only(watched)).cast("double")
+        shadow = predict(F.when(watched, vector)).cast("double")
         shadows.append(
             F.struct(F.lit(f"v{version}").alias("key"), F.when(watched, shadow).alias("value"))
         )
     succeeded = F.filter(F.array(*shadows), lambda s: s["value"].isNotNull())
-    return rows.withColumns(
+    return routed.withColumns(
         {
             "prediction": primary,
             "score_error": F.when(
@@ -105,7 +107,7 @@ def score(
             ),
             "shadow_predictions": F.map_from_entries(succeeded),
         }
-    ).drop("__vector")
+    )
 
 
 def train_gbt(

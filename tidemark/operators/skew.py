@@ -48,13 +48,19 @@ def lookup_join(
 
 
 def side_table_join(
-    rows: DataFrame, side: DataFrame, key: str, max_rows: int = BROADCAST_ROWS
+    rows: DataFrame,
+    side: DataFrame,
+    key: str,
+    size_of: DataFrame | None = None,
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Left join with a metadata table, one row per key, expected to be small.
 
-    The side is counted first (the count stops at the bound). Within the bound
-    it is broadcast; beyond it the skew-safe shuffle join takes over.
+    The side (or ``size_of``, the table it was packed from) is counted first; the
+    count stops at the bound. Within the bound the side is broadcast; beyond it
+    the skew-safe shuffle join takes over.
     """
-    if side.limit(max_rows + 1).count() <= max_rows:
+    measured = side if size_of is None else size_of
+    if measured.limit(max_rows + 1).count() <= max_rows:
         return rows.join(F.broadcast(side), key, "left")
     return lookup_join(rows, side, key)
