@@ -80,7 +80,9 @@ def assign(
         all_of.isNull() | (F.size(all_of) == 0), F.lit(NO_DEPLOYMENT)
     ).when(F.col("__primary").isNull(), F.lit(NOT_SERVABLE))
     empty = F.array().cast("array<int>")
-    shadows = F.transform(of_mode(SHADOW), lambda d: d["model_version"].cast("int"))
+    shadows = F.array_distinct(
+        F.transform(of_mode(SHADOW), lambda d: d["model_version"].cast("int"))
+    )
     return (
         requests.withColumn("bucket", canary_bucket(F.col(model_col), F.col(entity_col)))
         .withColumn("__primary", chosen)

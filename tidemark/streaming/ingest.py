@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.timefns import ntz_to_micros
 from tidemark.operators.transform import (
     Transform,
     accepted,
@@ -22,7 +23,7 @@ from tidemark.operators.transform import (
     ingest_stats,
 )
 from tidemark.sources.offline import write_features
-from tidemark.spec import SEQ, WRITE_TS, FeatureGroup
+from tidemark.spec import EVENT_TS, INGEST_TS, WRITE_TS, FeatureGroup
 from tidemark.streaming import state
 
 # Fixed value: how often a batch is flushed.
@@ -52,7 +53,10 @@ class Ingest:
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = accepted(self.fg, rows)
-            features = good.drop(WRITE_TS).withColumnRenamed(SEQ, "_ingest_ts")
+            arrival = ntz_to_micros(F.col(WRITE_TS)).alias(INGEST_TS)
+            features = good.select(
+                self.fg.entity, EVENT_TS, *self.fg.feature_names, arrival
+            )
             write_features(self.fg, features, self.root, batch=label)
             state.add_writes(self.fg, good, self.state_path, label)
             dead_letters(rows).write.mode("overwrite").parquet(
