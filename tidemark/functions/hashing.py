@@ -18,5 +18,5 @@ def canary_bucket(model: Column, entity: Column) -> Column:
     rest = F.lit(0).cast("bigint")
     for start in range(1, 65, 8):
         chunk = F.conv(F.substring(digest, start, 8), 16, 10).cast("bigint")
-        rest = (rest * F.lit(2**32) + chunk) % F.lit(100)
-    return F.when(text.isNotNull(), rest.cast("int"))
+        rest = (rest * 2**32 + chunk) % 100
+    return rest.cast("int")

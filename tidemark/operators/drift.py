@@ -8,11 +8,14 @@ before they are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import chi_square_tail
-from tidemark.operators.quantiles import ACCURACY, long_form, quantile_edges
+from tidemark.operators.quantiles import Edges, count_cuts, cut_table, fit_edges, long_form
 
 # Alert thresholds and the share added to empty bins.
 PSI_THRESHOLD = 0.25
@@ -23,50 +26,56 @@ MIN_EXPECTED = 5
 _BASELINE, _CURRENT = 0, 1
 
 
-def bin_index(value: Column, edges: Column) -> Column:
-    """0-based bin of a value; -1 outside the edges. The last bin is closed."""
-    bins = F.size(edges) - 1
-    below = F.size(F.filter(edges, lambda e: e <= value))
-    inside = value.between(F.element_at(edges, 1), F.element_at(edges, -1))
-    return F.when(inside, F.least(below, bins) - 1).otherwise(F.lit(-1))
-
-
-def _both(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    return baseline.withColumn("side", F.lit(_BASELINE)).unionByName(
-        current.withColumn("side", F.lit(_CURRENT))
+def bin_counts(
+    baseline: DataFrame,
+    current: DataFrame,
+    edges: Mapping[str, Edges],
+    window: str | None = None,
+) -> DataFrame:
+    """(feature, bin, baseline, current) counts; bin -1 is out of range. With
+    ``window``, rows of the baseline have a null window."""
+    by = [window] if window else []
+    no_window = [F.lit(None).cast(current.schema[w].dataType).alias(w) for w in by]
+    here = [F.col(w) for w in by]
+    columns = list(edges)
+    sides = long_form(
+        baseline, columns, (*no_window, F.lit(_BASELINE).alias("side"))
+    ).unionByName(long_form(current, columns, (*here, F.lit(_CURRENT).alias("side"))))
+    cuts = cut_table(
+        baseline,
+        edge={c: e.edges[1:-1] for c, e in edges.items()},
+        end={c: (e.edges[0], e.edges[-1]) for c, e in edges.items()},
     )
-
-
-def _bin_counts(rows: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., feature, bin, baseline, current) counts; bin -1 is out of range."""
-    side = {_BASELINE: "baseline", _CURRENT: "current"}
+    # Bins are closed below, the last one on both sides.
+    outside = (F.col("value") < F.col("end0")) | (F.col("value") > F.col("end1"))
+    index = F.when(outside, -1).otherwise(count_cuts(cuts, "edge", "<="))
     return (
-        rows.join(F.broadcast(edges.select("feature", "edges")), "feature")
-        .withColumn("bin", bin_index(F.col("value"), F.col("edges")))
-        .groupBy(*by, "feature", "bin")
-        .agg(*[F.count_if(F.col("side") == s).alias(name) for s, name in side.items()])
+        sides.join(F.broadcast(cuts), "feature")
+        .groupBy(*by, "feature", index.alias("bin"))
+        .agg(
+            F.count_if(F.col("side") == _BASELINE).alias("baseline"),
+            F.count_if(F.col("side") == _CURRENT).alias("current"),
+        )
     )
 
 
 def histogram(
-    baseline: DataFrame,
-    current: DataFrame,
-    columns: list[str],
-    bins: int = 10,
-    accuracy: int = ACCURACY,
+    baseline: DataFrame, current: DataFrame, columns: list[str], bins: int = 10
 ) -> DataFrame:
     """Counts of both sides per baseline quantile bin, empty bins included."""
-    base = long_form(baseline, columns)
-    edges = quantile_edges(base, bins, accuracy)
-    counts = _bin_counts(_both(base, long_form(current, columns)), edges, [])
-    grid = edges.select(
-        "feature", "edges", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin")
+    edges = fit_edges(baseline, columns, bins)
+    if not edges:
+        raise ValueError("no baseline value in any of the columns")
+    grid = baseline.sparkSession.createDataFrame(
+        [(c, i, e.edges[i], e.edges[i + 1]) for c, e in edges.items() for i in range(e.bins)],
+        "feature string, bin int, low double, high double",
     )
+    counts = bin_counts(baseline, current, edges)
     return grid.join(F.broadcast(counts), ["feature", "bin"], "left").select(
         "feature",
         "bin",
-        F.col("edges")[F.col("bin")].alias("low"),
-        F.col("edges")[F.col("bin") + 1].alias("high"),
+        "low",
+        "high",
         F.coalesce("baseline", F.lit(0)).alias("baseline"),
         F.coalesce("current", F.lit(0)).alias("current"),
     )
@@ -79,79 +88,87 @@ def psi(
     bins: int = 10,
     threshold: float = PSI_THRESHOLD,
     window: str | None = None,
-    accuracy: int = ACCURACY,
+    edges: Mapping[str, Edges] | None = None,
 ) -> DataFrame:
-    """Population stability index, one row per feature (and per ``window`` value of
-    the current side).
+    """Population stability index, one row per feature.
 
     Values outside the baseline's range count on neither side. A feature with an
-    empty side has statistic 0.
+    empty side has statistic 0. ``edges`` reuses bins fitted earlier (a baseline
+    kept with a model); ``window`` compares every value of that column of the
+    current side with the baseline separately.
     """
-    base = long_form(baseline, columns)
-    edges = quantile_edges(base, bins, accuracy)
-    base_counts = _bin_counts(base.withColumn("side", F.lit(_BASELINE)), edges, [])
-    shares = base_counts.groupBy("feature").agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "baseline"))).alias("baseline")
+    if edges is None:
+        edges = fit_edges(baseline, columns, bins)
+    fitted = {c: edges[c] for c in columns if c in edges}
+    pairs = F.inline(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(c).alias("feature"),
+                    F.lit(fitted[c].bins if c in fitted else bins).alias("fit"),
+                )
+                for c in columns
+            ]
+        )
     )
-    by = [window] if window else []
     if window:
-        pairs = [
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-            for c in columns
-        ]
-        cur = current.select(window, F.inline(F.array(*pairs)))
-        cur = cur.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        by = [window, "feature"]
+        windows = current.select(window).filter(F.col(window).isNotNull()).distinct()
+        asked = windows.select(window, pairs)
     else:
-        cur = long_form(current, columns)
-    cur_counts = (
-        _bin_counts(cur.withColumn("side", F.lit(_CURRENT)), edges, by)
-        .groupBy(*by, "feature")
-        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "current"))).alias("current"))
-    )
-    names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("feature")
-    if window:
-        expected = current.select(window).distinct().select(window, names)
+        by = ["feature"]
+        asked = baseline.sparkSession.range(1).select(pairs)
+    if fitted:
+        counts = bin_counts(baseline, current, fitted, window)
+        if window:
+            counts = _against_baseline(counts, asked, window)
+        asked = asked.join(_psi_of_counts(counts, by), by, "left")
     else:
-        expected = baseline.sparkSession.range(1).select(names)
-    small = edges.select("feature", F.size("edges").alias("edges")).join(
-        F.broadcast(shares), "feature", "left"
-    )
-    keyed = expected.join(F.broadcast(small), "feature", "left").join(
-        cur_counts, [*by, "feature"], "left"
-    )
-    found = F.col("edges").isNotNull() & F.col("current").isNotNull()
-    used = F.when(found, F.col("edges") - 1).otherwise(F.lit(bins))
-    statistic = F.when(found, _psi_sum(used)).otherwise(F.lit(0.0))
-    return keyed.select(*by, "feature", statistic.alias("statistic"), used.alias("bins")).select(
+        asked = asked.withColumns({"psi": F.lit(0.0), "both": F.lit(False)})
+    both = F.coalesce(F.col("both"), F.lit(False))
+    return asked.select(
         *by,
-        "feature",
-        "statistic",
+        F.when(both, F.col("psi")).otherwise(F.lit(0.0)).alias("statistic"),
         F.lit(threshold).alias("threshold"),
-        (F.col("statistic") >= threshold).alias("drifted"),
+        (both & (F.col("psi") >= threshold)).alias("drifted"),
         F.lit("psi").alias("method"),
-        "bins",
+        F.when(both, F.col("fit")).otherwise(F.lit(bins)).alias("bins"),
     )
 
 
-def _psi_sum(bins: Column) -> Column:
-    indexes = F.sequence(F.lit(0), bins - 1)
-
-    def count(side: str, i: Column) -> Column:
-        return F.coalesce(F.col(side)[i], F.lit(0).cast("bigint"))
+def _psi_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., psi, both) from one row per bin; ``both`` tells whether each side had
+    any value."""
+    whole = W.partitionBy(*by)
+    inside = F.col("bin") >= 0
 
-    def total(side: str) -> Column:
-        start = F.lit(0).cast("bigint")
-        seen = F.aggregate(indexes, start, lambda t, i: t + count(side, i))
-        return F.greatest(seen, F.lit(1).cast("bigint")).cast("double")
+    def share(side: str) -> Column:
+        total = F.sum(F.when(inside, F.col(side)).otherwise(F.lit(0))).over(whole)
+        return F.col(side) / F.greatest(total, F.lit(1)).cast("double") + F.lit(EPSILON)
 
-    def share(side: str, i: Column) -> Column:
-        return count(side, i).cast("double") / total(side) + F.lit(EPSILON)
+    term = (F.col("c") - F.col("b")) * F.ln(F.col("c") / F.col("b"))
+    return (
+        counts.withColumns({"b": share("baseline"), "c": share("current")})
+        .groupBy(*by)
+        .agg(
+            F.sum(F.when(inside, term).otherwise(F.lit(0.0))).alias("psi"),
+            ((F.sum("baseline") > 0) & (F.sum("current") > 0)).alias("both"),
+        )
+    )
 
-    def term(i: Column) -> Column:
-        b, c = share("baseline", i), share("current", i)
-        return (c - b) * F.ln(c / b)
 
-    return F.aggregate(indexes, F.lit(0.0), lambda t, i: t + term(i))
+def _against_baseline(counts: DataFrame, asked: DataFrame, window: str) -> DataFrame:
+    """Give every window the baseline's counts (one row per feature and bin)."""
+    base = counts.filter(F.col(window).isNull() & (F.col("baseline") > 0))
+    base = base.select("feature", "bin", "baseline")
+    now = counts.filter(F.col(window).isNotNull()).select(window, "feature", "bin", "current")
+    bins = F.explode(F.sequence(F.lit(-1), F.col("fit") - 1)).alias("bin")
+    return (
+        asked.select(window, "feature", bins)
+        .join(F.broadcast(base), ["feature", "bin"], "left")
+        .join(now, [window, "feature", "bin"], "left")
+        .na.fill(0, ["baseline", "current"])
+    )
 
 
 def category_counts(
@@ -171,7 +188,9 @@ def category_counts(
             ]
         )
     )
-    rows = _both(baseline.select(pairs), current.select(pairs))
+    rows = baseline.select(F.lit(_BASELINE).alias("side"), pairs).unionByName(
+        current.select(F.lit(_CURRENT).alias("side"), pairs)
+    )
     return rows.groupBy("feature", "category").agg(
         F.count_if(F.col("side") == _BASELINE).alias("baseline"),
         F.count_if(F.col("side") == _CURRENT).alias("current"),

@@ -1,28 +1,39 @@
-"""Exact quantile edges per feature, without sorting a feature in one task.
+"""Exact quantile edges of numeric columns, without sorting a column in one task.
 
-A sketch brackets each wanted rank. A second pass counts the distinct values
-inside the brackets one by one and everything between brackets as one number,
-so the running count that finds the exact ranks only sees the bracketed values.
+Fitting takes two jobs. A sketch brackets each wanted rank; then the distinct
+values inside the brackets are counted one by one and everything between
+brackets as one number, so the running count that finds the exact ranks only
+sees the bracketed values. What reaches the driver is one number per column and
+quantile.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Relative rank error of the sketch is 1 / ACCURACY.
-ACCURACY = 50_000
+ACCURACY = 20_000
 
+# Columns fitted by one pair of jobs; a wider table takes several.
+COLUMNS_PER_JOB = 64
 
-def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(feature, value) rows; null and NaN values are left out."""
-    pairs = [
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-        for c in columns
-    ]
-    rows = df.select(F.inline(F.array(*pairs)))
-    return rows.filter(F.col("value").isNotNull() & ~F.isnan("value"))
+
+@dataclass(frozen=True)
+class Edges:
+    """Bin edges of one column. ``n`` counts the values that are not null or NaN."""
+
+    n: int
+    edges: tuple[float, ...]
+
+    @property
+    def bins(self) -> int:
+        return len(self.edges) - 1
 
 
 def linspace(bins: int) -> list[float]:
@@ -31,139 +42,192 @@ def linspace(bins: int) -> list[float]:
     return [i * step for i in range(bins)] + [1.0]
 
 
-def quantile_edges(
-    values: DataFrame, bins: int = 10, accuracy: int = ACCURACY, exact: bool = True
-) -> DataFrame:
-    """(feature, n, edges): distinct linear-interpolated quantiles of (feature, value).
+def number(column: str) -> Column:
+    """A column as double with NaN treated as missing."""
+    value = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(value), value)
 
-    A feature whose values are all equal gets ``bins`` equal-width bins over
-    ``[min, max + 1e-9]``. ``exact=False`` takes the sketch's values instead.
-    """
-    inner = linspace(bins)[1:-1]
-    if exact:
-        points = _exact_points(values, inner, accuracy)
-    else:
-        points = values.groupBy("feature").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("value").alias("lo"),
-            F.max("value").alias("hi"),
-            _sketch(inner, accuracy).alias("points"),
-        )
-    edges = F.array_distinct(
-        F.concat(F.array("lo"), F.col("points"), F.array("hi"))
-    )
-    width = (F.col("hi") + F.lit(1e-9)) - F.col("lo")
-    steps = F.transform(
-        F.sequence(F.lit(0), F.lit(bins - 1)),
-        lambda i: F.col("lo") + i.cast("double") * (width / F.lit(bins)),
-    )
-    flat = F.concat(steps, F.array(F.col("hi") + F.lit(1e-9)))
-    return points.select(
-        "feature", "n", F.when(F.size(edges) < 2, flat).otherwise(edges).alias("edges")
-    )
 
-
-def _sketch(probabilities: list[float], accuracy: int) -> Column:
-    if not probabilities:
-        return F.array().cast("array<double>")
-    return F.percentile_approx("value", probabilities, accuracy)
-
-
-def _exact_points(values: DataFrame, inner: list[float], accuracy: int) -> DataFrame:
-    if not inner:
-        return values.groupBy("feature").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("value").alias("lo"),
-            F.max("value").alias("hi"),
-            F.array().cast("array<double>").alias("points"),
-        )
-    # Four sketch errors to each side. On fewer rows than that margin resolves,
-    # one bracket covers everything.
-    margin = 4.0 / accuracy
-    small = F.col("n") <= 8 * accuracy
-    everything = F.array_repeat(F.lit(float("-inf")), len(inner))
-    sketch = (
-        values.groupBy("feature")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("value").alias("lo"),
-            F.max("value").alias("hi"),
-            _sketch([max(p - margin, 0.0) for p in inner], accuracy).alias("starts"),
-            _sketch([min(p + margin, 1.0) for p in inner], accuracy).alias("ends"),
-        )
-        .withColumn("starts", F.when(small, everything).otherwise(F.col("starts")))
-        .withColumn(
-            "ends",
-            F.when(small, F.array_repeat(F.lit(float("inf")), len(inner))).otherwise(
-                F.col("ends")
-            ),
-        )
-    )
-    # One row per feature: bounded by the columns of a schema.
-    brackets = F.broadcast(sketch)
-
-    # Segment s starts at the s-th bracket; what lies beyond the bracket's end is
-    # only counted ("gap").
-    segment = F.size(F.filter("starts", lambda b: b <= F.col("value")))
-    inside = F.exists(
-        F.arrays_zip("starts", "ends"),
-        lambda b: F.col("value").between(b["starts"], b["ends"]),
+def long_form(df: DataFrame, columns: list[str], keep: tuple[Column, ...] = ()) -> DataFrame:
+    """(keep..., feature, value) rows without missing values."""
+    pairs = [
+        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value"))
+        for c in columns
+    ]
+    rows = df.select(*keep, F.inline(F.array(*pairs)))
+    return rows.filter("value is not null and not isnan(value)")
+
+
+def cut_table(df: DataFrame, **cuts: Mapping[str, Sequence[float]]) -> DataFrame:
+    """One row per column with its cuts as scalars ``<kind>0..``, filled up with NaN
+    (which sorts after every value). Bounded by the columns of a schema."""
+    names, rows = [], {}
+    for kind, by_column in cuts.items():
+        width = max(len(c) for c in by_column.values())
+        names += [f"{kind}{i}" for i in range(width)]
+        for column, x in by_column.items():
+            rows.setdefault(column, [column]).extend([*x, *[math.nan] * (width - len(x))])
+    schema = "feature string" + "".join(f", {n} double" for n in names)
+    return df.sparkSession.createDataFrame(list(rows.values()), schema)
+
+
+def count_cuts(cuts: DataFrame, prefix: str, comparison: str) -> Column:
+    """How many of a row's cuts are below ``value``: plain comparisons, no lambdas."""
+    names = [c for c in cuts.columns if c.startswith(prefix)]
+    total = " + ".join(f"cast({c} {comparison} value as int)" for c in names)
+    return F.expr(f"coalesce({total or 0}, 0)")
+
+
+def fit_edges(
+    df: DataFrame,
+    columns: list[str],
+    bins: int = 10,
+    accuracy: int = ACCURACY,
+    exact: bool = True,
+) -> dict[str, Edges]:
+    """Distinct linear-interpolated quantiles of each column.
+
+    A column whose values are all equal gets ``bins`` equal-width bins over
+    ``[min, max + 1e-9]``; a column without values is left out. ``exact=False``
+    takes the sketch's values and saves the second pass.
+    """
+    found: dict[str, Edges] = {}
+    for start in range(0, len(columns), COLUMNS_PER_JOB):
+        part = columns[start : start + COLUMNS_PER_JOB]
+        found |= _fit(df, part, linspace(bins)[1:-1], bins, accuracy, exact)
+    return found
+
+
+def quantile_edges(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
+    """Fitted edges as rows (feature, n, pos, edge)."""
+    fitted = fit_edges(df, columns, bins)
+    rows = [(c, e.n, i, x) for c, e in fitted.items() for i, x in enumerate(e.edges)]
+    return df.sparkSession.createDataFrame(rows, "feature string, n long, pos int, edge double")
+
+
+def _fit(
+    df: DataFrame, columns: list[str], inner: list[float], bins: int, accuracy: int, exact: bool
+) -> dict[str, Edges]:
+    margin = 4.0 / accuracy if exact else 0.0
+    probes = [max(p - margin, 0.0) for p in inner] + [min(p + margin, 1.0) for p in inner]
+    stats = []
+    for i, c in enumerate(columns):
+        stats += [
+            F.count(number(c)).alias(f"n{i}"),
+            F.min(number(c)).alias(f"lo{i}"),
+            F.max(number(c)).alias(f"hi{i}"),
+        ]
+        if probes:
+            stats.append(F.percentile_approx(number(c), probes, accuracy).alias(f"q{i}"))
+    row = df.agg(*stats).first()
+
+    fitted, wanted, brackets = {}, {}, {}
+    for i, c in enumerate(columns):
+        n, lo, hi = row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]
+        if not n:
+            continue
+        if not inner or lo == hi or not exact:
+            points = row[f"q{i}"][: len(inner)] if inner else []
+            fitted[c] = Edges(n, _distinct(lo, points, hi, bins))
+            continue
+        ranks = {r for p in inner for r in _neighbours(p, n)}
+        wanted[c] = (n, lo, hi, sorted(ranks))
+        if n > 8 * accuracy:
+            brackets[c] = _merge(row[f"q{i}"], len(inner))
+        else:
+            # Too few rows for the margin to cover whole ranks: look at all values.
+            brackets[c] = [(lo, hi)]
+
+    while wanted:
+        at = _values_at(df, brackets, {c: w[3] for c, w in wanted.items()})
+        for c in list(wanted):
+            n, lo, hi, ranks = wanted[c]
+            if all(r in at[c] for r in ranks):
+                points = [_interpolate(p, n, at[c]) for p in inner]
+                fitted[c] = Edges(n, _distinct(lo, points, hi, bins))
+                del wanted[c], brackets[c]
+            else:
+                # The sketch missed a rank; look at the whole range instead.
+                brackets[c] = [(lo, hi)]
+    return {c: fitted[c] for c in columns if c in fitted}
+
+
+def _merge(quantiles: list[float], k: int) -> list[tuple[float, float]]:
+    """Brackets (start, end) in order, overlapping ones joined."""
+    merged: list[tuple[float, float]] = []
+    for start, end in zip(quantiles[:k], quantiles[k:], strict=True):
+        if merged and start <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
+
+
+def _values_at(
+    df: DataFrame, brackets: dict[str, list[tuple[float, float]]], ranks: dict[str, list[int]]
+) -> dict[str, dict[int, float]]:
+    """Values at 0-based ranks, as far as they lie inside the brackets."""
+    names = list(brackets)
+    # Segments alternate: even ones are gaps, odd ones are brackets.
+    cuts = cut_table(
+        df,
+        start={c: [start for start, _ in brackets[c]] for c in names},
+        end={c: [end for _, end in brackets[c]] for c in names},
     )
+    segment = count_cuts(cuts, "start", "<=") + count_cuts(cuts, "end", "<")
     counted = (
-        values.join(brackets, "feature")
-        .select(
-            "feature",
-            segment.alias("segment"),
-            (~inside).alias("gap"),
-            F.when(inside, F.col("value")).alias("value"),
-        )
-        .groupBy("feature", "segment", "gap", "value")
+        long_form(df, names)
+        .join(F.broadcast(cuts), "feature")
+        .select("feature", segment.alias("segment"), "value")
+        .withColumn("value", F.when(F.col("segment") % 2 == 1, F.col("value")))
+        .groupBy("feature", "segment", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    by_value = (
-        W.partitionBy("feature", "segment")
-        .orderBy("gap", "value")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
+    running = W.partitionBy("feature", "segment").orderBy("value")
     before = W.partitionBy("feature").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
+    # Values before each segment: a few rows per column.
     offsets = (
         counted.groupBy("feature", "segment")
-        .agg(F.sum("rows").alias("offset"))
-        .withColumn("offset", F.coalesce(F.sum("offset").over(before), F.lit(0)))
+        .agg(F.sum("rows").alias("size"))
+        .select("feature", "segment", F.sum("size").over(before).alias("offset"))
     )
+    asked = df.sparkSession.createDataFrame(
+        [(c, ranks[c]) for c in names], "feature string, ranks array<long>"
+    )
+    start = F.col("upto") - F.col("rows")
+    covered = F.filter("ranks", lambda r: (r >= start) & (r < F.col("upto")))
     placed = (
-        counted.withColumn("upto", F.sum("rows").over(by_value))
+        counted.withColumn("inside", F.sum("rows").over(running))
         .join(F.broadcast(offsets), ["feature", "segment"])
-        .withColumn("upto", F.col("upto") + F.col("offset"))
-        .withColumn("start", F.col("upto") - F.col("rows"))
-    )
-
-    def rank(p: float) -> Column:
-        return F.lit(p) * (F.col("n") - 1).cast("double")
-
-    def low(p: float) -> Column:
-        return F.floor(rank(p)).cast("bigint")
-
-    def high(p: float) -> Column:
-        return F.least(low(p) + 1, F.col("n") - 1)
-
-    wanted = F.array_distinct(F.array(*[f(p) for p in inner for f in (low, high)]))
-    covered = F.filter(wanted, lambda r: (r >= F.col("start")) & (r < F.col("upto")))
-    lost = F.raise_error(F.lit("a wanted rank lies outside its bracket; raise accuracy"))
-    found = (
-        placed.join(F.broadcast(sketch.select("feature", "n")), "feature")
-        .select("feature", "gap", "value", F.explode(covered).alias("rank"))
-        .withColumn("value", F.when(F.col("gap"), lost.cast("double")).otherwise(F.col("value")))
-        .groupBy("feature")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
-    )
-
-    def interpolate(p: float) -> Column:
-        a, b = F.col("at")[low(p)], F.col("at")[high(p)]
-        t = rank(p) - low(p).cast("double")
-        # From the nearer end, as the usual linear quantile is computed.
-        return F.when(t < 0.5, a + (b - a) * t).otherwise(b - (b - a) * (F.lit(1.0) - t))
-
-    return sketch.select("feature", "n", "lo", "hi").join(F.broadcast(found), "feature").select(
-        "feature", "n", "lo", "hi", F.array(*[interpolate(p) for p in inner]).alias("points")
+        .withColumn("upto", F.col("inside") + F.coalesce("offset", F.lit(0)))
+        .join(F.broadcast(asked), "feature")
+        .select("feature", F.explode(covered).alias("rank"), "value")
     )
+    at: dict[str, dict[int, float]] = {c: {} for c in names}
+    for feature, rank, value in placed.collect():
+        if value is not None:
+            at[feature][rank] = value
+    return at
+
+
+def _neighbours(p: float, n: int) -> tuple[int, int]:
+    low = math.floor(p * (n - 1))
+    return low, min(low + 1, n - 1)
+
+
+def _interpolate(p: float, n: int, at: dict[int, float]) -> float:
+    low, high = _neighbours(p, n)
+    t = p * (n - 1) - low
+    # From the nearer end, as the usual linear quantile is computed.
+    if t < 0.5:
+        return at[low] + (at[high] - at[low]) * t
+    return at[high] - (at[high] - at[low]) * (1.0 - t)
+
+
+def _distinct(lo: float, points: list[float], hi: float, bins: int) -> tuple[float, ...]:
+    edges = sorted({lo, *points, hi})
+    if len(edges) > 1:
+        return tuple(edges)
+    top = hi + 1e-9
+    step = (top - lo) / bins
+    return (*[lo + i * step for i in range(bins)], top)

@@ -17,7 +17,7 @@ from tidemark.operators import drift, registry, rolling, routing, scoring, serve
 from tidemark.operators import latest as lv
 from tidemark.operators import transform as tf
 from tidemark.operators.pit import point_in_time_join
-from tidemark.operators.quantiles import long_form, quantile_edges
+from tidemark.operators.quantiles import quantile_edges
 from tidemark.plans.serving import serve
 from tidemark.plans.training import training_set
 from tidemark.sources import messages as ms
@@ -424,9 +424,8 @@ def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 def quantiles(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["l_quantity", "l_discount", "l_extendedprice"]
-    edges = quantile_edges(long_form(table(spark, sf, "lineitem"), columns))
-    exploded = edges.select("feature", "n", F.posexplode("edges").alias("pos", "edge"))
-    return exploded.withColumn("edge", F.round("edge", 6))
+    edges = quantile_edges(table(spark, sf, "lineitem"), columns)
+    return edges.withColumn("edge", F.round("edge", 6))
 
 
 def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
