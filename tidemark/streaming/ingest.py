@@ -114,4 +114,7 @@ def read_stats(spark: SparkSession, job: Ingest) -> DataFrame:
 
 def drop_repeats(messages: DataFrame, keys: list[str], event_ts: str, delay: str) -> DataFrame:
     """Drop repeats of a stream within ``delay`` of event time, with bounded state."""
-    return messages.withWatermark(event_ts, delay).dropDuplicatesWithinWatermark(keys)
+    # Watermarks need a zoned timestamp.
+    instant = F.timestamp_micros(ntz_to_micros(F.col(event_ts)))
+    marked = messages.withColumn("__at", instant).withWatermark("__at", delay)
+    return marked.dropDuplicatesWithinWatermark(keys).drop("__at")
