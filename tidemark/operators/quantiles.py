@@ -1,10 +1,11 @@
 """Exact quantile edges of numeric columns, without sorting a column in one task.
 
-Fitting takes two jobs. A sketch brackets each wanted rank; then the distinct
-values inside the brackets are counted one by one and everything between
-brackets as one number, so the running count that finds the exact ranks only
-sees the bracketed values. What reaches the driver is one number per column and
-quantile.
+Fitting narrows a bracket around every wanted rank. Each pass sketches the values
+inside the current brackets and counts everything between them; once a bracket
+holds few enough rows, its distinct values are counted one by one and the exact
+ranks are read off. A bracket that turns out to miss its rank is narrowed again
+with more room, so the result never depends on the sketch. What reaches the
+driver is a few numbers per column and bracket.
 """
 
 from __future__ import annotations
@@ -17,12 +18,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Relative rank error of the sketch is 1 / ACCURACY.
-ACCURACY = 20_000
+# The sketch keeps ranks to 1 / ACCURACY and is read at GRID steps.
+ACCURACY = 4_000
+GRID = 400
 
-# Columns fitted by one pair of jobs; a wider table takes several.
+# Rows of one bracket whose distinct values one task sorts in passing.
+BRACKET_ROWS = 250_000
+
+# Columns fitted together; a wider table takes several rounds.
 COLUMNS_PER_JOB = 64
 
+_EVERYTHING = (float("-inf"), float("inf"))
+
 
 @dataclass(frozen=True)
 class Edges:
@@ -42,12 +49,6 @@ def linspace(bins: int) -> list[float]:
     return [i * step for i in range(bins)] + [1.0]
 
 
-def number(column: str) -> Column:
-    """A column as double with NaN treated as missing."""
-    value = F.col(f"`{column}`").cast("double")
-    return F.when(~F.isnan(value), value)
-
-
 def long_form(df: DataFrame, columns: list[str], keep: tuple[Column, ...] = ()) -> DataFrame:
     """(keep..., feature, value) rows without missing values."""
     pairs = [
@@ -82,19 +83,22 @@ def fit_edges(
     df: DataFrame,
     columns: list[str],
     bins: int = 10,
-    accuracy: int = ACCURACY,
     exact: bool = True,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> dict[str, Edges]:
     """Distinct linear-interpolated quantiles of each column.
 
     A column whose values are all equal gets ``bins`` equal-width bins over
     ``[min, max + 1e-9]``; a column without values is left out. ``exact=False``
-    takes the sketch's values and saves the second pass.
+    takes values of a sketch and reads the data once.
     """
     found: dict[str, Edges] = {}
     for start in range(0, len(columns), COLUMNS_PER_JOB):
         part = columns[start : start + COLUMNS_PER_JOB]
-        found |= _fit(df, part, linspace(bins)[1:-1], bins, accuracy, exact)
+        if exact:
+            found |= _fit(df, part, bins, bracket_rows)
+        else:
+            found |= _sketched(df, part, bins)
     return found
 
 
@@ -105,80 +109,150 @@ def quantile_edges(df: DataFrame, columns: list[str], bins: int = 10) -> DataFra
     return df.sparkSession.createDataFrame(rows, "feature string, n long, pos int, edge double")
 
 
-def _fit(
-    df: DataFrame, columns: list[str], inner: list[float], bins: int, accuracy: int, exact: bool
-) -> dict[str, Edges]:
-    margin = 4.0 / accuracy if exact else 0.0
-    probes = [max(p - margin, 0.0) for p in inner] + [min(p + margin, 1.0) for p in inner]
-    stats = []
-    for i, c in enumerate(columns):
-        stats += [
-            F.count(number(c)).alias(f"n{i}"),
-            F.min(number(c)).alias(f"lo{i}"),
-            F.max(number(c)).alias(f"hi{i}"),
-        ]
-        if probes:
-            stats.append(F.percentile_approx(number(c), probes, accuracy).alias(f"q{i}"))
-    row = df.agg(*stats).first()
-
-    fitted, wanted, brackets = {}, {}, {}
-    for i, c in enumerate(columns):
-        n, lo, hi = row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]
-        if not n:
-            continue
-        if not inner or lo == hi or not exact:
-            points = row[f"q{i}"][: len(inner)] if inner else []
-            fitted[c] = Edges(n, _distinct(lo, points, hi, bins))
+def _sketched(df: DataFrame, columns: list[str], bins: int) -> dict[str, Edges]:
+    rows = (
+        long_form(df, columns)
+        .groupBy("feature")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("value").alias("lo"),
+            F.max("value").alias("hi"),
+            F.percentile_approx("value", linspace(bins), 10 * ACCURACY).alias("points"),
+        )
+        .collect()
+    )
+    return {r.feature: Edges(r.n, _distinct(r.lo, r.points, r.hi, bins)) for r in rows}
+
+
+def _fit(df: DataFrame, columns: list[str], bins: int, bracket_rows: int) -> dict[str, Edges]:
+    inner = linspace(bins)[1:-1]
+    brackets = {c: [_EVERYTHING] for c in columns}
+    margin = dict.fromkeys(columns, 2.0 / ACCURACY)
+    fitted: dict[str, Edges] = {}
+    shape: dict[str, tuple[int, float, float]] = {}
+    while brackets:
+        ready = {}
+        for c, segments in _sketch_segments(df, brackets).items():
+            if c not in shape:
+                lows, highs = [s.lo for s in segments.values()], [s.hi for s in segments.values()]
+                shape[c] = (sum(s.n for s in segments.values()), min(lows), max(highs))
+            n = shape[c][0]
+            ranks = {r for p in inner for r in _neighbours(p, n)}
+            narrowed, rows = _narrow(segments, ranks, margin[c], bracket_rows)
+            if narrowed is None:
+                margin[c] *= 4
+                brackets[c] = [_EVERYTHING]
+                continue
+            # Brackets that stop shrinking are held open by copies of one value, which
+            # count as one.
+            settled = narrowed == brackets[c]
+            brackets[c] = narrowed
+            if rows <= bracket_rows or settled or margin[c] >= 1.0:
+                ready[c] = (narrowed, sorted(ranks))
+        for c in set(brackets) - set(shape):
+            del brackets[c]  # no values at all
+        if not ready:
             continue
-        ranks = {r for p in inner for r in _neighbours(p, n)}
-        wanted[c] = (n, lo, hi, sorted(ranks))
-        if n > 8 * accuracy:
-            brackets[c] = _merge(row[f"q{i}"], len(inner))
-        else:
-            # Too few rows for the margin to cover whole ranks: look at all values.
-            brackets[c] = [(lo, hi)]
-
-    while wanted:
-        at = _values_at(df, brackets, {c: w[3] for c, w in wanted.items()})
-        for c in list(wanted):
-            n, lo, hi, ranks = wanted[c]
+        at = _values_at(
+            df, {c: b for c, (b, _) in ready.items()}, {c: r for c, (_, r) in ready.items()}
+        )
+        for c, (_, ranks) in ready.items():
+            n, lo, hi = shape[c]
             if all(r in at[c] for r in ranks):
                 points = [_interpolate(p, n, at[c]) for p in inner]
                 fitted[c] = Edges(n, _distinct(lo, points, hi, bins))
-                del wanted[c], brackets[c]
+                del brackets[c]
             else:
-                # The sketch missed a rank; look at the whole range instead.
-                brackets[c] = [(lo, hi)]
+                margin[c] *= 4
+                brackets[c] = [_EVERYTHING]
     return {c: fitted[c] for c in columns if c in fitted}
 
 
-def _merge(quantiles: list[float], k: int) -> list[tuple[float, float]]:
-    """Brackets (start, end) in order, overlapping ones joined."""
-    merged: list[tuple[float, float]] = []
-    for start, end in zip(quantiles[:k], quantiles[k:], strict=True):
+@dataclass(frozen=True)
+class _Segment:
+    n: int
+    lo: float
+    hi: float
+    grid: list[float] | None
+
+
+def _segmented(df: DataFrame, brackets: Mapping[str, list[tuple[float, float]]]) -> DataFrame:
+    """(feature, segment, value): segments alternate, even ones are the gaps between
+    brackets, odd ones are brackets."""
+    cuts = cut_table(
+        df,
+        start={c: [start for start, _ in b] for c, b in brackets.items()},
+        end={c: [end for _, end in b] for c, b in brackets.items()},
+    )
+    segment = count_cuts(cuts, "start", "<=") + count_cuts(cuts, "end", "<")
+    rows = long_form(df, list(brackets)).join(F.broadcast(cuts), "feature")
+    return rows.select("feature", segment.alias("segment"), "value")
+
+
+def _sketch_segments(
+    df: DataFrame, brackets: Mapping[str, list[tuple[float, float]]]
+) -> dict[str, dict[int, _Segment]]:
+    inside = F.when(F.col("segment") % 2 == 1, F.col("value"))
+    rows = (
+        _segmented(df, brackets)
+        .groupBy("feature", "segment")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("value").alias("lo"),
+            F.max("value").alias("hi"),
+            F.percentile_approx(inside, [i / GRID for i in range(GRID + 1)], ACCURACY).alias("q"),
+        )
+        .collect()
+    )
+    found: dict[str, dict[int, _Segment]] = {}
+    for r in sorted(rows, key=lambda r: r.segment):
+        found.setdefault(r.feature, {})[r.segment] = _Segment(r.n, r.lo, r.hi, r.q)
+    return found
+
+
+def _narrow(
+    segments: Mapping[int, _Segment], ranks: set[int], margin: float, bracket_rows: int
+) -> tuple[list[tuple[float, float]] | None, int]:
+    """New brackets for the ranks and the rows the largest is expected to hold;
+    ``None`` if a rank lies in a gap. Small brackets are kept as they are."""
+    brackets: dict[tuple[float, float], float] = {}
+    before = 0
+    for number, s in segments.items():
+        mine = [r - before for r in ranks if before <= r < before + s.n]
+        before += s.n
+        if not mine:
+            continue
+        if number % 2 == 0:
+            return None, 0
+        for r in mine:
+            share = r / max(s.n - 1, 1)
+            low = max(math.floor((share - margin) * GRID), 0)
+            high = min(math.ceil((share + margin) * GRID), GRID)
+            if s.n <= bracket_rows or s.lo == s.hi:
+                brackets[s.lo, s.hi] = 0 if s.lo == s.hi else s.n
+            else:
+                bracket = (s.grid[low] if low else s.lo, s.grid[high] if high < GRID else s.hi)
+                alone = bracket[0] == bracket[1]
+                brackets[bracket] = 0 if alone else s.n * ((high - low) / GRID + 2 * margin)
+    merged: list[list[float]] = []
+    for (start, end), rows in sorted(brackets.items()):
         if merged and start <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+            merged[-1][1] = max(end, merged[-1][1])
+            merged[-1][2] += rows
         else:
-            merged.append((start, end))
-    return merged
+            merged.append([start, end, rows])
+    largest = max((m[2] for m in merged), default=0)
+    return [(start, end) for start, end, _ in merged], largest
 
 
 def _values_at(
-    df: DataFrame, brackets: dict[str, list[tuple[float, float]]], ranks: dict[str, list[int]]
+    df: DataFrame,
+    brackets: Mapping[str, list[tuple[float, float]]],
+    ranks: Mapping[str, list[int]],
 ) -> dict[str, dict[int, float]]:
     """Values at 0-based ranks, as far as they lie inside the brackets."""
-    names = list(brackets)
-    # Segments alternate: even ones are gaps, odd ones are brackets.
-    cuts = cut_table(
-        df,
-        start={c: [start for start, _ in brackets[c]] for c in names},
-        end={c: [end for _, end in brackets[c]] for c in names},
-    )
-    segment = count_cuts(cuts, "start", "<=") + count_cuts(cuts, "end", "<")
     counted = (
-        long_form(df, names)
-        .join(F.broadcast(cuts), "feature")
-        .select("feature", segment.alias("segment"), "value")
+        _segmented(df, brackets)
         .withColumn("value", F.when(F.col("segment") % 2 == 1, F.col("value")))
         .groupBy("feature", "segment", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -192,7 +266,7 @@ def _values_at(
         .select("feature", "segment", F.sum("size").over(before).alias("offset"))
     )
     asked = df.sparkSession.createDataFrame(
-        [(c, ranks[c]) for c in names], "feature string, ranks array<long>"
+        [(c, r) for c, r in ranks.items()], "feature string, ranks array<long>"
     )
     start = F.col("upto") - F.col("rows")
     covered = F.filter("ranks", lambda r: (r >= start) & (r < F.col("upto")))
@@ -203,7 +277,7 @@ def _values_at(
         .join(F.broadcast(asked), "feature")
         .select("feature", F.explode(covered).alias("rank"), "value")
     )
-    at: dict[str, dict[int, float]] = {c: {} for c in names}
+    at: dict[str, dict[int, float]] = {c: {} for c in ranks}
     for feature, rank, value in placed.collect():
         if value is not None:
             at[feature][rank] = value

@@ -79,9 +79,9 @@ def score(
     (null) has no entry and never affects the request.
     """
     orders = order if isinstance(order, Mapping) else dict.fromkeys(predictors, order)
-    vectors = {
-        version: feature_vector(list(names), overrides) for version, names in orders.items()
-    }
+    distinct = {tuple(names) for names in orders.values()}
+    columns = {names: feature_vector(list(names), overrides) for names in distinct}
+    vectors = {version: columns[tuple(names)] for version, names in orders.items()}
     primary = F.lit(None).cast("double")
     loaded = F.lit(False)
     shadows = []

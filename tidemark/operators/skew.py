@@ -34,17 +34,23 @@ def lookup_join(
     """Left join of many rows with a table that has one row per key.
 
     Rows of hot keys never enter the shuffle: the table rows of hot keys are few
-    (see the module's bound) and are broadcast to them. Rows with a null key
-    match nothing and stay on that branch too. All other rows join by shuffle.
+    (see the module's bound) and are broadcast to them. Rows with a null key match
+    nothing and skip the join. One job over the key column looks for hot keys.
     """
-    hot = hot_keys(rows, key, hot_rows)
-    ordered = rows.columns + [c for c in table.columns if c != key]
-    hot_table = table.join(F.broadcast(hot), key, "left_semi")
-    flagged = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), key, "left")
-    stays = F.col("__hot").isNotNull() | F.col(key).isNull()
-    near = flagged.filter(stays).join(F.broadcast(hot_table), key, "left")
-    far = flagged.filter(~stays).join(table, key, "left")
-    return near.select(*ordered).unionByName(far.select(*ordered))
+    added = [f for f in table.schema.fields if f.name != key]
+    ordered = rows.columns + [f.name for f in added]
+    keyed = rows.filter(F.col(key).isNotNull())
+    keyless = rows.filter(F.col(key).isNull()).select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added]
+    )
+    hot = hot_keys(rows.select(key), key, hot_rows)
+    if hot.isEmpty():
+        return keyed.join(table, key, "left").select(*ordered).unionByName(keyless)
+    hot = F.broadcast(hot)
+    hot_table = table.join(hot, key, "left_semi")
+    near = keyed.join(hot, key, "left_semi").join(F.broadcast(hot_table), key, "left")
+    far = keyed.join(hot, key, "left_anti").join(table, key, "left")
+    return near.select(*ordered).unionByName(far.select(*ordered)).unionByName(keyless)
 
 
 def side_table_join(

@@ -24,7 +24,12 @@ def serve(
     entity_col: str = "entity_id",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Route requests, attach the latest features and score primary and shadows."""
-    routed = route_requests(requests, deployment_log, request_ts, entity_col=entity_col)
+    """Attach the latest features to requests, route them, score primary and shadows.
+
+    Routing and scoring are expressions over each joined row, so they come last and
+    run once per request.
+    """
     features = features_for_model(model, requests.select(entity_col), views, entity_col)
-    return score(attach_features(routed, features, entity_col, hot_rows), predictors, order)
+    attached = attach_features(requests, features, entity_col, hot_rows)
+    routed = route_requests(attached, deployment_log, request_ts, entity_col=entity_col)
+    return score(routed, predictors, order)

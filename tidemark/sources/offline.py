@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.timefns import as_utc_ntz
-from tidemark.spec import EVENT_TS, INGEST_TS, FeatureGroup
+from tidemark.spec import EVENT_TS, INGEST_TS, FeatureGroup, FeatureType
 
 
 def table_path(fg: FeatureGroup, root: str) -> str:
@@ -95,21 +95,25 @@ def read_features(
     extra stored columns to return as well. A table without data is empty.
     """
     path = table_path(fg, root)
+    text = FeatureType.STRING.spark_type
+    declared = fg.entity_dtype.spark_type if fg.entity_dtype else None
+    partitions = [T.StructField("date", T.DateType()), T.StructField("batch", T.StringType())]
     try:
-        stored = spark.read.parquet(path).schema
+        extra = []
+        if declared is None or keep:
+            stored = spark.read.parquet(path).schema
+            declared = declared or stored[fg.entity].dataType
+            extra = [stored[c] for c in keep or []]
+        schema = _table_schema(fg, declared, extra)
+        table = spark.read.schema(T.StructType([*schema.fields, *partitions])).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], _table_schema(fg, fg.entity_dtype.spark_type, []))
-    extra = [stored[c] for c in keep or []]
-    schema = _table_schema(fg, stored[fg.entity].dataType, extra)
-    columns = schema.fieldNames()
-    partitions = [T.StructField("date", T.DateType()), T.StructField("batch", T.StringType())]
-    table = spark.read.schema(T.StructType([*schema.fields, *partitions])).parquet(path)
+        return spark.createDataFrame([], _table_schema(fg, declared or text, []))
     if until is not None:
         bound = until if not isinstance(until, str) else F.lit(until)
         table = table.filter(F.col("date") <= F.to_date(bound))
-    return table.select(*columns)
+    return table.select(*schema.fieldNames())
 
 
 def _table_schema(

@@ -89,8 +89,8 @@ class Feature:
 class FeatureGroup:
     """A versioned set of features that share one entity key.
 
-    ``entity_dtype`` is optional: stored tables tell it, only an empty table
-    needs it from here.
+    ``entity_dtype`` is optional; without it the entity's type is read from the
+    stored files.
     """
 
     name: str
@@ -102,12 +102,13 @@ class FeatureGroup:
     owner: str = ""
     description: str = ""
     created_at: str = field(default_factory=lambda: datetime.now(UTC).isoformat())
-    entity_dtype: FeatureType = FeatureType.STRING
+    entity_dtype: FeatureType | None = None
 
     def __post_init__(self) -> None:
         _require_name("feature group", self.name)
         object.__setattr__(self, "features", tuple(self.features))
-        object.__setattr__(self, "entity_dtype", FeatureType(self.entity_dtype))
+        if self.entity_dtype is not None:
+            object.__setattr__(self, "entity_dtype", FeatureType(self.entity_dtype))
         names = self.feature_names
         if len(set(names)) != len(names):
             raise ValueError(f"feature group {self.name!r} repeats a feature name")
