@@ -136,6 +136,26 @@ def test_expiry_against_simulation(spark, ttl):
     assert got == simulate(rows, ttl, as_of)
 
 
+def test_session_zone_does_not_matter(spark):
+    """Two writes an hour apart across a daylight-saving gap of the session's zone."""
+    before, after = datetime(2024, 3, 10, 1, 30), datetime(2024, 3, 10, 3, 0)
+    rows = [
+        ("u", 1, None, None, None, before, before, 1),
+        ("u", None, 2.0, None, None, after, after, 2),
+    ]
+    fg = FeatureGroup("user_activity", "user_id", GROUP.features, ttl_seconds=3600 + 1000)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        row = lv.latest_view(fg, write(spark, rows), as_of=after).first()
+        assert (row.login_count_7d, row.avg_session_seconds) == (None, 2.0)
+        assert row._event_ts == after
+        exported = encode(fg, lv.latest_view(fg, write(spark, rows))).first().fields
+        assert float(exported["_event_ts"]) == 1710039600.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_expiry_is_exclusive_at_the_end(spark):
     rows = [("u", 1, None, None, None, T0, T0, 1)]
     day = timedelta(days=1)

@@ -16,7 +16,10 @@ def micros_to_ntz(micros: Column) -> Column:
 
 
 def ntz_to_micros(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
+    """Microseconds since 1970. A subtraction of wall-clock times: ``timestampdiff``
+    would go through the session's zone and its daylight-saving gaps."""
+    seconds = (ts - _epoch()).cast("decimal(18,6)")
+    return (seconds * F.lit(1_000_000)).cast("bigint")
 
 
 def epoch_seconds_to_ntz(seconds: Column) -> Column:
@@ -45,4 +48,4 @@ def as_of_literal(as_of: object) -> Column:
 
 def age_seconds(event_ts: Column, as_of: object) -> Column:
     """Seconds between a feature's event time and ``as_of``."""
-    return F.timestamp_diff("MICROSECOND", event_ts, as_of_literal(as_of)) / F.lit(1e6)
+    return (as_of_literal(as_of) - event_ts).cast("decimal(18,6)").cast("double")

@@ -51,7 +51,8 @@ def partial_rows(
     write_us = ntz_to_micros(as_utc_ntz(F.col(WRITE_TS), writes.schema[WRITE_TS].dataType))
     event_ts = as_utc_ntz(F.col(EVENT_TS), writes.schema[EVENT_TS].dataType)
     ttl_us = fg.ttl_seconds * 1_000_000 if expire else 0
-    cell = F.floor(write_us / F.lit(ttl_us)).cast("bigint") if ttl_us > 0 else F.lit(0)
+    # A cell is named by the time it starts.
+    cell = write_us - F.pmod(write_us, F.lit(ttl_us)) if ttl_us > 0 else F.lit(0)
     rows = writes.filter(F.col(fg.entity).isNotNull()).select(
         fg.entity,
         cell.cast("bigint").alias(CELL),

@@ -253,7 +253,8 @@ def _chunked(rows: DataFrame, hot_rows: int) -> DataFrame:
     """Add ``__chunk``, which grows with event time, and ``__point``, set where the
     chunk is a single instant that alone holds at least ``hot_rows`` rows."""
     micros = ntz_to_micros(F.col("__t"))
-    rows = rows.withColumn("__cell", F.floor(micros / F.lit(CELL_MICROS)).cast("bigint"))
+    started = micros - F.pmod(micros, F.lit(CELL_MICROS))
+    rows = rows.withColumn("__cell", (started / F.lit(CELL_MICROS)).cast("bigint"))
     quantiles = [i / CUTS_PER_CELL for i in range(1, CUTS_PER_CELL)]
     cells = (
         rows.groupBy("__k", "__cell")

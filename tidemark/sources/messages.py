@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.timefns import as_utc_ntz
 from tidemark.spec import SEQ, WRITE_TS
 
 
@@ -24,7 +25,7 @@ def read_kafka(
         raw,
         schema,
         seq=F.col("offset"),
-        write_ts=F.col("timestamp").cast("timestamp_ntz"),
+        write_ts=as_utc_ntz(F.col("timestamp"), T.TimestampType()),
         keep=["partition"],
     )
 
