@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Observation
 
 from tidemark import Feature, FeatureGroup
 from tidemark.sources import offline
@@ -25,6 +26,9 @@ def test_layout_null_times_and_replay(spark, tmp_path):
     for _ in range(2):
         path = offline.write_features(V1, df, str(tmp_path), batch="b1")
     assert path.endswith("/act_v1")
+    seen = Observation()
+    offline.write_features(V1, df, str(tmp_path), batch="b1", observation=seen)
+    assert seen.get == {"rows": 2, "dropped": 1}
     assert sorted(p.name for p in (tmp_path / "act_v1").iterdir() if p.is_dir()) == [
         "date=2024-01-01",
         "date=2024-01-02",

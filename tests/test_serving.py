@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark import Feature, FeatureGroup
+from tidemark import Feature, FeatureGroup, ModelVersion
 from tidemark.functions.hashing import canary_bucket
 from tidemark.operators import registry, routing, scoring, servelog, skew
+from tidemark.plans.serving import serve
 
 T0 = datetime(2024, 1, 1)
 LOG = "id long, model_name string, model_version int, mode string, traffic_pct int, created_at timestamp"
@@ -209,3 +210,35 @@ def test_lineage_keeps_unregistered_groups(spark):
     specs = registry.spec_log(spark, [group(1, "x"), group(2, "a", "b")])
     rows = {tuple(r)[2:] for r in registry.lineage(models, specs).collect()}
     assert rows == {("user_activity", 2, "a"), ("user_activity", 2, "b"), ("gone", None, None)}
+
+
+@pytest.mark.parametrize("hot_rows", [3, 100])
+def test_serve_end_to_end(spark, hot_rows):
+    log = deployments(
+        spark, [(1, 1, "production", 100, 0), (2, 2, "canary", 50, 0), (3, 1, "shadow", 0, 0)]
+    )
+    fg = FeatureGroup("act", "uid", (Feature("a", "float64", default_value=1.0),))
+    view = spark.createDataFrame([("u_0", 5.0, T0)], "uid string, a double, _event_ts timestamp_ntz")
+    entities = ["u_0"] * 5 + [f"u_{i}" for i in range(20)]
+    requests = spark.createDataFrame(
+        [(i, "churn", e, T0 + timedelta(hours=1), {"a": 9.0} if i == 24 else {}) for i, e in enumerate(entities)],
+        "r int, model_name string, entity_id string, request_ts timestamp_ntz, o map<string,double>",
+    )
+    served = serve(
+        requests,
+        log,
+        ModelVersion("churn", 1, ("act", "unknown")),
+        {"act": (fg, view)},
+        {("churn", 1): scoring.linear_predictor([1.0]), ("churn", 2): scoring.linear_predictor([2.0])},
+        ["a"],
+        overrides="o",
+        hot_rows=hot_rows,
+    )
+    rows = served.collect()
+    assert len(rows) == 25
+    for r in rows:
+        version = 2 if bucket("churn", r.entity_id) < 50 else 1
+        a = 9.0 if r.r == 24 else 5.0 if r.entity_id == "u_0" else 1.0
+        assert (r.model_version, r.prediction) == (version, a * version)
+        assert r.shadow_predictions == {"v1": a}
+        assert r.feature_age_seconds == ({"act": 3600.0} if r.entity_id == "u_0" else {})

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from tidemark.functions.timefns import age_seconds
 from tidemark.operators.latest import attach_features, features_for_model
 from tidemark.operators.routing import route_requests
 from tidemark.operators.scoring import Predictor, score
@@ -22,14 +24,36 @@ def serve(
     order: list[str],
     request_ts: str | None = "request_ts",
     entity_col: str = "entity_id",
+    overrides: str | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Attach the latest features to requests, route them, score primary and shadows.
 
     Routing and scoring are expressions over each joined row, so they come last and
-    run once per request.
+    run once per request. ``feature_age_seconds`` maps a group to the age of its
+    features at the request; ``overrides`` names a map column of feature values that
+    win over the stored ones.
     """
     features = features_for_model(model, requests.select(entity_col), views, entity_col)
     attached = attach_features(requests, features, entity_col, hot_rows)
     routed = route_requests(attached, deployment_log, request_ts, entity_col=entity_col)
-    return score(routed, predictors, order)
+    if request_ts is not None:
+        routed = routed.withColumn(
+            "feature_age_seconds", feature_ages(model, views, F.col(request_ts))
+        )
+    return score(routed, predictors, order, overrides=overrides)
+
+
+def feature_ages(
+    model: ModelVersion, views: Mapping[str, tuple[FeatureGroup, DataFrame]], as_of: object
+) -> Column:
+    """Map from group to seconds since its features' event time; groups without
+    features for the entity are left out."""
+    ages = [
+        F.struct(
+            F.lit(name).alias("group"), age_seconds(F.col(f"_ts_{name}"), as_of).alias("age")
+        )
+        for name in model.feature_groups
+        if name in views
+    ]
+    return F.map_from_entries(F.filter(F.array(*ages), lambda a: a["age"].isNotNull()))

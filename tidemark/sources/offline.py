@@ -11,7 +11,7 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,13 +49,18 @@ def _compatible(found: T.DataType, wanted: T.DataType) -> bool:
 
 
 def write_features(
-    fg: FeatureGroup, df: DataFrame, root: str, batch: str | None = None
+    fg: FeatureGroup,
+    df: DataFrame,
+    root: str,
+    batch: str | None = None,
+    observation: Observation | None = None,
 ) -> str:
     """Append one batch of feature rows and return the table's path.
 
-    Rows with a null event time have no partition and are left out. Extra
-    columns are kept. ``rebalance`` lets the adaptive planner pack small dates
-    together and split large ones into several files.
+    Rows with a null event time have no partition and are left out; an
+    ``observation`` receives ``rows`` and ``dropped`` counted during the write.
+    Extra columns are kept. ``rebalance`` lets the adaptive planner pack small
+    dates together and split large ones into several files.
     """
     check_columns(fg, df)
     if batch is None:
@@ -66,6 +71,12 @@ def write_features(
     )
     if INGEST_TS not in df.columns:
         rows = rows.withColumn(INGEST_TS, F.lit(time.time_ns() // 1000))
+    if observation is not None:
+        rows = rows.observe(
+            observation,
+            F.count(EVENT_TS).alias("rows"),
+            F.count_if(F.col(EVENT_TS).isNull()).alias("dropped"),
+        )
     rows = rows.filter(F.col(EVENT_TS).isNotNull()).withColumns(
         {"date": F.to_date(EVENT_TS), "batch": F.lit(batch)}
     )
