@@ -1,4 +1,5 @@
 import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -182,6 +183,26 @@ def test_incremental_state_equals_batch(spark, tmp_path):
         state.read_latest(spark, fg, str(tmp_path / "nothing"))
 
 
+def test_compaction_covers_old_deltas(spark, tmp_path):
+    path = str(tmp_path / "state")
+    rows = random_writes(8, 90)
+    for b in range(3):
+        state.add_writes(GROUP, write(spark, rows[30 * b : 30 * b + 30]), path, f"s-{b:06d}")
+        if b == 1:
+            assert state.compact(spark, GROUP, path) == 1
+    state.add_writes(GROUP, write(spark, [("new", 1, 1.0, True, "x", T0, T0, 1)]), path, "t-000000")
+    # A covered delta may disappear.
+    shutil.rmtree(tmp_path / "state" / "delta" / "batch=s-000000")
+    got = state.read_latest(spark, GROUP, path)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(NOT (regexp_extract" in plan
+    want = lv.latest_view(GROUP, write(spark, rows), expire=True)
+    seen = {str(r) for r in got.collect()}
+    assert len(seen) == want.count() + 1 and {str(r) for r in want.collect()} < seen
+    assert state.compact(spark, GROUP, path) == 2
+    assert {str(r) for r in state.read_latest(spark, GROUP, path).collect()} == seen
+
+
 def test_codec_edge_values(spark):
     fg = FeatureGroup(
         "edge",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timefns import epoch_seconds_to_ntz, ntz_to_micros
 from tidemark.spec import EVENT_TS, Feature, FeatureGroup, FeatureType
 
+# Fixed value: prefix of the key format below.
 KEY_PREFIX = "ff"
 
 

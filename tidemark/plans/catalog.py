@@ -647,6 +647,19 @@ def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def fetch_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    log = events(spark, sf).select(
+        F.col("event_type").alias("model_name"), (F.col("value") / 2000).alias("latency")
+    )
+    found = servelog.latency_histogram(log, "latency", servelog.FEATURE_FETCH_BUCKETS)
+    return found.withColumns(
+        {
+            "le": F.when(F.col("le") < float("inf"), F.col("le")),
+            "total_seconds": F.round("total_seconds", 6),
+        }
+    )
+
+
 SERVED = FeatureGroup(
     "served",
     "entity_id",
@@ -797,6 +810,7 @@ QUERIES = {
     "cohort_split": cohort_split,
     "predict_counts": predict_counts,
     "latency_histogram": latency_histogram,
+    "fetch_histogram": fetch_histogram,
     "batch_score": batch_score,
     "shadow_agreement": shadow_agreement,
     "feature_vector": feature_vector,

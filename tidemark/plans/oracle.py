@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.operators.quantiles import linspace
-from tidemark.operators.servelog import PREDICT_BUCKETS
+from tidemark.operators.servelog import FEATURE_FETCH_BUCKETS, PREDICT_BUCKETS
 from tidemark.plans.catalog import AS_OF, SPLIT, TYPES
 
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -411,13 +411,17 @@ FROM (SELECT model_name, model_version, count(DISTINCT user_id) AS entities, cou
 PREDICT_COUNTS = f"""{_routes("d")}
 SELECT model_name, mode, count(*) AS predictions FROM routed WHERE mode IS NOT NULL GROUP BY 1, 2
 """
-LATENCY = f"""
-SELECT event_type AS model_name, le,
-  CAST(count(*) FILTER (le IS NULL OR value / 500 <= le) AS BIGINT) AS count,
-  count(*) AS total_count, round(sum(value / 500), 6) AS total_seconds
-FROM events CROSS JOIN (SELECT unnest([{", ".join(map(str, PREDICT_BUCKETS))}, NULL]::DOUBLE[]) AS le)
-GROUP BY event_type, le
-"""
+
+
+def _latency(seconds: str, buckets: tuple[float, ...]) -> str:
+    bounds = ", ".join(map(str, buckets))
+    return f"""
+    SELECT event_type AS model_name, le,
+      CAST(count(*) FILTER (le IS NULL OR {seconds} <= le) AS BIGINT) AS count,
+      count(*) AS total_count, round(sum({seconds}), 6) AS total_seconds
+    FROM events CROSS JOIN (SELECT unnest([{bounds}, NULL]::DOUBLE[]) AS le)
+    GROUP BY event_type, le"""
+
 
 # Weights, limits and the failing shadow are those of the catalog's predictors.
 SCORED = f"""{_routes("d % 4 + 1")},
@@ -546,7 +550,8 @@ ORACLE = {
     "route_requests": ROUTES,
     "cohort_split": COHORTS,
     "predict_counts": PREDICT_COUNTS,
-    "latency_histogram": LATENCY,
+    "latency_histogram": _latency("value / 500", PREDICT_BUCKETS),
+    "fetch_histogram": _latency("value / 2000", FEATURE_FETCH_BUCKETS),
     "batch_score": BATCH_SCORE,
     "shadow_agreement": SHADOW_AGREEMENT,
     "feature_vector": FEATURE_VECTOR,

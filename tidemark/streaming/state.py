@@ -2,18 +2,19 @@
 
 Each micro-batch folds its own writes and adds the partial rows as one
 ``batch=<label>`` folder: cost grows with the batch, not with the state. Readers
-merge all partial rows. ``compact`` folds what is there into a new generation.
-Because merging a partial row twice changes nothing, readers and compaction need
-no lock: a generation and the deltas it already contains may overlap.
+merge all partial rows. ``compact`` folds what is there into a new generation and
+notes how far it reaches, so that readers skip the folders it contains. Because
+merging a partial row twice changes nothing, compaction and ingestion need no lock.
 
-Layout below ``path``: ``delta/batch=<label>/``, ``base/gen=<n>/`` and
-``generations/`` with one row per finished generation.
+Labels end in a zero-padded number that grows within a stream. Layout below
+``path``: ``delta/batch=<label>/``, ``base/gen=<n>/`` and ``generations/`` with one
+row per finished generation and stream.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.latest import finish_view, merge_partials, partial_rows
@@ -36,49 +37,71 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _generation(spark: SparkSession, path: str) -> int:
+def _newest(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
+    """The newest finished generation and the last label of each stream in it."""
     finished = _read(spark, f"{path}/generations")
     if finished is None:
-        return 0
-    return finished.agg(F.max("gen")).first()[0]
+        return 0, {}
+    newest = finished.agg(F.max("gen")).first()[0]
+    rows = finished.filter(F.col("gen") == newest).collect()
+    return newest, {r.stream: r.upto for r in rows}
 
 
-def partials(spark: SparkSession, path: str) -> DataFrame | None:
-    """All partial rows: the newest generation and every delta."""
-    rows = _read(spark, f"{path}/delta")
-    if rows is not None:
-        rows = rows.drop("batch")
-    newest = _generation(spark, path)
-    if newest:
-        base = spark.read.parquet(f"{path}/base/gen={newest}")
-        rows = base if rows is None else base.unionByName(rows)
-    return rows
+def _stream() -> Column:
+    return F.regexp_extract("batch", r"^(.*?)\d*$", 1)
+
+
+def _pending(spark: SparkSession, path: str, covered: dict[str, str]) -> DataFrame | None:
+    """Partial rows of the deltas after a generation; others are not even listed as
+    input, since ``batch`` is a partition column."""
+    deltas = _read(spark, f"{path}/delta")
+    if deltas is None:
+        return None
+    deltas = deltas.withColumn("batch", F.col("batch").cast("string"))
+    for stream, upto in covered.items():
+        deltas = deltas.filter((_stream() != stream) | (F.col("batch") > upto))
+    return deltas
+
+
+def _partials(base: DataFrame | None, pending: DataFrame | None, path: str) -> DataFrame:
+    if base is None and pending is None:
+        raise FileNotFoundError(f"no state below {path}")
+    if pending is None:
+        return base
+    rows = pending.drop("batch")
+    return rows if base is None else base.unionByName(rows)
+
+
+def _base(spark: SparkSession, path: str, generation: int) -> DataFrame | None:
+    return spark.read.parquet(f"{path}/base/gen={generation}") if generation else None
 
 
 def read_latest(
     spark: SparkSession, fg: FeatureGroup, path: str, as_of: object = None
 ) -> DataFrame:
     """The latest view; with ``as_of``, without the records expired by then."""
-    rows = partials(spark, path)
-    if rows is None:
-        raise FileNotFoundError(f"no state below {path}")
+    generation, covered = _newest(spark, path)
+    rows = _partials(_base(spark, path, generation), _pending(spark, path, covered), path)
     return finish_view(fg, merge_partials(fg, rows), as_of)
 
 
 def compact(spark: SparkSession, fg: FeatureGroup, path: str) -> int:
     """Fold everything into a new generation and return its number.
 
-    Deltas that were there before the call are contained in the generation and may
-    be deleted by the operator once no reader uses them.
+    Older generations and the deltas it contains are not read any more and may be
+    deleted once no reader that started before still runs.
     """
-    rows = partials(spark, path)
-    if rows is None:
-        raise FileNotFoundError(f"no state below {path}")
-    generation = _generation(spark, path) + 1
+    generation, covered = _newest(spark, path)
+    pending = _pending(spark, path, covered)
+    rows = _partials(_base(spark, path, generation), pending, path)
     merge_partials(fg, rows).write.mode("overwrite").option("compression", "zstd").parquet(
-        f"{path}/base/gen={generation}"
-    )
-    spark.range(1).select(F.lit(generation).alias("gen")).write.mode("append").parquet(
-        f"{path}/generations"
+        f"{path}/base/gen={generation + 1}"
     )
-    return generation
+    if pending is not None:
+        last = pending.groupBy(_stream().alias("stream")).agg(F.max("batch").alias("upto"))
+        covered = covered | {r.stream: r.upto for r in last.collect()}
+    finished = [(generation + 1, stream, upto) for stream, upto in covered.items()]
+    spark.createDataFrame(finished, "gen long, stream string, upto string").coalesce(
+        1
+    ).write.mode("append").parquet(f"{path}/generations")
+    return generation + 1
