@@ -203,6 +203,13 @@ def test_skewed_lookups_keep_every_row(spark):
         assert sorted((tuple(r) for r in found.collect()), key=str) == want
 
 
+def test_reduction_is_size_checked(spark):
+    table = spark.range(100).withColumnRenamed("id", "k")
+    keys = spark.range(95, 105).withColumnRenamed("id", "k")
+    assert skew.reduce_to(table, keys, "k").count() == 5
+    assert skew.reduce_to(table, keys, "k", max_rows=9).count() == 100
+
+
 def test_lineage_keeps_unregistered_groups(spark):
     models = spark.createDataFrame(
         [("m", 1, ["user_activity", "gone"])], "name string, version long, feature_groups array<string>"

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.codec import decode
 from tidemark.functions.timefns import as_of_literal, as_utc_ntz, micros_to_ntz, ntz_to_micros
-from tidemark.operators.skew import HOT_ROWS, lookup_join
+from tidemark.operators.skew import HOT_ROWS, lookup_join, reduce_to
 from tidemark.spec import EVENT_TS, SEQ, WRITE_TS, FeatureGroup, ModelVersion
 
 CELL = "_cell"
@@ -51,11 +51,11 @@ def partial_rows(
     write_us = ntz_to_micros(as_utc_ntz(F.col(WRITE_TS), writes.schema[WRITE_TS].dataType))
     event_ts = as_utc_ntz(F.col(EVENT_TS), writes.schema[EVENT_TS].dataType)
     ttl_us = fg.ttl_seconds * 1_000_000 if expire else 0
-    # A cell is named by the time it starts.
-    cell = write_us - F.pmod(write_us, F.lit(ttl_us)) if ttl_us > 0 else F.lit(0)
+    # A cell is named by the time it starts; without expiry there is only one.
+    cells = {CELL: write_us - F.pmod(write_us, F.lit(ttl_us))} if ttl_us > 0 else {}
     rows = writes.filter(F.col(fg.entity).isNotNull()).select(
         fg.entity,
-        cell.cast("bigint").alias(CELL),
+        *[start.alias(name) for name, start in cells.items()],
         write_us.alias("__write"),
         F.col(SEQ).cast("bigint").alias(SEQ),
         # A write without event time happened when it was written.
@@ -81,13 +81,16 @@ def partial_rows(
         event = F.max("__event")
     else:
         raise ValueError(f"order must be {ARRIVAL!r} or {EVENT_TIME!r}, not {order!r}")
-    return rows.groupBy(fg.entity, CELL).agg(
+    folded = rows.groupBy(fg.entity, *cells).agg(
         F.min("__write").alias(FIRST_WRITE),
         F.max("__write").alias(LAST_WRITE),
-        F.max(SEQ).alias(SEQ),
         event.alias(EVENT_TS),
         *folds,
+        F.max(SEQ).alias("__seq"),
     )
+    if not cells:
+        folded = folded.withColumn(CELL, F.lit(0).cast("bigint"))
+    return folded.withColumnRenamed("__seq", SEQ)
 
 
 def merge_partials(
@@ -197,7 +200,8 @@ def lookup_latest(
 ) -> DataFrame:
     """One row per distinct requested id; ids without a record get the defaults."""
     wanted = ids.select(fg.entity).distinct()
-    return select_features(fg, wanted.join(latest, fg.entity, "left"), names)
+    few = reduce_to(latest, wanted, fg.entity)
+    return select_features(fg, wanted.join(few, fg.entity, "left"), names)
 
 
 def features_for_model(

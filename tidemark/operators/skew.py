@@ -28,6 +28,20 @@ def hot_keys(rows: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
+def reduce_to(
+    table: DataFrame, keys: DataFrame, key: str, max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Drop table rows whose key is not asked for, before anything is shuffled.
+
+    ``keys`` holds distinct keys; they are counted (up to the bound) and only
+    broadcast within it. Beyond it the table is returned as it is. Spark pushes the
+    semi join below an aggregation by the same key.
+    """
+    if keys.limit(max_rows + 1).count() > max_rows:
+        return table
+    return table.join(F.broadcast(keys), key, "left_semi")
+
+
 def lookup_join(
     rows: DataFrame, table: DataFrame, key: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timefns import as_utc_ntz
 from tidemark.operators.pit import point_in_time_join
-from tidemark.operators.skew import BROADCAST_ROWS, HOT_ROWS
+from tidemark.operators.skew import HOT_ROWS, reduce_to
 from tidemark.sources.offline import read_features
 from tidemark.spec import FeatureGroup
 
@@ -35,13 +35,12 @@ def training_set(
     times = as_utc_ntz(F.col(event_ts_col), spine.schema[event_ts_col].dataType)
     last = spine.select(F.max(times)).scalar()
     entities = spine.select(entity_col).filter(F.col(entity_col).isNotNull()).distinct()
-    few = reduce_to_spine and entities.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     tables = []
     for fg in groups:
         rows = read_features(spark, fg, root, until=last)
-        if few:
-            wanted = F.broadcast(entities.select(F.col(entity_col).alias(fg.entity)))
-            rows = rows.join(wanted, fg.entity, "left_semi")
+        if reduce_to_spine:
+            wanted = entities.withColumnRenamed(entity_col, fg.entity)
+            rows = reduce_to(rows, wanted, fg.entity)
         tables.append((fg, rows))
     return point_in_time_join(
         spine, tables, entity_col, event_ts_col, prefix=prefix, hot_rows=hot_rows
