@@ -203,6 +203,18 @@ def test_compaction_covers_old_deltas(spark, tmp_path):
     assert {str(r) for r in state.read_latest(spark, GROUP, path).collect()} == seen
 
 
+def test_state_follows_an_added_feature(spark, tmp_path):
+    path = str(tmp_path / "state")
+    old = FeatureGroup("user_activity", "user_id", GROUP.features[:2])
+    state.add_writes(old, write(spark, [("u", 1, 1.0, None, None, T0, T0, 1)]), path, "s-000000")
+    first = state.read_latest(spark, GROUP, path).first()
+    assert (first.login_count_7d, first.is_premium) == (1, None)
+    state.compact(spark, old, path)
+    state.add_writes(GROUP, write(spark, [("u", 2, None, True, "x", T0, T0, 2)]), path, "s-000001")
+    row = state.read_latest(spark, GROUP, path).first()
+    assert [row[n] for n in NAMES] == [2, 1.0, True, "x"]
+
+
 def test_codec_edge_values(spark):
     fg = FeatureGroup(
         "edge",

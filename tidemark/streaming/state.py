@@ -30,7 +30,7 @@ def add_writes(fg: FeatureGroup, writes: DataFrame, path: str, batch: str) -> No
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return spark.read.option("mergeSchema", "true").parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -63,13 +63,19 @@ def _pending(spark: SparkSession, path: str, covered: dict[str, str]) -> DataFra
     return deltas
 
 
-def _partials(base: DataFrame | None, pending: DataFrame | None, path: str) -> DataFrame:
+def _partials(
+    fg: FeatureGroup, base: DataFrame | None, pending: DataFrame | None, path: str
+) -> DataFrame:
+    """All partial rows in the shape of the current spec: a feature added after a
+    file was written is absent there."""
     if base is None and pending is None:
         raise FileNotFoundError(f"no state below {path}")
-    if pending is None:
-        return base
-    rows = pending.drop("batch")
-    return rows if base is None else base.unionByName(rows)
+    parts = [p.drop("batch") for p in (base, pending) if p is not None]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    new = [f for f in fg.features if f.name not in rows.columns]
+    return rows.withColumns({f.name: F.lit(None).cast(f.spark_type) for f in new})
 
 
 def _base(spark: SparkSession, path: str, generation: int) -> DataFrame | None:
@@ -81,7 +87,8 @@ def read_latest(
 ) -> DataFrame:
     """The latest view; with ``as_of``, without the records expired by then."""
     generation, covered = _newest(spark, path)
-    rows = _partials(_base(spark, path, generation), _pending(spark, path, covered), path)
+    base, pending = _base(spark, path, generation), _pending(spark, path, covered)
+    rows = _partials(fg, base, pending, path)
     return finish_view(fg, merge_partials(fg, rows), as_of)
 
 
@@ -93,7 +100,7 @@ def compact(spark: SparkSession, fg: FeatureGroup, path: str) -> int:
     """
     generation, covered = _newest(spark, path)
     pending = _pending(spark, path, covered)
-    rows = _partials(_base(spark, path, generation), pending, path)
+    rows = _partials(fg, _base(spark, path, generation), pending, path)
     merge_partials(fg, rows).write.mode("overwrite").option("compression", "zstd").parquet(
         f"{path}/base/gen={generation + 1}"
     )
