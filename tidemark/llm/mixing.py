@@ -25,7 +25,8 @@ from tidemark.llm.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 NEWTON_STEPS = 60
-ROWS_PER_BUCKET = 50_000
+#: Rows of a running sum in one task; beyond its square, sums and tasks grow alike.
+ROWS_PER_BUCKET = 2_000
 FILL_ROUNDS = 5
 NEAR = 1e-9
 
@@ -145,7 +146,7 @@ def mix_sources(
             F.col("mass").alias("source_size"),
             "target",
             F.least(F.lit(float(cap)), F.exp("_tilt")).alias("rate"),
-            F.greatest(F.lit(1), F.ceil(F.col("_rows") / ROWS_PER_BUCKET)).alias("_buckets"),
+            F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.greatest(F.lit(ROWS_PER_BUCKET), F.sqrt("_rows")))).alias("_buckets"),
         )
         .withColumn("_whole", F.floor(F.col("rate") + NEAR))
         .withColumn("_gap", F.greatest(F.lit(0.0), F.col("target") - F.col("_whole") * F.col("source_size")))

@@ -6,17 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.language import held_out, identify, learn_profiles
+from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.quality import quality_filter
+from tidemark.llm.rlz import dedup_substrings
+from tidemark.llm.suffixes import dedup_suffixes
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf, "documents"), window=20)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
+
+
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    profiles = learn_profiles(docs.where(~held_out()))
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), profiles).drop("text")
+
+
+def op5_minmax_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"), k=3, percent=85)
+
+
 def op8_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents"), weights=[5, 2, 1], cap=3.0)
 
 
+def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_filter(table(spark, sf, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = dedup_suffixes(table(spark, sf, "documents"), span=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op3_language_id": op3_language_id,
+    "op5_minmax_hash": op5_minmax_hash,
     "op8_mix_sources": op8_mix_sources,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }

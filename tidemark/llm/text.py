@@ -165,26 +165,39 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(span[: len(span) - rest], span[rest:]) if rest else span
 
 
-def anchors(grams: np.ndarray, gram_ok: np.ndarray, w: int) -> np.ndarray:
-    """Positions picked by winnowing: the last of the least in each w positions that are all ok.
+def picks(items: np.ndarray, k: int, w: int, piece: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowing: for every k + w - 1 consecutive items, where the last of the least of its w
+    k-gram hashes is, and that hash.
 
-    A choice depends only on what its window holds, so equal passages choose alike.
+    A choice depends only on the items of its window, so equal windows choose alike.
     """
-    n = len(grams)
-    if n < w:
-        return np.zeros(0, np.int64)
-    low = _U((1 << 26) - 1)
-    if n > 1 << 26:
-        raise ValueError("more than 2**26 positions in one slice")
-    key = (grams & ~low) | (low - np.arange(n, dtype=np.uint64))
-    least = sliding_min(key, w)
-    bad = np.zeros(n + 1, np.int32)
-    np.cumsum(~gram_ok, out=bad[1:])
-    whole = bad[w:] == bad[: n - w + 1]
-    picked = (low - (least[whole] & low)).astype(np.int64)
-    if not len(picked):
-        return picked
-    return picked[np.r_[True, picked[1:] != picked[:-1]]] if np.all(picked[1:] >= picked[:-1]) else np.unique(picked)
+    span = k + w - 1
+    n = len(items) - span + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at, value = np.empty(n, np.int64), np.empty(n, np.uint64)
+    low = _U((1 << 16) - 1)
+    for a in range(0, n, piece):
+        b = min(n, a + piece)
+        grams = window_hashes(items[a : b + span - 1], k)
+        # Ordered by the upper 48 bits of the hash, then by place from the right.
+        key = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
+        where = (low - (sliding_min(key, w) & low)).astype(np.int64)
+        at[a:b] = where + a
+        value[a:b] = grams[where]
+    return at, value
+
+
+def whole_windows(off: np.ndarray, span: int) -> np.ndarray:
+    """Of all starts of ``span`` consecutive items, those whose items belong to one text."""
+    n = int(off[-1]) - span + 1
+    if n <= 0:
+        return np.zeros(0, bool)
+    ok = np.ones(n, bool)
+    ends = off[1:]
+    late = ranges(np.maximum(off[:-1], ends - span + 1), np.minimum(ends - off[:-1], span - 1))
+    ok[late[late < n]] = False
+    return ok
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
