@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import toxicity, wordpiece
+
+from tidemark.llm.decontam import find_leaks
 from tidemark.llm.language import held_out, identify, learn_profiles
+from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import quality_filter
 from tidemark.llm.rlz import dedup_substrings
 from tidemark.llm.suffixes import dedup_suffixes
 
+#: The vocabulary that tokens are counted by; any sentence-piece model file will do.
+VOCABULARY = os.environ.get("TOKENIZER_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -23,16 +33,37 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
 
 
+def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = wordpiece.read_pieces(VOCABULARY)
+    return wordpiece.count_tokens(table(spark, sf, "documents").select("doc_id", "text"), pieces)
+
+
 def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     profiles = learn_profiles(docs.where(~held_out()))
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), profiles).drop("text")
 
 
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(table(spark, sf, "documents"))
+
+
 def op5_minmax_hash(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), k=3, percent=85)
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels").where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
+    known = docs.where(~held_out()).join(labels, F.col("doc_id") == F.col("_id"))
+    model = toxicity.learn(known.select("doc_id", F.lower("text").alias("text"), "toxic"))
+    return toxicity.score(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+
+
+def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op8_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(table(spark, sf, "documents"), weights=[5, 2, 1], cap=3.0)
 
@@ -48,8 +79,12 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
+    "op4_license_scan": op4_license_scan,
     "op5_minmax_hash": op5_minmax_hash,
+    "op6_toxicity": op6_toxicity,
+    "op7_decontaminate": op7_decontaminate,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
