@@ -39,11 +39,13 @@ def layout(docs: DataFrame, text: str = "text") -> Layout:
     return Layout(blocks, blocks)
 
 
-def dealt(docs: DataFrame, at: Layout, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, doc_id, text), every block in one partition of its own."""
+def dealt(docs: DataFrame, at: Layout, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(block, doc_id, text, and the columns ``carry`` as _0, _1 ...), dealt by block."""
     # Rows without an id are spread by their text.
     block = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(text))), F.lit(at.blocks)).cast("int")
-    return docs.select(block.alias("block"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).repartition(at.blocks, "block")
+    more = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
+    named = docs.select(block.alias("block"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *more)
+    return named.repartition(at.blocks, "block")
 
 
 def messages(found: DataFrame, to: str, count: int) -> DataFrame:

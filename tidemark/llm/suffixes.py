@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import blocks as bl
 from tidemark.llm import text as tx
@@ -362,16 +363,17 @@ def splitters(docs: DataFrame, parts: int, shape: Shape, doc_id: str = "doc_id",
     return sorted({leads[len(leads) * i // parts] for i in range(1, parts)}) if len(leads) > parts else []
 
 
-def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed
+def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: the columns ``carry``, doc_id, n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256 and kept_text (of the bytes left; runs can cut a character, whose rest
     is then dropped from kept_text alone)."""
     if not 5 <= span <= 100:
         raise ValueError("span must be from 5 to 100")
     shape = Shape(span)
     at = bl.layout(docs, text)
-    rows = bl.dealt(docs, at, doc_id, text)
+    rows = bl.dealt(docs, at, doc_id, text, carry)
     parts = at.parts
+    kept_types = [rows.schema[f"_{i}"] for i in range(len(carry))]
     size = hash_bytes(at.blocks * bl.LEAST_BLOCK // 16)
     cuts = splitters(docs, parts, shape, doc_id, text)
 
@@ -413,6 +415,8 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
     def remove(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
         out: dict[str, list] = {c: [] for c in names}
+        order = pa.array(np.argsort(bl.doc_ids(table.column("doc_id")), kind="stable"))
+        carried = {f"_{i}": table.column(f"_{i}").take(order) for i in range(len(carry))}
         if table.num_rows:
             b = read_block(table, shape)
             which = _candidates(b, told, size)
@@ -433,7 +437,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
         ids = pa.array(out["doc_id"], pa.int64())
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         rest = {c: pa.array(out[c], t) for c, t in zip(names[1:], kinds, strict=True)}
-        return pa.table({"doc_id": pa.compute.if_else(pa.compute.equal(ids, int(bl.NO_ID)), pa.scalar(None, pa.int64()), ids), **rest})
+        return pa.table({**carried, "doc_id": pa.compute.if_else(pa.compute.equal(ids, int(bl.NO_ID)), pa.scalar(None, pa.int64()), ids), **rest})
 
     def answers(found: DataFrame) -> DataFrame:
         """Answers at their blocks; a part names itself as the sender."""
@@ -443,5 +447,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
     known = answers(bl.messages(asked, "part", parts).groupBy("part").applyInArrow(seen, bl.MESSAGE))
     sent = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(send, bl.MESSAGE)
     found = answers(bl.messages(sent, "part", parts).groupBy("part").applyInArrow(merge, bl.MESSAGE))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
-    return rows.groupBy("block").cogroup(known.union(found).groupBy("block")).applyInArrow(remove, schema)
+    found_types = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    schema = T.StructType([*kept_types, *T.StructType.fromDDL(found_types).fields])
+    done = rows.groupBy("block").cogroup(known.union(found).groupBy("block")).applyInArrow(remove, schema)
+    return done.withColumnsRenamed({f"_{i}": name for i, name in enumerate(carry)})
