@@ -36,8 +36,8 @@ from tidemark.llm import text as tx
 SEEN, RUNS, PLACES = 0, 1, 2
 #: Pads a suffix beyond its text; no UTF-8 text has this byte.
 PAD = 0xFF
-#: Documents that splitters are sampled from, and splitters' bytes. They only balance the parts.
-SAMPLE_DOCS, SPLITTER = 1000, 24
+#: Documents that splitters are sampled from. Splitters only balance the parts.
+SAMPLE_DOCS = 1000
 _BYTE = tx.mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
 
@@ -55,6 +55,11 @@ class Shape:
     def w(self) -> int:
         return self.span - self.k + 1
 
+    @property
+    def lead(self) -> int:
+        """Bytes that parts are cut by: inside the gram, whose suffixes must meet in one part."""
+        return min(16, self.k)
+
     @property
     def left(self) -> int:
         return self.w - 1
@@ -343,10 +348,10 @@ def _candidates(b: Block, told: pa.Table, size: int) -> np.ndarray:
     return np.flatnonzero((abroad | local)[number]) if len(names) else np.zeros(0, np.int64)
 
 
-def _part_cuts(rows: np.ndarray, splitters: list[bytes]) -> np.ndarray:
+def _part_cuts(rows: np.ndarray, splitters: list[bytes], shape: Shape) -> np.ndarray:
     """The part of each sorted suffix."""
-    lead = np.ascontiguousarray(rows[:, :SPLITTER]).view(f"S{min(SPLITTER, rows.shape[1])}").ravel()
-    return np.searchsorted(np.array(splitters, f"S{SPLITTER}"), lead, "right") if splitters else np.zeros(len(rows), np.int64)
+    lead = np.ascontiguousarray(rows[:, : shape.lead]).view(f"S{shape.lead}").ravel()
+    return np.searchsorted(np.array(splitters, f"S{shape.lead}"), lead, "right") if splitters else np.zeros(len(rows), np.int64)
 
 
 def splitters(docs: DataFrame, parts: int, shape: Shape, doc_id: str = "doc_id", text: str = "text") -> list[bytes]:
@@ -358,7 +363,7 @@ def splitters(docs: DataFrame, parts: int, shape: Shape, doc_id: str = "doc_id",
     leads = []
     for raw in texts:
         at, _ = _picked(np.frombuffer(raw, np.uint8), shape)
-        leads += [raw[p : p + SPLITTER].ljust(SPLITTER, bytes([PAD])) for p in np.unique(at).tolist()]
+        leads += [raw[p : p + shape.lead] for p in np.unique(at).tolist()]
     leads.sort()
     return sorted({leads[len(leads) * i // parts] for i in range(1, parts)}) if len(leads) > parts else []
 
@@ -391,7 +396,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
             return bl.table_of([])
         b = read_block(table, shape)
         found, _, least, _ = sorted_suffixes(b, _candidates(b, told, size), shape)
-        part = _part_cuts(found, cuts) if len(found) else np.zeros(0, np.int64)
+        part = _part_cuts(found, cuts, shape) if len(found) else np.zeros(0, np.int64)
         return bl.table_of([(p, key[0].as_py(), RUNS, front_code(found[a:z], least[a:z])) for p, a, z in bl.cut_by_part(part, parts)])
 
     def merge(table: pa.Table) -> pa.Table:
