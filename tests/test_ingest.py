@@ -10,7 +10,7 @@ from tidemark.operators import transform as tf
 from tidemark.operators.rolling import rolling_features
 from tidemark.sources import messages as ms
 from tidemark.sources import offline
-from tidemark.sources.synth import synth_features
+from tidemark.sources.synth import Draw, synth_features
 from tidemark.streaming import ingest, state
 from tidemark.workspace import shared_dir
 
@@ -64,6 +64,7 @@ def test_transform_statuses(spark):
     assert good._event_ts == T0 + timedelta(seconds=0.5)
     stats = tf.ingest_stats(rows).first()
     assert stats.asDict() == {
+        "partition": 0,
         "messages_consumed": 10,
         "rows_written_online": 4,
         "rows_written_offline": 4,
@@ -71,7 +72,43 @@ def test_transform_statuses(spark):
         "errors": 5,
         "last_offset": 9,
     }
-    assert tf.dead_letters(rows).count() == 5
+    lost = {r._seq: (r._raw, r._reason) for r in tf.dead_letters(rows).collect()}
+    assert lost == {
+        2: ("{broken", "not parsed"),
+        4: (text(uid=None), "no entity"),
+        5: ("[1]", "not parsed"),
+        8: (json.dumps({"uid": "x", "n": 1}), "no event time"),
+        9: ("", "not parsed"),
+    }
+
+
+def test_no_time_stops_a_batch(spark):
+    schema = T.StructType([*MESSAGE.fields[:-1], T.StructField("ts", T.StringType())])
+    times = ["1e300", "NaN", "yesterday", "-1e14", "1700000000"]
+    rows = raw(0, [text(ts=t) for t in times])
+    parsed_ = ms.parse_messages(spark.createDataFrame(rows, RAW), schema, seq=F.col("offset"), write_ts=F.col("at"))
+    found = tf.apply_transform(FG, parsed_, record).orderBy("_seq").collect()
+    assert [r._status for r in found] == ["error"] * 4 + ["ok"]
+    assert {r._reason for r in found[:4]} == {"event time out of range"} and all(r._raw for r in found)
+
+
+def test_callback_errors_concern_one_message(spark):
+    def made(message):
+        if message["n"] < 0:
+            return None
+        return {"entity": message["uid"], "values": {"n": 100 // message["n"], "page": "p", "never": True}, "event_ts": message["ts"]}
+
+    rows = raw(0, [text(n=4), text(n=0), text(n=-1), "{", text(uid=None), text("v", 50)])
+    found = tf.apply_transform(FG, parsed(spark.createDataFrame(rows, RAW)), tf.Callback(made)).orderBy("_seq").collect()
+    assert [r._status for r in found] == ["ok", "error", "skipped", "error", "error", "ok"]
+    assert found[1]._reason.startswith("ZeroDivisionError")
+    assert [(r.uid, r.n, r.page, r.never) for r in (found[0], found[5])] == [("u", 25, "p", True), ("v", 2, "p", True)]
+
+
+def test_last_offset_of_each_partition(spark):
+    rows = tf.apply_transform(FG, parsed(spark.createDataFrame(FIRST + SECOND, RAW)), record)
+    stats = tf.ingest_stats(rows.withColumn("partition", F.col("_seq") % 2)).collect()
+    assert {r.partition: (r.messages_consumed, r.last_offset) for r in stats} == {0: (5, 8), 1: (5, 9)}
 
 
 @pytest.fixture
@@ -163,12 +200,14 @@ def test_synthetic_features(spark):
     ids = spark.range(20_000).select(F.concat(F.lit("u_"), F.col("id").cast("string")).alias("uid"))
     rows = synth_features(ids, "uid", "2024-01-31 00:00:00", seed=7)
     s = rows.agg(
-        F.avg("login_count"), F.avg("avg_session_seconds"), F.avg("days_since_last_login"),
-        F.avg("num_features_used"), F.min("_event_ts"), F.max("_event_ts"), F.avg("churned"),
+        F.avg("visits"), F.avg("minutes"), F.avg("idle_days"), F.min("_event_ts"),
+        F.max("_event_ts"), F.avg("leaves"), F.max("idle_days"),
     ).first()
-    assert s[0] == pytest.approx(3, abs=0.06) and s[3] == pytest.approx(2, abs=0.05)
-    assert s[1] == pytest.approx(120, rel=0.04) and s[2] == pytest.approx(44.5, abs=0.9)
-    assert s[4] > datetime(2024, 1, 30) - timedelta(seconds=1) and s[5] <= datetime(2024, 1, 31)
-    assert 0.05 < s[6] < 0.6
+    assert s[0] == pytest.approx(4, abs=0.07) and s[1] == pytest.approx(25, rel=0.04)
+    assert s[2] == pytest.approx(29.5, abs=0.7) and s[6] == 59
+    assert s[3] > datetime(2024, 1, 30) - timedelta(seconds=1) and s[4] <= datetime(2024, 1, 31)
+    assert 0.05 < s[5] < 0.6
+    own = synth_features(ids, "uid", "2024-01-31", {"x": Draw("below", 2)}, label=None)
+    assert own.columns == ["uid", "x", "_event_ts"] and {r.x for r in own.select("x").distinct().collect()} == {0, 1}
     again = synth_features(ids.repartition(13), "uid", "2024-01-31 00:00:00", seed=7)
     assert rows.exceptAll(again).isEmpty()

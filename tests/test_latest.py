@@ -1,5 +1,4 @@
 import random
-import shutil
 from datetime import datetime, timedelta
 
 import pytest
@@ -12,18 +11,18 @@ from tidemark.streaming import state
 
 T0 = datetime(2023, 11, 14, 22, 13, 20)
 GROUP = FeatureGroup(
-    "user_activity",
-    "user_id",
+    "device_state",
+    "device",
     (
-        Feature("login_count_7d", "int64", default_value=0),
-        Feature("avg_session_seconds", "float64", default_value=0.0),
-        Feature("is_premium", "bool", default_value=False),
-        Feature("last_country", "string", default_value="unknown"),
+        Feature("restarts", "int64", default_value=-1),
+        Feature("load", "float64", default_value=0.5),
+        Feature("charging", "bool", default_value=True),
+        Feature("firmware", "string", default_value="none"),
     ),
 )
 WRITES = (
-    "user_id string, login_count_7d long, avg_session_seconds double, is_premium boolean, "
-    "last_country string, _event_ts timestamp_ntz, _write_ts timestamp_ntz, _seq long"
+    "device string, restarts long, load double, charging boolean, "
+    "firmware string, _event_ts timestamp_ntz, _write_ts timestamp_ntz, _seq long"
 )
 NAMES = GROUP.feature_names
 
@@ -33,39 +32,39 @@ def write(spark, rows):
 
 
 def one(spark, rows, **options):
-    return {r.user_id: r for r in lv.latest_view(GROUP, write(spark, rows), **options).collect()}
+    return {r.device: r for r in lv.latest_view(GROUP, write(spark, rows), **options).collect()}
 
 
 def test_round_trip(spark):
     view = lv.latest_view(GROUP, write(spark, [("u1", 5, 120.5, True, "DE", T0, T0, 1)]))
     row = decode(GROUP, encode(GROUP, view)).first()
     assert [row[n] for n in NAMES] == [5, 120.5, True, "DE"]
-    assert row._event_ts == T0 and row.key == "ff:{user_activity:u1}:v1"
+    assert row._event_ts == T0 and row.key == "ff:{device_state:u1}:v1"
 
 
 def test_missing_entity_and_repeated_ids_get_one_row_of_defaults(spark):
-    ids = spark.createDataFrame([("ghost",), ("ghost",)], "user_id string")
+    ids = spark.createDataFrame([("ghost",), ("ghost",)], "device string")
     view = lv.latest_view(GROUP, write(spark, [("u1", 5, 1.0, True, "DE", T0, T0, 1)]))
     rows = lv.lookup_latest(GROUP, ids, view).collect()
-    assert [tuple(r) for r in rows] == [("ghost", 0, 0.0, False, "unknown", None)]
+    assert [tuple(r) for r in rows] == [("ghost", -1, 0.5, True, "none", None)]
 
 
 def test_partial_read_and_unknown_name(spark):
     view = lv.latest_view(GROUP, write(spark, [("u1", 7, None, None, None, T0, T0, 1)]))
-    row = lv.select_features(GROUP, view, ["login_count_7d", "nope"]).first()
+    row = lv.select_features(GROUP, view, ["restarts", "nope"]).first()
     assert row.asDict() == {
-        "user_id": "u1", "login_count_7d": 7, "nope": None, "_event_ts": T0
+        "device": "u1", "restarts": 7, "nope": None, "_event_ts": T0
     }
-    assert lv.select_features(GROUP, view, []).columns == ["user_id", *NAMES, "_event_ts"]
+    assert lv.select_features(GROUP, view, []).columns == ["device", *NAMES, "_event_ts"]
 
 
 def test_batch_write_read_many(spark):
     rows = [
         (f"user_{i}", i, None, None, None, T0 + timedelta(seconds=i), T0, i) for i in range(10)
     ]
-    ids = spark.createDataFrame([(f"user_{i}",) for i in range(10)], "user_id string")
+    ids = spark.createDataFrame([(f"user_{i}",) for i in range(10)], "device string")
     view = lv.latest_view(GROUP, write(spark, rows))
-    found = {r.user_id: r.login_count_7d for r in lv.lookup_latest(GROUP, ids, view).collect()}
+    found = {r.device: r.restarts for r in lv.lookup_latest(GROUP, ids, view).collect()}
     assert found == {f"user_{i}": i for i in range(10)}
 
 
@@ -77,10 +76,10 @@ def test_fields_merge_and_late_event_overwrites(spark):
         ("u", None, None, None, None, None, T0 + timedelta(seconds=2), 3),
     ]
     by_arrival = one(spark, rows[:2])["u"]
-    assert (by_arrival.login_count_7d, by_arrival.avg_session_seconds) == (9, 2.0)
+    assert (by_arrival.restarts, by_arrival.load) == (9, 2.0)
     assert by_arrival._event_ts == late
     by_event = one(spark, rows[:2], order="event_time")["u"]
-    assert (by_event.login_count_7d, by_event.last_country, by_event._event_ts) == (1, "FR", T0)
+    assert (by_event.restarts, by_event.firmware, by_event._event_ts) == (1, "FR", T0)
     # A write without event time happened when it was written.
     assert one(spark, rows)["u"]._event_ts == T0 + timedelta(seconds=2)
     with pytest.raises(ValueError):
@@ -130,10 +129,10 @@ def random_writes(seed, n=400):
 @pytest.mark.parametrize("ttl", [0, 60, 300, 400, 1000])
 def test_expiry_against_simulation(spark, ttl):
     rows = random_writes(ttl)
-    fg = FeatureGroup("user_activity", "user_id", GROUP.features, ttl_seconds=ttl)
+    fg = FeatureGroup("device_state", "device", GROUP.features, ttl_seconds=ttl)
     as_of = rows[-1][6] + timedelta(seconds=50)
     found = lv.latest_view(fg, write(spark, rows), as_of=as_of).collect()
-    got = {r.user_id: ([r[n] for n in NAMES], r._event_ts) for r in found}
+    got = {r.device: ([r[n] for n in NAMES], r._event_ts) for r in found}
     assert got == simulate(rows, ttl, as_of)
 
 
@@ -144,12 +143,12 @@ def test_session_zone_does_not_matter(spark):
         ("u", 1, None, None, None, before, before, 1),
         ("u", None, 2.0, None, None, after, after, 2),
     ]
-    fg = FeatureGroup("user_activity", "user_id", GROUP.features, ttl_seconds=3600 + 1000)
+    fg = FeatureGroup("device_state", "device", GROUP.features, ttl_seconds=3600 + 1000)
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")
         row = lv.latest_view(fg, write(spark, rows), as_of=after).first()
-        assert (row.login_count_7d, row.avg_session_seconds) == (None, 2.0)
+        assert (row.restarts, row.load) == (None, 2.0)
         assert row._event_ts == after
         exported = encode(fg, lv.latest_view(fg, write(spark, rows))).first().fields
         assert float(exported["_event_ts"]) == 1710039600.0
@@ -166,7 +165,7 @@ def test_expiry_is_exclusive_at_the_end(spark):
 
 def test_incremental_state_equals_batch(spark, tmp_path):
     rows = random_writes(3)
-    fg = FeatureGroup("user_activity", "user_id", GROUP.features, ttl_seconds=400)
+    fg = FeatureGroup("device_state", "device", GROUP.features, ttl_seconds=400)
     path = str(tmp_path / "state")
     as_of = rows[-1][6]
     for b in range(0, 400, 100):
@@ -178,37 +177,88 @@ def test_incremental_state_equals_batch(spark, tmp_path):
         want = lv.latest_view(fg, write(spark, rows[: b + 100]), as_of=rows[b + 99][6])
         got = state.read_latest(spark, fg, path, as_of=rows[b + 99][6])
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    assert {r.user_id for r in got.collect()} == set(simulate(rows, 400, as_of))
+    assert {r.device for r in got.collect()} == set(simulate(rows, 400, as_of))
     with pytest.raises(FileNotFoundError):
         state.read_latest(spark, fg, str(tmp_path / "nothing"))
 
 
-def test_compaction_covers_old_deltas(spark, tmp_path):
+def rows_of(df):
+    return sorted(str(r) for r in df.collect())
+
+
+def test_compaction_folds_and_vacuum_removes(spark, tmp_path):
     path = str(tmp_path / "state")
     rows = random_writes(8, 90)
     for b in range(3):
         state.add_writes(GROUP, write(spark, rows[30 * b : 30 * b + 30]), path, f"s-{b:06d}")
         if b == 1:
             assert state.compact(spark, GROUP, path) == 1
-    state.add_writes(GROUP, write(spark, [("new", 1, 1.0, True, "x", T0, T0, 1)]), path, "t-000000")
-    # A covered delta may disappear.
-    shutil.rmtree(tmp_path / "state" / "delta" / "batch=s-000000")
-    got = state.read_latest(spark, GROUP, path)
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [(NOT (regexp_extract" in plan
-    want = lv.latest_view(GROUP, write(spark, rows), expire=True)
-    seen = {str(r) for r in got.collect()}
-    assert len(seen) == want.count() + 1 and {str(r) for r in want.collect()} < seen
+    late = [("new", 1, 1.0, True, "x", T0, T0, 1)]
+    state.add_writes(GROUP, write(spark, late), path, "a-other-stream")
+    want = rows_of(lv.latest_view(GROUP, write(spark, rows + late), expire=True))
+    assert rows_of(state.read_latest(spark, GROUP, path)) == want
+    state.vacuum(spark, path)
+    assert not (tmp_path / "state/delta/batch=s-000000").exists()
+    assert (tmp_path / "state/delta/batch=s-000002").exists()
+    assert rows_of(state.read_latest(spark, GROUP, path)) == want
+    # A batch that was folded and removed may be replayed.
+    state.add_writes(GROUP, write(spark, rows[:30]), path, "s-000000")
+    assert rows_of(state.read_latest(spark, GROUP, path)) == want
     assert state.compact(spark, GROUP, path) == 2
-    assert {str(r) for r in state.read_latest(spark, GROUP, path).collect()} == seen
+    state.vacuum(spark, path)
+    assert rows_of(state.read_latest(spark, GROUP, path)) == want
+
+
+def test_only_touched_buckets_are_written_again(spark, tmp_path):
+    path = str(tmp_path / "state")
+    many = [(f"d{i}", i, None, None, None, T0, T0, i) for i in range(200)]
+    state.add_writes(GROUP, write(spark, many), path, "s-0")
+    state.compact(spark, GROUP, path)
+    state.add_writes(GROUP, write(spark, [("d7", 999, None, None, None, T0, T0, 999)]), path, "s-1")
+    state.compact(spark, GROUP, path)
+    assert len([p for p in (tmp_path / "state/base/gen=2").iterdir() if p.is_dir()]) == 1
+    found = {r.device: r.restarts for r in state.read_latest(spark, GROUP, path).collect()}
+    assert len(found) == 200 and found["d7"] == 999 and found["d8"] == 8
+
+
+def test_unfinished_batches_are_invisible(spark, tmp_path):
+    path = str(tmp_path / "state")
+    state.add_writes(GROUP, write(spark, [("a", 1, None, None, None, T0, T0, 1)]), path, "s-0")
+    half = lv.partial_rows(GROUP, write(spark, [("b", 2, None, None, None, T0, T0, 2)]))
+    half.write.parquet(f"{path}/delta/batch=s-1")
+    assert {r.device for r in state.read_latest(spark, GROUP, path).collect()} == {"a"}
+    state.compact(spark, GROUP, path)
+    both = [("b", 2, None, None, None, T0, T0, 2), ("c", 3, None, None, None, T0, T0, 3)]
+    state.add_writes(GROUP, write(spark, both), path, "s-1")
+    assert {r.device for r in state.read_latest(spark, GROUP, path).collect()} == {"a", "b", "c"}
+
+
+def test_state_of_empty_batches(spark, tmp_path):
+    path = str(tmp_path / "state")
+    state.add_writes(GROUP, write(spark, []), path, "s-0")
+    for number in (1, 2):
+        assert state.compact(spark, GROUP, path) == number
+    state.add_writes(GROUP, write(spark, [("a", 1, None, None, None, T0, T0, 1)]), path, "s-1")
+    assert state.read_latest(spark, GROUP, path).first().restarts == 1
+
+
+def test_a_later_write_with_a_lower_offset_wins(spark, tmp_path):
+    path = str(tmp_path / "state")
+    later = T0 + timedelta(seconds=50)
+    first, second = ("a", 1, None, None, "old", T0, T0, 900), ("a", 2, None, None, None, T0, later, 3)
+    state.add_writes(GROUP, write(spark, [first]), path, "s-0")
+    state.add_writes(GROUP, write(spark, [second]), path, "t-0")
+    for view in (state.read_latest(spark, GROUP, path), lv.latest_view(GROUP, write(spark, [second, first]))):
+        row = view.first()
+        assert (row.restarts, row.firmware) == (2, "old")
 
 
 def test_state_follows_an_added_feature(spark, tmp_path):
     path = str(tmp_path / "state")
-    old = FeatureGroup("user_activity", "user_id", GROUP.features[:2])
+    old = FeatureGroup("device_state", "device", GROUP.features[:2])
     state.add_writes(old, write(spark, [("u", 1, 1.0, None, None, T0, T0, 1)]), path, "s-000000")
     first = state.read_latest(spark, GROUP, path).first()
-    assert (first.login_count_7d, first.is_premium) == (1, None)
+    assert (first.restarts, first.charging) == (1, None)
     state.compact(spark, old, path)
     state.add_writes(GROUP, write(spark, [("u", 2, None, True, "x", T0, T0, 2)]), path, "s-000001")
     row = state.read_latest(spark, GROUP, path).first()
@@ -249,19 +299,19 @@ def test_features_for_model(spark):
     other = FeatureGroup("other", "uid", (Feature("z", "int64", default_value=-1),))
     z = spark.createDataFrame([("u2", 3, T0)], "uid string, z long, _event_ts timestamp_ntz")
     requests = spark.createDataFrame([("u1", 1), ("u2", 2), ("u1", 3), (None, 4)], "entity_id string, r int")
-    model = ModelVersion("m", 1, ("user_activity", "gone", "other"))
+    model = ModelVersion("m", 1, ("device_state", "gone", "other"))
     features = lv.features_for_model(
-        model, requests, {"user_activity": (GROUP, view), "other": (other, z)}, "entity_id"
+        model, requests, {"device_state": (GROUP, view), "other": (other, z)}, "entity_id"
     )
     for hot_rows in (2, 10):
         rows = {r.r: r for r in lv.attach_features(requests, features, "entity_id", hot_rows).collect()}
-        assert [(rows[i].login_count_7d, rows[i].z) for i in (1, 2, 3)] == [(5, -1), (0, 3), (5, -1)]
+        assert [(rows[i].restarts, rows[i].z) for i in (1, 2, 3)] == [(5, -1), (-1, 3), (5, -1)]
         assert len(rows) == 4
-    clash = FeatureGroup("clash", "uid", (Feature("login_count_7d", "int64"),))
+    clash = FeatureGroup("clash", "uid", (Feature("restarts", "int64"),))
     with pytest.raises(ValueError, match="several groups"):
         lv.features_for_model(
-            ModelVersion("m", 1, ("user_activity", "clash")),
+            ModelVersion("m", 1, ("device_state", "clash")),
             requests,
-            {"user_activity": (GROUP, view), "clash": (clash, view.withColumn("uid", F.lit("u")))},
+            {"device_state": (GROUP, view), "clash": (clash, view.withColumn("uid", F.lit("u")))},
             "entity_id",
         )

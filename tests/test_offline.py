@@ -29,7 +29,7 @@ def test_layout_null_times_and_replay(spark, tmp_path):
     seen = Observation()
     offline.write_features(V1, df, str(tmp_path), batch="b1", observation=seen)
     assert seen.get == {"rows": 2, "dropped": 1}
-    assert sorted(p.name for p in (tmp_path / "act_v1").iterdir() if p.is_dir()) == [
+    assert sorted(p.name for p in (tmp_path / "act_v1/batch=b1").iterdir() if p.is_dir()) == [
         "date=2024-01-01",
         "date=2024-01-02",
     ]

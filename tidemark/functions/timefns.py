@@ -22,8 +22,15 @@ def ntz_to_micros(ts: Column) -> Column:
     return (seconds * F.lit(1_000_000)).cast("bigint")
 
 
+#: Seconds of the years 1 and 9999 that a timestamp can hold.
+LEAST_SECONDS, MOST_SECONDS = -62_135_596_800, 253_402_300_799
+
+
 def epoch_seconds_to_ntz(seconds: Column) -> Column:
-    return micros_to_ntz(F.round(seconds.cast("double") * F.lit(1e6)).cast("bigint"))
+    """Null where the seconds are no number or no time between the years 1 and 9999."""
+    number = seconds.try_cast("double")
+    usable = F.when(number.between(float(LEAST_SECONDS), float(MOST_SECONDS)), number)
+    return micros_to_ntz(F.round(usable * F.lit(1e6)).cast("bigint"))
 
 
 def as_utc_ntz(ts: Column, dtype: T.DataType) -> Column:

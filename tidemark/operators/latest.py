@@ -1,8 +1,9 @@
 """Latest value per entity: per-field last-write-wins with expiry.
 
 Writes are rows (entity, features, ``_event_ts``, ``_write_ts``, ``_seq``); a null
-feature is a field the write does not carry. ``_seq`` is the order of arrival and
-grows with ``_write_ts``.
+feature is a field the write does not carry. Writes arrive in the order of
+``_write_ts`` and then ``_seq`` (an offset, say, which only orders one partition of
+one topic).
 
 Every write renews the expiry of the entity's whole record, so a pause of at
 least ``ttl`` between two writes wipes all fields. Cut time into cells of one
@@ -63,30 +64,28 @@ def partial_rows(
         *[F.col(f.name).cast(f.spark_type).alias(f.name) for f in fg.features],
     )
     if order == ARRIVAL:
-        folds = [
-            F.max_by(f.name, F.when(F.col(f.name).isNotNull(), F.col(SEQ))).alias(f.name)
-            for f in fg.features
-        ]
-        event = F.max_by("__event", SEQ)
+        newest = [F.col("__write"), F.col(SEQ)]
+        event = F.max_by("__event", F.struct(*newest))
     elif order == EVENT_TIME:
-        folds = [
-            F.max(
-                F.when(
-                    F.col(f.name).isNotNull(),
-                    F.struct(F.col("__event"), F.col(SEQ), F.col(f.name).alias("v")),
-                )
-            ).alias(f.name)
-            for f in fg.features
-        ]
+        newest = [F.col("__event"), F.col(SEQ)]
         event = F.max("__event")
     else:
         raise ValueError(f"order must be {ARRIVAL!r} or {EVENT_TIME!r}, not {order!r}")
+    folds = [
+        F.max(
+            F.when(
+                F.col(f.name).isNotNull(),
+                F.struct(newest[0].alias("at"), newest[1].alias("seq"), F.col(f.name).alias("v")),
+            )
+        ).alias(f.name)
+        for f in fg.features
+    ]
     folded = rows.groupBy(fg.entity, *cells).agg(
         F.min("__write").alias(FIRST_WRITE),
         F.max("__write").alias(LAST_WRITE),
         event.alias(EVENT_TS),
         *folds,
-        F.max(SEQ).alias("__seq"),
+        F.max_by(SEQ, F.struct(*newest)).alias("__seq"),
     )
     if not cells:
         folded = folded.withColumn(CELL, F.lit(0).cast("bigint"))
@@ -98,14 +97,10 @@ def merge_partials(
 ) -> DataFrame:
     """Merge partial rows to one row per entity, still in partial form."""
     alive = _last_island(fg, partials) if expire and fg.ttl_seconds > 0 else partials
+    merged = [F.max(f.name).alias(f.name) for f in fg.features]
     if order == ARRIVAL:
-        merged = [
-            F.max_by(f.name, F.when(F.col(f.name).isNotNull(), F.col(SEQ))).alias(f.name)
-            for f in fg.features
-        ]
-        event = F.max_by(EVENT_TS, SEQ)
+        event = F.max_by(EVENT_TS, F.struct(LAST_WRITE, SEQ))
     else:
-        merged = [F.max(f.name).alias(f.name) for f in fg.features]
         event = F.max(EVENT_TS)
     return alive.groupBy(fg.entity).agg(
         F.min(CELL).alias(CELL),
@@ -113,10 +108,30 @@ def merge_partials(
         F.max(LAST_WRITE).alias(LAST_WRITE),
         event.alias(EVENT_TS),
         *merged,
-        F.max(SEQ).alias("__seq"),
+        F.max_by(SEQ, F.struct(LAST_WRITE, SEQ)).alias("__seq"),
     ).withColumnRenamed("__seq", SEQ)
 
 
+def partial_schema(fg: FeatureGroup, entity: T.DataType) -> T.StructType:
+    """The columns of partial rows as they are stored."""
+    whole = T.LongType()
+    kept = [
+        T.StructField(
+            f.name,
+            T.StructType([T.StructField("at", whole), T.StructField("seq", whole), T.StructField("v", f.spark_type)]),
+        )
+        for f in fg.features
+    ]
+    return T.StructType(
+        [
+            T.StructField(fg.entity, entity),
+            *(T.StructField(c, whole) for c in (CELL, FIRST_WRITE, LAST_WRITE, EVENT_TS)),
+            *kept,
+            T.StructField(SEQ, whole),
+        ]
+    )
+
+
 def _last_island(fg: FeatureGroup, partials: DataFrame) -> DataFrame:
     """Keep the partial rows after an entity's last pause of at least ttl."""
     ttl_us = fg.ttl_seconds * 1_000_000
@@ -143,7 +158,7 @@ def finish_view(
         view = view.filter(F.col(LAST_WRITE) + F.lit(fg.ttl_seconds * 1_000_000) > now)
 
     def value(name: str) -> Column:
-        return (F.col(name) if order == ARRIVAL else F.col(name)["v"]).alias(name)
+        return F.col(name)["v"].alias(name)
 
     return view.select(
         fg.entity,

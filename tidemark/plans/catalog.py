@@ -169,6 +169,32 @@ def dedup_features(spark: SparkSession, sf: str) -> DataFrame:
     return offline.dedup_features(stored).drop("_ingest_ts")
 
 
+def replay_fewer_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch is written, and then again with its later dates only."""
+    root = new_run_dir(spark, "replay")
+    rows = event_log(spark, sf).drop("k")
+    offline.write_features(EVENT_LOG, rows, root, batch="one")
+    offline.write_features(EVENT_LOG, rows.filter(F.col(EVENT_TS) >= F.lit(SPLIT)), root, batch="one")
+    return offline.read_features(spark, EVENT_LOG, root).drop("_ingest_ts")
+
+
+def evolution_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Specs that retype or remove a stored feature are refused; the table stays as it was."""
+    root = new_run_dir(spark, "evolution")
+    rows = event_log(spark, sf).drop("k")
+    offline.write_features(EVENT_LOG, rows, root)
+    first, _, last = EVENT_LOG.features
+    removed = FeatureGroup("event_log", "user_id", (first, last), entity_dtype=I64)
+    retyped = FeatureGroup("event_log", "user_id", (first, Feature("event_type", I64), last), entity_dtype=I64)
+    refused = 0
+    for fg, batch in ((removed, rows.drop("event_type")), (retyped, rows.withColumn("event_type", F.lit(1)))):
+        try:
+            offline.write_features(fg, batch, root)
+        except ValueError:
+            refused += 1
+    return offline.read_features(spark, EVENT_LOG, root).drop("_ingest_ts").withColumn("refused", F.lit(refused))
+
+
 # ---- latest values ---------------------------------------------------------
 
 ACTIVITY = FeatureGroup(
@@ -339,9 +365,11 @@ MESSAGE = T.StructType(
         T.StructField("event_type", T.StringType()),
         T.StructField("value", T.DoubleType()),
         T.StructField("k", T.LongType()),
-        T.StructField("ts", T.DoubleType()),
+        T.StructField("ts", T.StringType()),
     ]
 )
+#: Times that some messages have instead: no number, out of range, no time at all.
+ODD_TIMES = {44: "NaN", 46: "1e300", 48: "yesterday"}
 STREAMED = FeatureGroup(
     "streamed",
     "user_id",
@@ -351,8 +379,11 @@ STREAMED = FeatureGroup(
 
 
 def to_messages(rows: DataFrame) -> DataFrame:
-    """Events as JSON messages; those with k ending in 3 are cut off mid-text."""
-    seconds = ntz_to_micros(F.col("ts")) / F.lit(1e6)
+    """Events as JSON messages; those with k ending in 3 are cut off mid-text, and some have
+    an event time that is none."""
+    seconds = (ntz_to_micros(F.col("ts")) / F.lit(1e6)).cast("string")
+    for k, text in ODD_TIMES.items():
+        seconds = F.when(k_of() == k, text).otherwise(seconds)
     text = F.to_json(F.struct("user_id", "event_type", "value", k_of().alias("k"), seconds.alias("ts")))
     cut = F.when(k_of() % 10 == 3, F.substring(text, 1, 20)).otherwise(text)
     raw = rows.select(cut.alias("value"), F.col("event_id").alias("offset"), F.col("ts").alias("at"))
@@ -376,17 +407,20 @@ def transform_dead_letter(spark: SparkSession, sf: str) -> DataFrame:
         "user_id",
         "k",
         F.round(ntz_to_micros(F.col(EVENT_TS)) / F.lit(1e6), 3).alias("seconds"),
+        F.col(tf.REASON).alias("reason"),
+        # What is kept of a rejected message begins like the message.
+        F.when(F.col(tf.STATUS) == tf.ERROR, F.substring(ms.RAW, 1, 11)).alias("raw"),
     )
 
 
 def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return tf.ingest_stats(tf.apply_transform(STREAMED, to_messages(events(spark, sf)), even_k))
+    """Three partitions, by event."""
+    rows = tf.apply_transform(STREAMED, to_messages(events(spark, sf)), even_k)
+    return tf.ingest_stats(rows.withColumn(ms.PARTITION, F.col(SEQ) % 3))
 
 
-def _stream(spark: SparkSession, sf: str, label: str) -> ingest.Ingest:
-    """Run the events table through the stream and wait for its end."""
-    base = new_run_dir(spark, label)
-    job = ingest.Ingest(
+def _job(base: str) -> ingest.Ingest:
+    return ingest.Ingest(
         STREAMED,
         even_k,
         root=f"{base}/offline",
@@ -394,6 +428,12 @@ def _stream(spark: SparkSession, sf: str, label: str) -> ingest.Ingest:
         stats_path=f"{base}/stats",
         dead_letter_path=f"{base}/dead",
     )
+
+
+def _stream(spark: SparkSession, sf: str, label: str) -> ingest.Ingest:
+    """Run the events table through the stream and wait for its end."""
+    base = new_run_dir(spark, label)
+    job = _job(base)
     source = (
         spark.readStream.schema(events(spark, sf).schema)
         .option("pathGlobFilter", "events.parquet")
@@ -413,6 +453,30 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_latest_multi(spark: SparkSession, sf: str) -> DataFrame:
+    """Six files, one a micro-batch, with compaction between them; the last batch comes after
+    it."""
+    base = new_run_dir(spark, "stream-multi")
+    job = _job(base)
+    rows = events(spark, sf)
+    parts = rows.select(F.percentile("event_id", [i / 6 for i in range(1, 6)])).first()[0]
+    before = None
+    for i, upto in enumerate([*parts, None]):
+        here = F.lit(True) if before is None else F.col("event_id") > before
+        here = here if upto is None else here & (F.col("event_id") <= upto)
+        rows.filter(here).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        before = upto
+        if i % 2 == 0:
+            continue
+        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        query = ingest.start_ingest(to_messages(source), job, f"{base}/checkpoint", available_now=True)
+        query.awaitTermination()
+        if upto is not None:
+            state.compact(spark, STREAMED, job.state_path)
+            state.vacuum(spark, job.state_path)
+    return state.read_latest(spark, STREAMED, job.state_path)
+
+
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     job = _stream(spark, sf, "stream-latest")
     state.compact(spark, STREAMED, job.state_path)
@@ -750,7 +814,7 @@ def rolling_features(spark: SparkSession, sf: str) -> DataFrame:
 def synth(spark: SparkSession, sf: str) -> DataFrame:
     entities = table(spark, sf, "customer")
     found = synth_features(entities, "c_custkey", AS_OF)
-    return found.withColumn("avg_session_seconds", F.round("avg_session_seconds", 4))
+    return found.withColumn("minutes", F.round("minutes", 4))
 
 
 def train_eval(spark: SparkSession, sf: str) -> DataFrame:
@@ -779,6 +843,8 @@ QUERIES = {
     "offline_roundtrip": offline_roundtrip,
     "evolved_scan": evolved_scan,
     "dedup_features": dedup_features,
+    "replay_fewer_dates": replay_fewer_dates,
+    "evolution_checked": evolution_checked,
     "latest_view": latest_view,
     "latest_event_time": latest_event_time,
     "latest_ttl": latest_ttl,
@@ -792,6 +858,7 @@ QUERIES = {
     "ingest_stats": ingest_stats,
     "stream_ingest": stream_ingest,
     "stream_latest": stream_latest,
+    "stream_latest_multi": stream_latest_multi,
     "quantile_edges": quantiles,
     "histogram": histogram,
     "psi": psi,

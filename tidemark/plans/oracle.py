@@ -134,22 +134,25 @@ FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
 
 STATUS = f"""
 SELECT *, {K} AS kk,
-  CASE WHEN {K} % 10 = 3 THEN 'error' WHEN {K} % 2 = 0 THEN 'ok' ELSE 'skipped' END AS status
+  CASE WHEN {K} % 10 = 3 OR {K} IN (44, 46, 48) THEN 'error' WHEN {K} % 2 = 0 THEN 'ok' ELSE 'skipped' END AS status
 FROM events
 """
 DEAD_LETTER = f"""
 SELECT event_id, status,
-  CASE WHEN status <> 'error' THEN user_id END AS user_id,
-  CASE WHEN status <> 'error' THEN kk END AS k,
-  CASE WHEN status <> 'error' THEN round(epoch_us(ts) / 1e6, 3) END AS seconds
-FROM ({STATUS})
+  CASE WHEN status <> 'error' OR k_odd THEN user_id END AS user_id,
+  CASE WHEN status <> 'error' OR k_odd THEN kk END AS k,
+  CASE WHEN status <> 'error' THEN round(epoch_us(ts) / 1e6, 3) END AS seconds,
+  CASE WHEN k_odd THEN 'event time out of range' WHEN status = 'error' THEN 'not parsed' END AS reason,
+  CASE WHEN status = 'error' THEN '{{"user_id":' END AS raw
+FROM (SELECT *, kk IN (44, 46, 48) AS k_odd FROM ({STATUS}))
 """
 INGEST_STATS = f"""
-SELECT count(*) AS messages_consumed, count(*) FILTER (status = 'ok') AS rows_written_online,
+SELECT CAST(event_id % 3 AS INTEGER) AS partition, count(*) AS messages_consumed,
+  count(*) FILTER (status = 'ok') AS rows_written_online,
   count(*) FILTER (status = 'ok') AS rows_written_offline,
   count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS errors,
   max(event_id) AS last_offset
-FROM ({STATUS})
+FROM ({STATUS}) GROUP BY event_id % 3
 """
 STREAM_INGEST = f"""
 SELECT user_id, ts AS _event_ts, value, kk AS k, event_type FROM ({STATUS}) WHERE status = 'ok'
@@ -489,19 +492,15 @@ def _poisson(stream: str, mean: float) -> str:
 
 
 SYNTH = f"""
-WITH u AS (SELECT DISTINCT c_custkey, {_poisson("logins", 3.0)} AS login_count,
-    -120.0::DOUBLE * ln(1.0 - {_uniform("session")}) AS avg_session_seconds,
-    CAST(floor({_uniform("recency")} * 90) AS BIGINT) AS days_since_last_login,
-    {_poisson("features", 2.0)} AS num_features_used,
+WITH u AS (SELECT DISTINCT c_custkey, CAST({_poisson("visits", 4.0)} AS BIGINT) AS visits,
+    -25.0::DOUBLE * ln(1.0 - {_uniform("minutes")}) AS minutes,
+    CAST(floor({_uniform("idle_days")} * 60) AS BIGINT) AS idle_days,
     TIMESTAMP '{AS_OF}' - to_seconds(floor({_uniform("time")} * 86400)) AS _event_ts,
-    0.5 * sqrt(-2.0 * ln(1.0 - {_uniform("noise_r")}))
+    0.8 * sqrt(-2.0 * ln(1.0 - {_uniform("noise_r")}))
       * cos(2.0 * pi() * {_uniform("noise_a")}) AS noise
   FROM customer)
-SELECT c_custkey, CAST(login_count AS BIGINT) AS login_count,
-  round(avg_session_seconds, 4) AS avg_session_seconds, days_since_last_login,
-  CAST(num_features_used AS BIGINT) AS num_features_used, _event_ts,
-  CAST(-0.5 * login_count + 0.04 * days_since_last_login - 0.3 * num_features_used + noise > 0
-    AS INTEGER) AS churned
+SELECT c_custkey, visits, round(minutes, 4) AS minutes, idle_days, _event_ts,
+  CAST(noise - 0.7 * visits - 0.02 * minutes + 0.08 * idle_days > 0 AS INTEGER) AS leaves
 FROM u
 """
 
@@ -516,6 +515,8 @@ ORACLE = {
     "offline_roundtrip": f"SELECT {EVENT_LOG} FROM events",
     "evolved_scan": f"""SELECT {EVENT_LOG}, CASE WHEN {AFTER} THEN {K} END AS k FROM events""",
     "dedup_features": f"SELECT DISTINCT {EVENT_LOG} FROM events",
+    "replay_fewer_dates": f"SELECT {EVENT_LOG} FROM events WHERE {AFTER}",
+    "evolution_checked": f"SELECT {EVENT_LOG}, 2 AS refused FROM events",
     "latest_view": _fold(WRITES),
     "latest_event_time": _fold(LATE, "ts, event_id"),
     "latest_ttl": LATEST_TTL,
@@ -529,6 +530,7 @@ ORACLE = {
     "ingest_stats": INGEST_STATS,
     "stream_ingest": STREAM_INGEST,
     "stream_latest": STREAM_LATEST,
+    "stream_latest_multi": STREAM_LATEST,
     "quantile_edges": QUANTILES,
     "histogram": HISTOGRAM,
     "psi": _psi(["value"], OLD_VALUES, NEW_VALUES),

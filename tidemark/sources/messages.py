@@ -9,14 +9,17 @@ from pyspark.sql import types as T
 from tidemark.functions.timefns import as_utc_ntz
 from tidemark.spec import SEQ, WRITE_TS
 
+#: The text of a message as it came, and its partition.
+RAW, PARTITION = "_raw", "partition"
+
 
 def read_kafka(
     spark: SparkSession, options: dict[str, str], schema: T.StructType, stream: bool = True
 ) -> DataFrame:
-    """Messages of a topic as (msg, ``_seq``, ``_write_ts``, partition).
+    """Messages of a topic as (msg, ``_seq``, ``_write_ts``, raw text, partition).
 
-    ``_seq`` is the offset: a producer that keys by entity keeps each entity in one
-    partition, so offsets order an entity's writes. Needs Spark's Kafka package;
+    ``_seq`` is the offset, which orders the writes of one partition at one time;
+    before it, writes are ordered by the broker's time. Needs Spark's Kafka package;
     ``maxOffsetsPerTrigger`` bounds a micro-batch.
     """
     reader = spark.readStream if stream else spark.read
@@ -26,7 +29,7 @@ def read_kafka(
         schema,
         seq=F.col("offset"),
         write_ts=as_utc_ntz(F.col("timestamp"), T.TimestampType()),
-        keep=["partition"],
+        keep=[PARTITION],
     )
 
 
@@ -38,7 +41,8 @@ def parse_messages(
     value: str = "value",
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Parse a JSON ``value`` column; malformed text gives a null ``msg``."""
+    """Parse a JSON ``value`` column; malformed text gives a null ``msg``. The text is kept
+    as ``_raw``, for messages that turn out to be errors."""
     text = F.col(value).cast("string")
     corrupt = T.StructField("_corrupt", T.StringType())
     with_corrupt = T.StructType([*schema.fields, corrupt])
@@ -49,6 +53,7 @@ def parse_messages(
         parsed.alias("__parsed"),
         seq.cast("bigint").alias(SEQ),
         write_ts.alias(WRITE_TS),
+        text.alias(RAW),
         *(keep or []),
     )
     fields = F.struct(*[F.col("__parsed")[f.name].alias(f.name) for f in schema.fields])
@@ -58,5 +63,6 @@ def parse_messages(
         ),
         SEQ,
         WRITE_TS,
+        RAW,
         *(keep or []),
     )

@@ -1,8 +1,10 @@
 """Offline feature tables: date-partitioned, append-only parquet.
 
-Layout: ``<root>/<group>_v<version>/date=YYYY-MM-DD/batch=<label>/*.parquet``.
-A batch owns its ``batch=`` folders, so writing the same batch again replaces
-exactly its own rows; batches never touch one another.
+Layout: ``<root>/<group>_v<version>/batch=<label>/date=YYYY-MM-DD/*.parquet`` and
+``_spec/spec.json``. A batch owns its ``batch=`` folder, so writing the same batch again
+replaces exactly its own rows, whatever their dates; batches never touch one another.
+The spec lies beside the rows: a batch whose spec removes or retypes a stored feature
+is refused before anything is written.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.files import Files
 from tidemark.functions.timefns import as_utc_ntz
 from tidemark.spec import EVENT_TS, INGEST_TS, FeatureGroup, FeatureType
 
@@ -63,6 +66,8 @@ def write_features(
     dates together and split large ones into several files.
     """
     check_columns(fg, df)
+    path = table_path(fg, root)
+    _keep_spec(df.sparkSession, fg, path)
     if batch is None:
         batch = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
     event_ts = as_utc_ntz(F.col(EVENT_TS), df.schema[EVENT_TS].dataType)
@@ -77,21 +82,28 @@ def write_features(
             F.count(EVENT_TS).alias("rows"),
             F.count_if(F.col(EVENT_TS).isNull()).alias("dropped"),
         )
-    rows = rows.filter(F.col(EVENT_TS).isNotNull()).withColumns(
-        {"date": F.to_date(EVENT_TS), "batch": F.lit(batch)}
-    )
-    path = table_path(fg, root)
+    rows = rows.filter(F.col(EVENT_TS).isNotNull()).withColumn("date", F.to_date(EVENT_TS))
     (
         rows.hint("rebalance", "date")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static")
         .option("compression", "zstd")
-        .partitionBy("date", "batch")
-        .parquet(path)
+        .partitionBy("date")
+        .parquet(f"{path}/batch={batch}")
     )
     return path
 
 
+def _keep_spec(spark: SparkSession, fg: FeatureGroup, path: str) -> None:
+    """Check the spec against the stored one, and store it if it is new or has grown."""
+    files, folder = Files(spark), f"{path}/_spec"
+    if "spec.json" in files.names(folder):
+        stored = FeatureGroup.from_json(files.read(f"{folder}/spec.json"))
+        if not check_evolution(T.StructType([f.struct_field() for f in stored.features]), fg)["added"]:
+            return
+    files.write(f"{folder}/spec.json", fg.to_json())
+
+
 def read_features(
     spark: SparkSession,
     fg: FeatureGroup,
@@ -148,7 +160,7 @@ def dedup_features(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
 
 
 def check_evolution(stored: T.StructType, fg: FeatureGroup) -> dict[str, list[str]]:
-    """Compare a stored table with a spec: features may be added, not removed."""
+    """Compare stored features with a spec: they may be added, not removed or retyped."""
     meta = {fg.entity, EVENT_TS, INGEST_TS, "date", "batch"}
     old = {f.name: f.dataType for f in stored.fields if f.name not in meta}
     new = {f.name: f.spark_type for f in fg.features}

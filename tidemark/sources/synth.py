@@ -7,6 +7,7 @@ the entities are partitioned and a re-run task repeats its rows.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,39 +34,61 @@ def poisson(u: Column, mean: float) -> Column:
     return F.size(F.filter(steps, lambda c: c <= u)).cast("bigint")
 
 
+@dataclass(frozen=True)
+class Draw:
+    """How a feature is drawn: ``poisson`` with a mean, ``exponential`` with a mean, or
+    ``below``, a whole number under ``size``."""
+
+    kind: str
+    size: float
+
+    def of(self, u: Column) -> Column:
+        if self.kind == "poisson":
+            return poisson(u, self.size)
+        if self.kind == "exponential":
+            return -F.lit(float(self.size)) * F.ln(F.lit(1.0) - u)
+        if self.kind == "below":
+            return F.floor(u * self.size).cast("bigint")
+        raise ValueError(f"unknown kind {self.kind!r}")
+
+
+@dataclass(frozen=True)
+class Score:
+    """A 0/1 label: whether a weighted sum of features plus normal noise is above zero."""
+
+    name: str
+    weights: dict[str, float]
+    noise: float
+
+
+VISITS = {"visits": Draw("poisson", 4.0), "minutes": Draw("exponential", 25.0), "idle_days": Draw("below", 60)}
+LEAVES = Score("leaves", {"visits": -0.7, "minutes": -0.02, "idle_days": 0.08}, 0.8)
+
+
 def synth_features(
     entities: DataFrame,
     entity: str,
     as_of: object,
+    recipe: dict[str, Draw] | None = None,
+    label: Score | None = LEAVES,
     seed: int = 42,
-    label: str | None = "churned",
 ) -> DataFrame:
-    """Poisson logins and features, exponential session length, uniform recency, an
-    event time within the day before ``as_of``, and a label from a linear score
-    with normal noise."""
+    """Features drawn by ``recipe``, an event time within the day before ``as_of``, and the
+    label. Every value is a function of entity, seed and feature name."""
 
     def u(stream: str) -> Column:
         return uniform(F.col(entity), seed, stream)
 
-    rows = entities.select(entity).distinct()
-    rows = rows.select(
-        entity,
-        poisson(u("logins"), 3.0).alias("login_count"),
-        (-F.lit(120.0) * F.ln(F.lit(1.0) - u("session"))).alias("avg_session_seconds"),
-        F.floor(u("recency") * 90).cast("bigint").alias("days_since_last_login"),
-        poisson(u("features"), 2.0).alias("num_features_used"),
-        F.timestamp_add(
-            "SECOND", -F.floor(u("time") * 86400).cast("bigint"), as_of_literal(as_of)
-        ).alias(EVENT_TS),
+    drawn = {name: draw.of(u(name)).alias(name) for name, draw in (recipe or VISITS).items()}
+    seconds = -F.floor(u("time") * 86400).cast("bigint")
+    rows = entities.select(entity).distinct().select(
+        entity, *drawn.values(), F.timestamp_add("SECOND", seconds, as_of_literal(as_of)).alias(EVENT_TS)
     )
     if label is None:
         return rows
+    # Two uniform numbers make a normal one.
     radius = F.sqrt(F.lit(-2.0) * F.ln(F.lit(1.0) - u("noise_r")))
-    noise = F.lit(0.5) * radius * F.cos(F.lit(2.0 * math.pi) * u("noise_a"))
-    scored = (
-        F.lit(-0.5) * F.col("login_count")
-        + F.lit(0.04) * F.col("days_since_last_login")
-        - F.lit(0.3) * F.col("num_features_used")
-        + noise
-    )
-    return rows.withColumn(label, (scored > 0).cast("int"))
+    score = F.lit(label.noise) * radius * F.cos(F.lit(2.0 * math.pi) * u("noise_a"))
+    for name, weight in label.weights.items():
+        score = score + F.lit(weight) * F.col(name)
+    return rows.withColumn(label.name, (score > 0).cast("int"))

@@ -93,22 +93,14 @@ def ingest_batch(messages: DataFrame, job: Ingest, batch_id: int = 0) -> None:
 
 
 def read_stats(spark: SparkSession, job: Ingest) -> DataFrame:
-    """Totals over all micro-batches."""
+    """Totals over all micro-batches, one row for each partition of the source."""
+    counts = (
+        "messages_consumed", "rows_written_online", "rows_written_offline", "skipped", "errors"
+    )
     return (
         spark.read.parquet(job.stats_path)
-        .agg(
-            *[
-                F.sum(c).alias(c)
-                for c in (
-                    "messages_consumed",
-                    "rows_written_online",
-                    "rows_written_offline",
-                    "skipped",
-                    "errors",
-                )
-            ],
-            F.max("last_offset").alias("last_offset"),
-        )
+        .groupBy("partition")
+        .agg(*[F.sum(c).alias(c) for c in counts], F.max("last_offset").alias("last_offset"))
     )
 
 

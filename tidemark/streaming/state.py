@@ -1,114 +1,154 @@
 """The latest view as a table that micro-batches add to.
 
 Each micro-batch folds its own writes and adds the partial rows as one
-``batch=<label>`` folder: cost grows with the batch, not with the state. Readers
-merge all partial rows. ``compact`` folds what is there into a new generation and
-notes how far it reaches, so that readers skip the folders it contains. Because
-merging a partial row twice changes nothing, compaction and ingestion need no lock.
-
-Labels end in a zero-padded number that grows within a stream. Layout below
-``path``: ``delta/batch=<label>/``, ``base/gen=<n>/`` and ``generations/`` with one
-row per finished generation and stream.
+``delta/batch=<label>/`` folder: cost grows with the batch, not with the state. Only
+after the folder is complete is the batch committed, by an empty file in ``commits/``;
+readers and ``compact`` see committed batches and nothing else.
+
+``compact`` folds the committed batches into the base. Rows are dealt into buckets by a
+hash of the entity, and only buckets that the batches touch are written again. Its last
+step is a file in ``generations/`` that names, for each bucket, the folder that holds it,
+and the batches that are folded in. Merging a partial row twice changes nothing, so a
+batch that is replayed after it was folded does no harm, and a reader that still uses
+the generation before sees the same state. ``vacuum`` removes what no generation since
+the newest needs.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.latest import finish_view, merge_partials, partial_rows
+from tidemark.files import Files
+from tidemark.operators.latest import finish_view, merge_partials, partial_rows, partial_schema
 from tidemark.spec import FeatureGroup
 
+#: Buckets of a new state. More of them make a compaction of few entities cheaper.
+BUCKETS = 32
+
+
+@dataclass(frozen=True)
+class _Generation:
+    number: int
+    buckets: int
+    #: The generation whose folder holds a bucket.
+    folders: dict[int, int]
+    folded: frozenset[str]
+
+
+def _newest(files: Files, path: str) -> _Generation:
+    numbers = [int(n) for n in files.names(f"{path}/generations")]
+    if not numbers:
+        return _Generation(0, BUCKETS, {}, frozenset())
+    found = json.loads(files.read(f"{path}/generations/{max(numbers)}"))
+    folders = {int(b): g for b, g in found["folders"].items()}
+    return _Generation(max(numbers), found["buckets"], folders, frozenset(found["folded"]))
+
+
+def _bucket(fg: FeatureGroup, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(fg.entity), F.lit(buckets)).cast("int")
+
 
 def add_writes(fg: FeatureGroup, writes: DataFrame, path: str, batch: str) -> None:
-    """Add one micro-batch; adding the same batch again replaces it."""
+    """Add one micro-batch and commit it; adding the same batch again replaces it."""
+    files = Files(writes.sparkSession)
+    files.delete(f"{path}/commits/{batch}")
     partial_rows(fg, writes).write.mode("overwrite").option("compression", "zstd").parquet(
         f"{path}/delta/batch={batch}"
     )
+    files.write(f"{path}/commits/{batch}", "")
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def _newest(spark: SparkSession, path: str) -> tuple[int, dict[str, str]]:
-    """The newest finished generation and the last label of each stream in it."""
-    finished = _read(spark, f"{path}/generations")
-    if finished is None:
-        return 0, {}
-    newest = finished.agg(F.max("gen")).first()[0]
-    rows = finished.filter(F.col("gen") == newest).collect()
-    return newest, {r.stream: r.upto for r in rows}
+def _read(spark: SparkSession, fg: FeatureGroup, paths: list[str]) -> DataFrame | None:
+    """Partial rows in the shape of the current spec: a feature added after a file was
+    written is null there."""
+    if not paths:
+        return None
+    entity = fg.entity_dtype.spark_type if fg.entity_dtype else spark.read.parquet(paths[0]).schema[fg.entity].dataType
+    return spark.read.schema(partial_schema(fg, entity)).parquet(*paths)
 
 
-def _stream() -> Column:
-    return F.regexp_extract("batch", r"^(.*?)\d*$", 1)
+def _deltas(spark: SparkSession, fg: FeatureGroup, path: str, batches: list[str]) -> DataFrame | None:
+    return _read(spark, fg, [f"{path}/delta/batch={b}" for b in batches])
 
 
-def _pending(spark: SparkSession, path: str, covered: dict[str, str]) -> DataFrame | None:
-    """Partial rows of the deltas after a generation; others are not even listed as
-    input, since ``batch`` is a partition column."""
-    deltas = _read(spark, f"{path}/delta")
-    if deltas is None:
-        return None
-    deltas = deltas.withColumn("batch", F.col("batch").cast("string"))
-    for stream, upto in covered.items():
-        deltas = deltas.filter((_stream() != stream) | (F.col("batch") > upto))
-    return deltas
+def _base(spark: SparkSession, fg: FeatureGroup, path: str, at: _Generation, only: set[int] | None = None) -> DataFrame | None:
+    folders = [f"{path}/base/gen={g}/bucket={b}" for b, g in sorted(at.folders.items()) if only is None or b in only]
+    return _read(spark, fg, folders)
 
 
-def _partials(
-    fg: FeatureGroup, base: DataFrame | None, pending: DataFrame | None, path: str
-) -> DataFrame:
-    """All partial rows in the shape of the current spec: a feature added after a
-    file was written is absent there."""
-    if base is None and pending is None:
-        raise FileNotFoundError(f"no state below {path}")
-    parts = [p.drop("batch") for p in (base, pending) if p is not None]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    new = [f for f in fg.features if f.name not in rows.columns]
-    return rows.withColumns({f.name: F.lit(None).cast(f.spark_type) for f in new})
+def _together(parts: list[DataFrame | None]) -> DataFrame | None:
+    found = [p for p in parts if p is not None]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1]) if found else None
 
 
-def _base(spark: SparkSession, path: str, generation: int) -> DataFrame | None:
-    return spark.read.parquet(f"{path}/base/gen={generation}") if generation else None
+def _pending(files: Files, path: str, at: _Generation) -> list[str]:
+    return [b for b in files.names(f"{path}/commits") if b not in at.folded]
 
 
 def read_latest(
     spark: SparkSession, fg: FeatureGroup, path: str, as_of: object = None
 ) -> DataFrame:
-    """The latest view; with ``as_of``, without the records expired by then."""
-    generation, covered = _newest(spark, path)
-    base, pending = _base(spark, path, generation), _pending(spark, path, covered)
-    rows = _partials(fg, base, pending, path)
+    """The latest view of all committed batches; with ``as_of``, without the records
+    expired by then."""
+    files = Files(spark)
+    at = _newest(files, path)
+    rows = _together([_base(spark, fg, path, at), _deltas(spark, fg, path, _pending(files, path, at))])
+    if rows is None:
+        raise FileNotFoundError(f"no state below {path}")
     return finish_view(fg, merge_partials(fg, rows), as_of)
 
 
 def compact(spark: SparkSession, fg: FeatureGroup, path: str) -> int:
-    """Fold everything into a new generation and return its number.
+    """Fold the committed batches into the base and return the new generation's number.
 
-    Older generations and the deltas it contains are not read any more and may be
-    deleted once no reader that started before still runs.
+    One compaction runs at a time; ingestion and readers need not stop.
     """
-    generation, covered = _newest(spark, path)
-    pending = _pending(spark, path, covered)
-    rows = _partials(fg, _base(spark, path, generation), pending, path)
-    merge_partials(fg, rows).write.mode("overwrite").option("compression", "zstd").parquet(
-        f"{path}/base/gen={generation + 1}"
-    )
-    if pending is not None:
-        last = pending.groupBy(_stream().alias("stream")).agg(F.max("batch").alias("upto"))
-        covered = covered | {r.stream: r.upto for r in last.collect()}
-    finished = [(generation + 1, stream, upto) for stream, upto in covered.items()]
-    spark.createDataFrame(finished, "gen long, stream string, upto string").coalesce(
-        1
-    ).write.mode("append").parquet(f"{path}/generations")
-    return generation + 1
+    files = Files(spark)
+    at = _newest(files, path)
+    pending = _pending(files, path, at)
+    number = at.number + 1
+    deltas = _deltas(spark, fg, path, pending)
+    folders = dict(at.folders)
+    if deltas is not None:
+        of = _bucket(fg, at.buckets)
+        touched = {r[0] for r in deltas.select(of.alias("b")).distinct().collect()}
+        rows = _together([_base(spark, fg, path, at, touched), deltas])
+        merged = merge_partials(fg, rows).withColumn("bucket", of)
+        merged.repartition("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy(
+            "bucket"
+        ).parquet(f"{path}/base/gen={number}")
+        folders |= dict.fromkeys(touched, number)
+    known = {"buckets": at.buckets, "folders": folders, "folded": sorted(at.folded | set(pending))}
+    files.write(f"{path}/generations/{number}", json.dumps(known))
+    return number
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Remove folded batches, and base folders and generations that the newest does not use.
+    Call it once no reader that started before the newest generation still runs."""
+    files = Files(spark)
+    at = _newest(files, path)
+    if not at.number:
+        return
+    # The list of folded batches is emptied last: a batch without a commit is not read.
+    for batch in sorted(at.folded):
+        files.delete(f"{path}/commits/{batch}")
+        files.delete(f"{path}/delta/batch={batch}")
+    for folder in files.names(f"{path}/base"):
+        number = int(folder.removeprefix("gen="))
+        used = {b for b, g in at.folders.items() if g == number}
+        if not used:
+            files.delete(f"{path}/base/{folder}")
+            continue
+        for bucket in files.names(f"{path}/base/{folder}"):
+            if int(bucket.removeprefix("bucket=")) not in used:
+                files.delete(f"{path}/base/{folder}/{bucket}")
+    known = {"buckets": at.buckets, "folders": at.folders, "folded": []}
+    files.write(f"{path}/generations/{at.number}", json.dumps(known))
+    for name in files.names(f"{path}/generations"):
+        if int(name) < at.number:
+            files.delete(f"{path}/generations/{name}")
