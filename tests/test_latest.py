@@ -182,6 +182,18 @@ def test_incremental_state_equals_batch(spark, tmp_path):
         state.read_latest(spark, fg, str(tmp_path / "nothing"))
 
 
+def test_views_of_batch_and_state_agree(spark, tmp_path):
+    path = str(tmp_path / "state")
+    pause = T0 + timedelta(days=2)
+    rows = [("a", 1, 2.0, None, None, T0, T0, 1), ("a", None, 3.0, None, None, pause, pause, 2)]
+    state.add_writes(GROUP, write(spark, rows), path, "s-0")
+    for as_of in (None, pause + timedelta(hours=1), pause + timedelta(days=3)):
+        batch = lv.latest_view(GROUP, write(spark, rows), as_of=as_of)
+        assert rows_of(batch) == rows_of(state.read_latest(spark, GROUP, path, as_of=as_of))
+    assert lv.latest_view(GROUP, write(spark, rows)).first().restarts is None
+    assert lv.latest_view(GROUP, write(spark, rows), expire=False).first().restarts == 1
+
+
 def rows_of(df):
     return sorted(str(r) for r in df.collect())
 

@@ -176,12 +176,12 @@ def latest_view(
 ) -> DataFrame:
     """One row per entity with the newest value of each field.
 
-    Expiry applies when ``as_of`` (the read time) is given, unless ``expire`` says
-    otherwise. ``order="event_time"`` lets the newest event win instead of the
+    A group with a ttl expires: a pause of at least ttl between two writes wipes what was
+    there, unless ``expire`` is false. ``as_of`` (the read time) decides about the last
+    write as well; without it the newest record counts as alive. ``order="event_time"`` lets the newest event win instead of the
     newest arrival.
     """
-    expire = (as_of is not None) if expire is None else expire
-    expire = expire and fg.ttl_seconds > 0
+    expire = fg.ttl_seconds > 0 and expire is not False
     partials = partial_rows(fg, writes, order, expire)
     if not expire:
         # A single cell: the fold already is one row per entity.

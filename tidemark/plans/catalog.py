@@ -269,12 +269,12 @@ def customer_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def online_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    view = lv.latest_view(ACTIVITY, wide_writes(spark, sf))
+    view = lv.latest_view(ACTIVITY, wide_writes(spark, sf), as_of=AS_OF)
     return lv.lookup_latest(ACTIVITY, customer_ids(spark, sf), view)
 
 
 def partial_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    view = lv.latest_view(ACTIVITY, wide_writes(spark, sf))
+    view = lv.latest_view(ACTIVITY, wide_writes(spark, sf), as_of=AS_OF)
     return lv.lookup_latest(ACTIVITY, customer_ids(spark, sf), view, ["click", "is_big", "nope"])
 
 
@@ -285,6 +285,7 @@ ORDERS_GROUP = FeatureGroup(
         Feature("last_price", F64, default_value=-1.0),
         Feature("last_status", TEXT, default_value="none"),
     ),
+    ttl_seconds=0,
     entity_dtype=I64,
 )
 
@@ -299,7 +300,7 @@ def model_features(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias(SEQ),
     )
     views = {
-        "activity": (ACTIVITY, lv.latest_view(ACTIVITY, wide_writes(spark, sf))),
+        "activity": (ACTIVITY, lv.latest_view(ACTIVITY, wide_writes(spark, sf), as_of=AS_OF)),
         "order_activity": (ORDERS_GROUP, lv.latest_view(ORDERS_GROUP, order_writes)),
     }
     model = ModelVersion("churn", 1, ("activity", "order_activity", "not_registered"))
@@ -316,7 +317,7 @@ def feature_age(spark: SparkSession, sf: str) -> DataFrame:
 def kv_export(spark: SparkSession, sf: str) -> DataFrame:
     """Exported fields, one row each; doubles are shown as numbers because their
     text form is not standardised."""
-    view = lv.latest_view(ACTIVITY, wide_writes(spark, sf))
+    view = lv.latest_view(ACTIVITY, wide_writes(spark, sf), as_of=AS_OF)
     fields = export_kv(ACTIVITY, view).select("key", F.explode("fields").alias("field", "text"))
     is_number = F.col("field").isin([*TYPES, EVENT_TS])
     return fields.select(
@@ -732,6 +733,7 @@ SERVED = FeatureGroup(
         Feature("error", F64, default_value=0.0),
         Feature("view", F64),
     ),
+    ttl_seconds=0,
 )
 ORDER = ["click", "error", "view"]
 
@@ -786,7 +788,7 @@ def shadow_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_vector(spark: SparkSession, sf: str) -> DataFrame:
-    view = lv.latest_view(ACTIVITY, wide_writes(spark, sf))
+    view = lv.latest_view(ACTIVITY, wide_writes(spark, sf), as_of=AS_OF)
     order = ["click", "last_k", "is_big", "purchase"]
     vectors = customer_ids(spark, sf).join(view, "user_id", "left").withColumn(
         "vector", scoring.feature_vector(order)

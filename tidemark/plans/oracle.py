@@ -58,7 +58,6 @@ def _fold(source: str, order: str = "event_id", event: str = "ts") -> str:
       FROM ({source}) w GROUP BY user_id"""
 
 
-LATE = f"SELECT * REPLACE (ts - to_hours(CAST(k AS INTEGER)) AS ts) FROM ({WRITES})"
 
 ISLANDS = f"""
 SELECT * EXCLUDE (prev, island, last_island) FROM (
@@ -68,6 +67,7 @@ SELECT * EXCLUDE (prev, island, last_island) FROM (
       SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM ({WRITES}))))
 WHERE island = last_island
 """
+LATE = f"SELECT * REPLACE (ts - to_hours(CAST(k AS INTEGER)) AS ts) FROM ({ISLANDS})"
 LATEST_TTL = f"""
 SELECT v.* FROM ({_fold(ISLANDS)}) v
 JOIN (SELECT user_id, max(ts) AS last_write FROM events GROUP BY user_id) e USING (user_id)
@@ -85,7 +85,7 @@ ACTIVITY = ", ".join(
 )
 LOOKUP = f"""
 SELECT i.user_id, {ACTIVITY}, v._event_ts
-FROM {IDS} i LEFT JOIN ({_fold(WRITES)}) v USING (user_id)
+FROM {IDS} i LEFT JOIN ({LATEST_TTL}) v USING (user_id)
 """
 PARTIAL_LOOKUP = f"""
 SELECT user_id, click, is_big, CAST(NULL AS VARCHAR) AS nope, _event_ts FROM ({LOOKUP})
@@ -95,9 +95,9 @@ SELECT l.* EXCLUDE (_event_ts), l._event_ts AS _ts_activity,
   coalesce(o.last_price, -1.0) AS last_price, coalesce(o.last_status, 'none') AS last_status,
   o._event_ts AS _ts_order_activity
 FROM ({LOOKUP}) l LEFT JOIN (
-  SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS last_price,
-    arg_max(o_orderstatus, o_orderkey) AS last_status,
-    arg_max(o_orderdate, o_orderkey) AS _event_ts
+  SELECT o_custkey, arg_max(o_totalprice, row(o_orderdate, o_orderkey)) AS last_price,
+    arg_max(o_orderstatus, row(o_orderdate, o_orderkey)) AS last_status,
+    arg_max(o_orderdate, row(o_orderdate, o_orderkey)) AS _event_ts
   FROM orders GROUP BY o_custkey) o ON l.user_id = o.o_custkey
 """
 FEATURE_AGE = f"""
@@ -120,7 +120,7 @@ def _kv_export() -> str:
         f"SELECT {key}, 'last_type', last_type, {zero} FROM v",
         f"SELECT {key}, 'is_big', CASE WHEN is_big THEN '1' ELSE '0' END, {zero} FROM v",
     ]
-    return f"WITH v AS ({_fold(WRITES)}) " + " UNION ALL ".join(parts)
+    return f"WITH v AS ({LATEST_TTL}) " + " UNION ALL ".join(parts)
 
 
 KV_DECODE = """
@@ -459,7 +459,7 @@ FROM scored WHERE prediction IS NOT NULL AND shadows <> '' GROUP BY 1, 2
 FEATURE_VECTOR = f"""
 SELECT i.user_id, coalesce(v.click, 0.0) AS x0, CAST(coalesce(v.last_k, 0) AS DOUBLE) AS x1,
   CASE WHEN v.is_big THEN 1.0::DOUBLE ELSE 0.0 END AS x2, coalesce(v.purchase, 0.0) AS x3
-FROM (SELECT c_custkey AS user_id FROM customer) i LEFT JOIN ({_fold(WRITES)}) v USING (user_id)
+FROM (SELECT c_custkey AS user_id FROM customer) i LEFT JOIN ({LATEST_TTL}) v USING (user_id)
 """
 
 # ---- feeders ---------------------------------------------------------------
@@ -517,7 +517,7 @@ ORACLE = {
     "dedup_features": f"SELECT DISTINCT {EVENT_LOG} FROM events",
     "replay_fewer_dates": f"SELECT {EVENT_LOG} FROM events WHERE {AFTER}",
     "evolution_checked": f"SELECT {EVENT_LOG}, 2 AS refused FROM events",
-    "latest_view": _fold(WRITES),
+    "latest_view": _fold(ISLANDS),
     "latest_event_time": _fold(LATE, "ts, event_id"),
     "latest_ttl": LATEST_TTL,
     "online_lookup": LOOKUP,
