@@ -249,3 +249,20 @@ def test_serve_end_to_end(spark, hot_rows):
         assert (r.model_version, r.prediction) == (version, a * version)
         assert r.shadow_predictions == {"v1": a}
         assert r.feature_age_seconds == ({"act": 3600.0} if r.entity_id == "u_0" else {})
+
+
+def test_models_that_raise(spark):
+    def picky(matrix):
+        if (matrix[:, 0] > 2).any():
+            raise RuntimeError("cannot score")
+        return matrix[:, 0] * 10
+
+    rows = [(i, "m", 1 + i % 2, [2] if i % 2 == 0 else [], float(i)) for i in range(6)]
+    routed = spark.createDataFrame(
+        rows, "r int, model_name string, model_version int, shadow_versions array<int>, a double"
+    ).coalesce(1)
+    predictors = {("m", 1): scoring.array_predictor(lambda m: m[:, 0]), ("m", 2): scoring.array_predictor(picky)}
+    found = {r.r: r for r in scoring.score(routed, predictors, ["a"]).collect()}
+    assert [found[i].prediction for i in range(6)] == [0.0, 10.0, 2.0, None, 4.0, None]
+    assert [found[i].score_error for i in (1, 3, 5)] == [None, scoring.FAILED, scoring.FAILED]
+    assert [found[i].shadow_predictions for i in (0, 2, 4)] == [{"v2": 0.0}, {"v2": 20.0}, {}]

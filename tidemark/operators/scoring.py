@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 Predictor = Callable[[Column], Column]
 
 NOT_LOADED = "model version not loaded"
+FAILED = "prediction failed"
 
 
 def feature_vector(order: list[str], overrides: str | None = None) -> Column:
@@ -48,19 +49,33 @@ def linear_predictor(weights: list[float], intercept: float = 0.0) -> Predictor:
 def array_predictor(predict: Callable[[np.ndarray], np.ndarray]) -> Predictor:
     """Any model with a vectorised ``predict(matrix)``, run on Arrow batches.
 
-    Null vectors (rows that belong to another version) are not shown to the model.
+    Null vectors (rows that belong to another version) are not shown to the model. Where
+    it raises, the batch is halved until only the rows that fail are left; those get null.
     """
 
+    def scored(matrix: np.ndarray) -> np.ndarray:
+        try:
+            return np.asarray(predict(matrix), dtype="float64").reshape(len(matrix))
+        except Exception:  # noqa: BLE001  a model's failure concerns its own rows only
+            if len(matrix) == 1:
+                return np.full(1, np.nan)
+            half = len(matrix) // 2
+            return np.concatenate([scored(matrix[:half]), scored(matrix[half:])])
+
     def per_batch(vectors: pd.Series) -> pd.Series:
         out = pd.Series(np.nan, index=vectors.index, dtype="float64")
         mine = vectors.notna()
         if mine.any():
-            matrix = np.stack(vectors[mine].to_numpy())
-            out[mine] = np.asarray(predict(matrix), dtype="float64")
+            out[mine] = scored(np.stack(vectors[mine].to_numpy()))
         return out
 
     udf = F.pandas_udf(per_batch, T.DoubleType())
-    return lambda vector: F.when(vector.isNotNull(), udf(vector))
+
+    def column(vector: Column) -> Column:
+        value = F.when(vector.isNotNull(), udf(vector))
+        return F.when(~F.isnan(value), value)
+
+    return column
 
 
 def score(
@@ -76,7 +91,9 @@ def score(
 
     Adds ``prediction``, ``score_error`` and ``shadow_predictions``, a map from
     ``v<version>`` to the shadow's value. A shadow that is not loaded or fails
-    (null) has no entry and never affects the request.
+    (null) has no entry and never affects the request; a primary that fails is an
+    error of its request. Each version is run once, on the requests that it answers
+    or watches.
     """
     orders = order if isinstance(order, Mapping) else dict.fromkeys(predictors, order)
     distinct = {tuple(names) for names in orders.values()}
@@ -89,13 +106,12 @@ def score(
         is_model = F.col(model_col) == model
         mine = is_model & (F.col("model_version") == version)
         vector = vectors[model, version]
-        value = predict(F.when(mine, vector)).cast("double")
+        watched = is_model & F.array_contains("shadow_versions", F.lit(version))
+        value = predict(F.when(mine | watched, vector)).cast("double")
         primary = F.when(mine, value).otherwise(primary)
         loaded = loaded | mine
-        watched = is_model & F.array_contains("shadow_versions", F.lit(version))
-        shadow = predict(F.when(watched, vector)).cast("double")
         shadows.append(
-            F.struct(F.lit(f"v{version}").alias("key"), F.when(watched, shadow).alias("value"))
+            F.struct(F.lit(f"v{version}").alias("key"), F.when(watched, value).alias("value"))
         )
     succeeded = F.filter(F.array(*shadows), lambda s: s["value"].isNotNull())
     return routed.withColumns(
@@ -104,7 +120,7 @@ def score(
             "score_error": F.when(
                 F.col("model_version").isNotNull() & ~F.coalesce(loaded, F.lit(False)),
                 F.lit(NOT_LOADED),
-            ),
+            ).when(loaded & primary.isNull(), F.lit(FAILED)),
             "shadow_predictions": F.map_from_entries(succeeded),
         }
     )
