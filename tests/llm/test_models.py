@@ -163,9 +163,11 @@ def test_toxic_documents(spark):
 
 
 def test_toxicity_without_labels(spark):
-    rows = fx.awkward(spark).select("doc_id", "text", F.lit(0).alias("toxic"))
-    for known in (rows.where("false"), rows, rows.withColumn("toxic", F.lit(1))):
-        found = tq.score(rows.select("doc_id", "text"), tq.learn(known)).collect()
+    docs = fx.awkward(spark).select("doc_id", "text")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    odd = spark.createDataFrame([(None, 1), (1, None), (77, 1)], "doc_id long, toxic int")
+    for labels in (none, odd, docs.select("doc_id", F.lit(0).alias("toxic")), docs.select("doc_id", F.lit(1).alias("toxic"))):
+        found = tq.score(docs, tq.learn(docs, labels)).collect()
         assert len(found) == 6 and all(0 <= r.score <= 1 for r in found)
 
 
@@ -173,12 +175,13 @@ def test_label_model_finds_the_hidden_label():
     draw = np.random.default_rng(1)
     n, m = 3000, 12
     truth = draw.random(n) < 0.2
-    fires = draw.random((n, m)) < np.where(truth[:, None], 0.5, 0.02)
+    # Silent voters abstain: those that fire wrongly do so seldom.
+    fires = draw.random((n, m)) < np.where(truth[:, None], 0.4, 0.003)
     fires = np.concatenate([fires, fires[:, :1], fires[:, :1]], axis=1)  # three voters say the same
     doc, voter = np.nonzero(fires)
     prior = np.stack([np.full(m + 2, 0.4), np.full(m + 2, 0.05)], axis=1)
     post = tq.label_model(doc, voter, n, prior, 0.2)
-    assert ((post > 0.5) == truth).mean() > 0.97
+    assert ((post > 0.5) == truth).mean() > 0.95
     weights, bias = tq.fit_linear(doc, voter, n, m + 2, post)
     score = 1 / (1 + np.exp(-(bias + np.bincount(doc, weights[voter], n))))
     assert ((score > 0.5) == truth).mean() > 0.95

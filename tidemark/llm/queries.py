@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity, wordpiece
 
@@ -54,9 +53,8 @@ def op5_minmax_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    labels = table(spark, sf, "labels").where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
-    known = docs.where(~held_out()).join(labels, F.col("doc_id") == F.col("_id"))
-    model = toxicity.learn(known.select("doc_id", F.lower("text").alias("text"), "toxic"))
+    labels = table(spark, sf, "labels").where(~held_out())
+    model = toxicity.learn(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
     return toxicity.score(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
 
 

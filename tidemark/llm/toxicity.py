@@ -2,7 +2,7 @@
 
 Voters are a lexicon (words) and patterns (beginnings of words, four to eight
 characters long), occurring once or several times, that documents marked toxic hold far more often than others; their
-counts come from all labelled training documents. Whether a voter fires is evidence, not
+counts come from the labelled training documents. Whether a voter fires is evidence, not
 truth: a label model with one hidden label per document estimates, by expectation
 maximisation over the votes alone, how often each voter fires in either class. Voters
 are not independent (a pattern fires with every word it begins); the model estimates
@@ -10,8 +10,8 @@ their correlations inside the classes and shares the weight of voters that say t
 Its posteriors are the labels of a logistic regression over the same votes, which scores
 every document.
 
-The counts and scores cover all rows and whole texts. Label model and regression are
-fitted on at most ``FIT_ROWS`` labelled documents, chosen by a hash of their ids.
+Scores cover all rows and whole texts. The fit uses whole texts of at most ``FIT_ROWS``
+labelled documents, chosen by a hash of their ids.
 
 Null and empty texts have no votes and get the score of that. Without training rows, or
 without toxic ones, the score is the share of toxic rows (0 without rows).
@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import text as tx
+from tidemark.llm.scratch import Scratch
 
-#: Labelled documents that the label model and the regression are fitted on, at most.
-FIT_ROWS = 40_000
+#: Labelled documents that voters, label model and regression are fitted on, at most; their
+#: ids and marks go to all tasks (nine bytes each).
+FIT_ROWS = 100_000
 #: Voters, at most: those with the strongest evidence (a likelihood ratio).
 VOTERS = 3000
 #: Toxic documents a voter needs, its least share among toxic over that among other
@@ -240,8 +242,37 @@ def fit_linear(doc: np.ndarray, voter: np.ndarray, n: int, m: int, target: np.nd
     return w, b
 
 
-def learn(rows: DataFrame, doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
-    """Learn from labelled rows (doc_id, text lower-cased, toxic 0 or 1)."""
+def _training_rows(docs: DataFrame, marks: list[tuple[int, int]]) -> DataFrame:
+    """(text lower-cased, toxic) of the documents whose ids are in ``marks``, without a shuffle."""
+    ids = np.array([m[0] for m in marks], np.int64)
+    toxic = np.array([m[1] for m in marks], np.int32)
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(ids, doc), len(ids) - 1)
+            rows = np.flatnonzero(ids[at] == doc)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows)), pa.array(toxic[at[rows]])], names=["text", "toxic"])
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
+    return rows.mapInArrow(picked, "text string, toxic int").select(F.lower("text").alias("text"), "toxic")
+
+
+def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Learn from documents (doc_id, text) and labels (doc_id, toxic 0 or 1).
+
+    Labels without an id or a mark are left out; several of one document count as the
+    highest. At most about ``fit_rows`` labels, chosen by a hash of the id, are used.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    total = known.count()
+    if total > fit_rows:
+        known = known.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * fit_rows / total))
+    marks = sorted((r["doc_id"], r["toxic"]) for r in known.collect())
+    if not marks:
+        return Model(Voters(np.zeros(0, np.uint64), np.zeros((0, len(LEVELS)), np.int64), 0), np.zeros(0), float(np.log(1e-9)))
+    rows = Scratch(docs.sparkSession, "toxicity").save(_training_rows(docs, marks), "training")
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n, toxic = int(sizes["n"]), int(sizes["t"])
     if not toxic or toxic == n:
@@ -250,10 +281,6 @@ def learn(rows: DataFrame, doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) ->
     voters, bad, fine = choose_voters(feature_counts(rows), toxic, n - toxic)
     prior = np.stack([bad / toxic, (fine + 0.5) / (n - toxic)], axis=1) if voters.count else np.zeros((0, 2))
 
-    some = rows
-    if n > fit_rows:
-        some = rows.where(F.pmod(F.xxhash64(F.lit(11), doc_id), F.lit(1 << 30)) < int((1 << 30) * fit_rows / n))
-
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = tx.bytes_of(batch.column(0))
@@ -264,7 +291,7 @@ def learn(rows: DataFrame, doc_id: str = "doc_id", fit_rows: int = FIT_ROWS) ->
                 yield pa.RecordBatch.from_arrays([lists], names=["voters"])
 
     # Equal sets of votes are one row with a count; the fit does not depend on their order.
-    found = some.select("text").mapInArrow(vote, "voters array<int>").groupBy("voters").count().collect()
+    found = rows.select("text").mapInArrow(vote, "voters array<int>").groupBy("voters").count().collect()
     found = sorted((tuple(r["voters"]), r["count"]) for r in found)
     lists = [v for v, times in found for _ in range(times)]
     doc = np.repeat(np.arange(len(lists)), [len(v) for v in lists]) if lists else np.zeros(0, np.int64)
