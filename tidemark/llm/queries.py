@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf, "documents"), window=20)
-    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
