@@ -19,7 +19,7 @@ from tidemark.operators import latest as lv
 from tidemark.operators import transform as tf
 from tidemark.operators.pit import point_in_time_join
 from tidemark.operators.quantiles import quantile_edges
-from tidemark.plans.serving import serve
+from tidemark.plans.serving import serve, serve_at_request
 from tidemark.plans.training import training_set
 from tidemark.sources import messages as ms
 from tidemark.sources import offline
@@ -788,6 +788,40 @@ def shadow_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("agreement", "mean_abs_diff")})
 
 
+def _own_groups(spark: SparkSession, sf: str) -> dict[str, tuple[FeatureGroup, DataFrame]]:
+    groups = {}
+    for name in ("click", "view"):
+        fg = FeatureGroup(name, "entity_id", (Feature("value", F64, default_value=0.0),))
+        rows = events(spark, sf).filter(F.col("event_type") == name)
+        entity = F.concat(F.lit("u_"), F.col("user_id").cast("string")).alias("entity_id")
+        groups[name] = (fg, rows.select(entity, F.col("ts").alias(EVENT_TS), "value"))
+    return groups
+
+
+def _served_at_request(spark: SparkSession, sf: str) -> DataFrame:
+    """Version 1 uses clicks, version 2 clicks and views, others are not in the model log."""
+    models, predictors = [], {}
+    for name in ("click", "purchase"):
+        models += [ModelVersion(name, 1, ("click",)), ModelVersion(name, 2, ("click", "view"))]
+        predictors[name, 1] = scoring.linear_predictor([2.0], 1.0)
+        predictors[name, 2] = scoring.linear_predictor([0.5, 0.25], -1.0)
+    log = daily_deployments(spark, sf, versions=4)
+    return serve_at_request(requests(spark, sf), log, models, _own_groups(spark, sf), predictors)
+
+
+def request_score(spark: SparkSession, sf: str) -> DataFrame:
+    return _served_at_request(spark, sf).select(
+        "event_id", "model_version", F.round("prediction", 6).alias("prediction"), "score_error"
+    )
+
+
+def request_age(spark: SparkSession, sf: str) -> DataFrame:
+    ages = F.col("feature_age_seconds")
+    return _served_at_request(spark, sf).select(
+        "event_id", *[F.round(ages[n], 6).alias(f"{n}_age") for n in ("click", "view")]
+    )
+
+
 def feature_vector(spark: SparkSession, sf: str) -> DataFrame:
     view = lv.latest_view(ACTIVITY, wide_writes(spark, sf), as_of=AS_OF)
     order = ["click", "last_k", "is_big", "purchase"]
@@ -887,6 +921,8 @@ QUERIES = {
     "fetch_histogram": fetch_histogram,
     "batch_score": batch_score,
     "shadow_agreement": shadow_agreement,
+    "request_score": request_score,
+    "request_age": request_age,
     "feature_vector": feature_vector,
     "rolling_features": rolling_features,
     "synth_features": synth,

@@ -458,6 +458,34 @@ SELECT model_name, CAST(shadows AS INTEGER) AS shadow_version, count(*) AS reque
     THEN CAST(abs(prediction - shadow_v3) AS DOUBLE) END), 6) AS mean_abs_diff
 FROM scored WHERE prediction IS NOT NULL AND shadows <> '' GROUP BY 1, 2
 """
+# The newest click and view at or before each request, if younger than a day.
+AT_REQUEST = """
+SELECT e.event_id, c.value AS click, epoch_us(e.ts) - epoch_us(c.ts) AS click_us,
+  v.value AS view, epoch_us(e.ts) - epoch_us(v.ts) AS view_us
+FROM events e
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c
+  ON e.user_id = c.user_id AND e.ts >= c.ts
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v
+  ON e.user_id = v.user_id AND e.ts >= v.ts
+"""
+DAY_US = 86_400_000_000
+REQUEST_AGE = f"""
+SELECT event_id, CASE WHEN click_us < {DAY_US} THEN round(click_us / 1e6, 6) END AS click_age,
+  CASE WHEN view_us < {DAY_US} THEN round(view_us / 1e6, 6) END AS view_age
+FROM ({AT_REQUEST})
+"""
+REQUEST_SCORE = f"""{_routes("d % 4 + 1")},
+f AS (SELECT event_id, CASE WHEN click_us < {DAY_US} THEN click ELSE 0.0 END AS click,
+    CASE WHEN view_us < {DAY_US} THEN view ELSE 0.0 END AS view FROM ({AT_REQUEST})),
+y AS (SELECT r.*, click, view,
+    model_name IN ('click', 'purchase') AND model_version IN (1, 2) AS listed
+  FROM routed r JOIN f USING (event_id))
+SELECT event_id, model_version,
+  round(CASE WHEN listed AND model_version = 1 THEN 1.0 + 2.0 * click
+    WHEN listed THEN -1.0 + 0.5 * click + 0.25 * view END, 6) AS prediction,
+  CASE WHEN model_version IS NOT NULL AND NOT listed THEN 'model not found' END AS score_error
+FROM y
+"""
 FEATURE_VECTOR = f"""
 SELECT i.user_id, coalesce(v.click, 0.0) AS x0, CAST(coalesce(v.last_k, 0) AS DOUBLE) AS x1,
   CASE WHEN v.is_big THEN 1.0::DOUBLE ELSE 0.0 END AS x2, coalesce(v.purchase, 0.0) AS x3
@@ -558,6 +586,8 @@ ORACLE = {
     "fetch_histogram": _latency("value / 2000", FEATURE_FETCH_BUCKETS),
     "batch_score": BATCH_SCORE,
     "shadow_agreement": SHADOW_AGREEMENT,
+    "request_score": REQUEST_SCORE,
+    "request_age": REQUEST_AGE,
     "feature_vector": FEATURE_VECTOR,
     "rolling_features": ROLLING,
     "synth_features": SYNTH,
