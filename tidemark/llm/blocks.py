@@ -45,12 +45,18 @@ def dealt(docs: DataFrame, at: Layout, doc_id: str = "doc_id", text: str = "text
     block = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("bigint"), F.xxhash64(text))), F.lit(at.blocks)).cast("int")
     more = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
     named = docs.select(block.alias("block"), F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *more)
-    return named.repartition(at.blocks, "block")
+    return named.repartitionById(at.blocks, F.col("block"))
 
 
 def messages(found: DataFrame, to: str, count: int) -> DataFrame:
-    """Messages grouped at their receivers."""
-    return found.select(F.col("target").alias(to), *(["block"] if to != "block" else []), "kind", "body").repartition(count, to)
+    """Messages at their receivers, each receiver in one partition of its own."""
+    sender = ["block"] if to != "block" else []
+    return found.select(F.col("target").alias(to), *sender, "kind", "body").repartitionById(count, F.col(to))
+
+
+def together(a: DataFrame, b: DataFrame, count: int) -> DataFrame:
+    """Two kinds of messages for the blocks, dealt like the blocks."""
+    return a.union(b).repartitionById(count, F.col("block"))
 
 
 def doc_ids(column: pa.ChunkedArray) -> np.ndarray:

@@ -182,7 +182,6 @@ def dedup_substrings(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
             first_doc, first_place, _ = _resolve(tx.window_hashes(b.hashes, window)[start], doc, place, _answers(told, WINDOWS))
             copied[open_] = (first_doc != doc) | (first_place != place)
             gone = tx.covered(len(b.words), b.start[copied], window)
-            edge = np.diff(np.r_[0, gone.astype(np.int8), 0])
             per_doc = np.bincount(b.doc[factors.start], minlength=len(b.ids))
             raw = b.data.tobytes()
             bounds = list(zip(b.words.start.tolist(), b.words.end.tolist(), strict=True))
@@ -196,7 +195,6 @@ def dedup_substrings(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
                     spans = [{"start": s, "length": n} for s, n in zip(on.tolist(), (off - on).tolist(), strict=True)]
                 for c, v in zip(found, (int(b.ids[i]), hi - lo, int(lost.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), spans, int(per_doc[i])), strict=True):
                     found[c].append(v)
-            del edge
         ids = pa.array(found["doc_id"], pa.int64())
         return pa.table(
             {
@@ -215,4 +213,5 @@ def dedup_substrings(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
     owners = bl.messages(bl.messages(asked, "part", parts).groupBy("part").applyInArrow(lambda t: bl.firsts(t, OWNERS), bl.MESSAGE), "block", at.blocks)
     asked = rows.groupBy("block").cogroup(owners.groupBy("block")).applyInArrow(compare, bl.MESSAGE)
     found = bl.messages(bl.messages(asked, "part", parts).groupBy("part").applyInArrow(lambda t: bl.firsts(t, WINDOWS), bl.MESSAGE), "block", at.blocks)
-    return rows.groupBy("block").cogroup(owners.union(found).groupBy("block")).applyInArrow(remove, schema)
+    told = bl.together(owners, found, at.blocks)
+    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, schema)

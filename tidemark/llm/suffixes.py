@@ -446,7 +446,9 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
 
     def answers(found: DataFrame) -> DataFrame:
         """Answers at their blocks; a part names itself as the sender."""
-        return found.select(F.col("target").alias("block"), F.col("block").alias("from"), "kind", "body").repartition(at.blocks, "block")
+        return found.select(F.col("target").alias("block"), F.col("block").alias("from"), "kind", "body").repartitionById(
+            at.blocks, F.col("block")
+        )
 
     asked = rows.groupBy("block").applyInArrow(ask, bl.MESSAGE)
     known = answers(bl.messages(asked, "part", parts).groupBy("part").applyInArrow(seen, bl.MESSAGE))
@@ -454,5 +456,6 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
     found = answers(bl.messages(sent, "part", parts).groupBy("part").applyInArrow(merge, bl.MESSAGE))
     found_types = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     schema = T.StructType([*kept_types, *T.StructType.fromDDL(found_types).fields])
-    done = rows.groupBy("block").cogroup(known.union(found).groupBy("block")).applyInArrow(remove, schema)
+    told = bl.together(known, found, at.blocks)
+    done = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(remove, schema)
     return done.withColumnsRenamed({f"_{i}": name for i, name in enumerate(carry)})
