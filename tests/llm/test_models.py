@@ -262,3 +262,30 @@ def test_sketches_merge_and_bound_their_error(spark):
 def test_quality_of_awkward_rows(spark):
     assert quality_filter(fx.empty(spark)).collect() == []
     assert [r.kept for r in quality_filter(fx.awkward(spark)).collect()] == [False] * 6
+
+
+def _replaced(draw, words, share):
+    """Words with a share of them, all before the answer, replaced by new ones."""
+    before = len(words) - max(3, len(words) // 5)
+    gone = set(draw.sample(range(before), round(share * len(words))))
+    return [f"new{draw.randrange(10**9)}" if i in gone else w for i, w in enumerate(words)]
+
+
+def test_paraphrases_are_found_in_any_number_of_documents(spark, monkeypatch):
+    draw = random.Random(11)
+    common = sorted({fx.sentence(draw, 1) for _ in range(400)})
+    items = {i: [draw.choice(common) for _ in range(n)] for i, n in enumerate((15, 16, 23, 30, 38, 47, 59))}
+    rows = [(i, " ".join(draw.choice(common) if draw.random() < 0.2 else f"w{draw.randrange(10**9)}" for _ in range(300))) for i in range(150)]
+    wanted = set()
+    for share in (0.25, 0.3, 0.4):
+        for i, words in items.items():
+            for _ in range(4):
+                around = [" ".join(f"w{draw.randrange(10**9)}" for _ in range(draw.randint(10, 60))) for _ in range(2)]
+                wanted.add((1000 + len(wanted), i))
+                rows.append((999 + len(wanted), f"{around[0]} {' '.join(_replaced(draw, words, share))} {around[1]}"))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    docs = fx.documents(spark, rows)
+    assert {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()} == wanted
+    plain, large = dc.inverse_frequencies, 10_000_000
+    monkeypatch.setattr(dc, "inverse_frequencies", lambda counts, n: plain(counts * (large / n), large))
+    assert {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()} == wanted
