@@ -289,3 +289,19 @@ def test_paraphrases_are_found_in_any_number_of_documents(spark, monkeypatch):
     plain, large = dc.inverse_frequencies, 10_000_000
     monkeypatch.setattr(dc, "inverse_frequencies", lambda counts, n: plain(counts * (large / n), large))
     assert {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()} == wanted
+
+
+def test_copies_beside_repeated_item_words_are_found(spark):
+    draw = random.Random(12)
+    rows, wanted = [(i, fx.sentence(draw, 200)) for i in range(40)], set()
+    items = {i: [f"t{i}x{j}" for j in range(n)] for i, n in enumerate((16, 20, 31, 45, 59))}
+    for i, words in items.items():
+        for times in (30, 70, 200, 600):
+            again = " ".join([words[3]] * times)
+            wanted |= {(1000 + len(wanted), i), (1001 + len(wanted), i)}
+            rows.append((998 + len(wanted), f"{' '.join(words)} {again}"))
+            rows.append((999 + len(wanted), f"{again} {' '.join(words)} {again}"))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    found = dc.find_leaks(fx.documents(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == wanted
+    assert all(r.coverage == 1 and r.cosine < 1.01 for r in found)
