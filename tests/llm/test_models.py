@@ -305,3 +305,13 @@ def test_copies_beside_repeated_item_words_are_found(spark):
     found = dc.find_leaks(fx.documents(spark, rows), bench).collect()
     assert {(r.doc_id, r.item_id) for r in found} == wanted
     assert all(r.coverage == 1 and r.cosine < 1.01 for r in found)
+
+
+def test_a_long_document_does_not_keep_a_source_from_its_target(spark):
+    rows = [(i, None, "en", "a", 100_000 if i == 7 else 100) for i in range(1000)]
+    rows += [(1000 + i, None, "en", "b", 1000) for i in range(100)]
+    docs = spark.createDataFrame(rows, fx.DOCUMENTS)
+    for seed in (0, 1, 2):
+        found = mix_sources(docs, [100, 305], size=docs["n_chars"], seed=seed).where("source = 'a'").collect()
+        assert len(found) == 1000 and 0.3 < found[0].rate < 0.4
+        assert abs(sum(r.taken for r in found) - found[0].target) <= 50

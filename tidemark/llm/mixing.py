@@ -9,8 +9,8 @@ Spark, for all levels of a margin at once (inside a margin the Hessian is diagon
 over token sums of the cells of equal levels; margins take turns until all fit.
 
 Rates then become whole copies: everybody gets the whole part, and inside each
-source documents get one more copy, in an order drawn from their ids, until the
-target is reached; the last gap is filled by the largest documents that fit.
+source documents get one more copy, in an order drawn from their ids, as long as any
+fits what is missing; a last one may overshoot, if that is nearer to the target.
 
 Null texts and sources are allowed (size 0; a source of its own). Repeated rows are
 rows of their own. Without rows, or without words, nothing is taken.
@@ -27,7 +27,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 NEWTON_STEPS = 60
 #: Rows of a running sum in one task; beyond its square, sums and tasks grow alike.
 ROWS_PER_BUCKET = 2_000
-FILL_ROUNDS = 5
 NEAR = 1e-9
 
 
@@ -155,51 +154,64 @@ def mix_sources(
     plan = work.save(plan, "plan")
     same = F.col("source").eqNullSafe(F.col("_source"))
 
-    # Running sums in two levels, so that a source with most of the rows is many windows.
     rows = sized.join(plan, same).withColumn("_bucket", F.pmod("_order", "_buckets"))
     keys = ["source", "_bucket"]
-    sums = rows.groupBy(*keys).agg(F.sum("size").alias("_sum"))
+    in_order = Window.partitionBy(*keys).orderBy("_order", "doc_id", "size")
+    placed = rows.withColumn("_place", F.row_number().over(in_order))
+    placed = work.save(placed.select("doc_id", "source", "size", "source_size", "target", "rate", "_whole", "_more", "_bucket", "_place"), "placed")
+
+    # Documents that fit what is missing in their source, in order, until their sum does not
+    # fit; again among the others that fit what is left then, until none does. The first
+    # that did not fit never fits again, so this ends.
+    state = work.save(plan.select("_source", F.col("_gap").alias("_left")), "left_0")
+    pool = placed.where(F.col("_more") & (F.col("size") > 0)).select("source", "size", "_bucket", "_place")
     ahead = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys).orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        rows.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy("_order", "doc_id", "size")))
-        .withColumn("_upto", F.col("_before") + F.sum("size").over(inside))
-        .withColumn("_extra", (F.col("_more") & (F.col("_upto") <= F.col("_gap") + NEAR) & (F.col("size") > 0)).cast("int"))
-        .select("doc_id", "source", "size", "source_size", "target", "rate", "_whole", "_more", "_gap", "_bucket", "_place", "_extra")
-    )
-    placed = work.save(placed, "placed")
-
-    keyed = [F.col("_bucket").alias("bucket"), F.col("_place").alias("place")]
-    here = F.struct(*keyed)
-
-    # What is still missing in a source: the largest document that fits, a few times.
-    left = placed.groupBy("source").agg((F.max("_gap") - F.sum(F.col("_extra") * F.col("size"))).alias("_left"))
-    left = work.save(left.withColumn("_picks", F.array().cast("array<struct<bucket:bigint,place:int>>")), "left_0")
-    for i in range(FILL_ROUNDS):
-        state = left.select(F.col("source").alias("_source"), F.col("_left"), "_picks")
-        # At last a document may overshoot, if that leaves a smaller gap than now.
-        room = F.col("_left") * (2 if i + 1 == FILL_ROUNDS else 1)
-        fits = (
-            placed.where((F.col("_extra") == 0) & F.col("_more") & (F.col("size") > 0))
-            .join(state, same)
-            .where((F.col("size") <= room + NEAR) & ~F.array_contains("_picks", here))
-            .groupBy("source")
-            .agg(F.max_by(F.struct("size", *keyed), F.struct(-F.abs(F.col("_left") - F.col("size")), *keyed)).alias("_pick"))
-            .select(F.col("source").alias("_p"), "_pick")
-        )
-        one = F.array(F.struct(F.col("_pick.bucket").alias("bucket"), F.col("_pick.place").alias("place")))
-        left = left.join(fits, F.col("source").eqNullSafe(F.col("_p")), "left").select(
-            "source",
-            (F.col("_left") - F.coalesce(F.col("_pick.size"), F.lit(0))).alias("_left"),
-            F.when(F.col("_pick").isNull(), F.col("_picks")).otherwise(F.concat("_picks", one)).alias("_picks"),
+    inside = Window.partitionBy(*keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken, turn = None, 0
+    while True:
+        fits = pool.join(state, same).where(F.col("size") <= F.col("_left") + NEAR)
+        # Running sums in two levels, so that a source with most of the rows is many windows.
+        sums = fits.groupBy(*keys).agg(F.sum("size").alias("_sum"))
+        before = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
+        upto = F.col("_before") + F.sum("size").over(inside)
+        ranked = (
+            fits.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+            .withColumn("_extra", upto <= F.col("_left") + NEAR)
+            .select("source", "size", "_bucket", "_place", "_extra")
         )
-        left = work.save(left, f"left_{i + 1}")
-    picked = left.select(F.col("source").alias("_source"), "_picks")
-    copies = (F.col("_whole") + F.col("_extra") + F.array_contains("_picks", here).cast("int")).cast("bigint")
+        ranked = work.save(ranked, f"ranked_{turn}")
+        added = ranked.where("_extra").groupBy("source").agg(F.sum("size").alias("_added"))
+        if added.isEmpty():
+            break
+        chosen = ranked.where("_extra").select("source", "_bucket", "_place")
+        taken = chosen if taken is None else taken.union(chosen)
+        state = state.join(added, same, "left").select("_source", (F.col("_left") - F.coalesce("_added", F.lit(0))).alias("_left"))
+        turn += 1
+        state = work.save(state, f"left_{turn}")
+        pool = ranked.where(~F.col("_extra"))
+
+    if taken is None:
+        placed = placed.withColumn("_extra", F.lit(0))
+    else:
+        taken = taken.select(F.col("source").alias("_t"), F.col("_bucket").alias("_tb"), F.col("_place").alias("_tp"))
+        at = F.col("source").eqNullSafe(F.col("_t")) & (F.col("_bucket") == F.col("_tb")) & (F.col("_place") == F.col("_tp"))
+        placed = placed.join(taken, at, "left").withColumn("_extra", F.col("_tp").isNotNull().cast("int")).drop("_t", "_tb", "_tp")
+    placed = work.save(placed, "taken")
+
+    # At last one document may overshoot, if that leaves a smaller gap than now.
+    picked = (
+        placed.where((F.col("_extra") == 0) & F.col("_more") & (F.col("size") > 0))
+        .join(state, same)
+        .where(F.col("size") < 2 * F.col("_left") - NEAR)
+        .groupBy("source")
+        .agg(F.max_by(F.struct("_bucket", "_place"), F.struct(-F.abs(F.col("_left") - F.col("size")), "_bucket", "_place")).alias("_pick"))
+        .select(F.col("source").alias("_source"), "_pick")
+    )
+    picked = work.save(picked, "picked")
+    last = F.coalesce((F.col("_pick._bucket") == F.col("_bucket")) & (F.col("_pick._place") == F.col("_place")), F.lit(False))
+    copies = (F.col("_whole") + F.col("_extra") + last.cast("int")).cast("bigint")
     return (
-        placed.join(picked, same)
+        placed.join(picked, same, "left")
         .withColumn("copies", copies)
         .select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
