@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidemark.llm import blocks as bl
@@ -198,7 +199,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, doc_id: str = "doc_id",
         ids = pa.array(found["doc_id"], pa.int64())
         return pa.table(
             {
-                "doc_id": pa.compute.if_else(pa.compute.equal(ids, int(bl.NO_ID)), pa.scalar(None, pa.int64()), ids),
+                "doc_id": pc.if_else(pc.equal(ids, int(bl.NO_ID)), pa.scalar(None, pa.int64()), ids),
                 "n_words": pa.array(found["n_words"], pa.int64()),
                 "n_removed": pa.array(found["n_removed"], pa.int64()),
                 "kept_sha256": pa.array(found["kept_sha256"], pa.string()),

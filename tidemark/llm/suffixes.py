@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -442,7 +443,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
         ids = pa.array(out["doc_id"], pa.int64())
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         rest = {c: pa.array(out[c], t) for c, t in zip(names[1:], kinds, strict=True)}
-        return pa.table({**carried, "doc_id": pa.compute.if_else(pa.compute.equal(ids, int(bl.NO_ID)), pa.scalar(None, pa.int64()), ids), **rest})
+        return pa.table({**carried, "doc_id": pc.if_else(pc.equal(ids, int(bl.NO_ID)), pa.scalar(None, pa.int64()), ids), **rest})
 
     def answers(found: DataFrame) -> DataFrame:
         """Answers at their blocks; a part names itself as the sender."""
