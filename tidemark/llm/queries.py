@@ -5,11 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import toxicity, wordpiece
-
+from tidemark.llm import toxicity, warc, wordpiece
 from tidemark.llm.decontam import find_leaks
 from tidemark.llm.language import held_out, identify, learn_profiles
 from tidemark.llm.licenses import scan_licenses
@@ -18,9 +16,17 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import quality_filter
 from tidemark.llm.rlz import dedup_substrings
 from tidemark.llm.suffixes import dedup_suffixes
+from tidemark.llm.variants import group_variants
+from tidemark.llm.whitening import whiten
+
+
+def vocabulary() -> str:
+    """The vocabulary that tokens are counted by; any sentence-piece model file will do."""
+    if named := os.environ.get("TOKENIZER_MODEL"):
+        return named
+    import public_tokenizers  # only this query needs the package
 
-#: The vocabulary that tokens are counted by; any sentence-piece model file will do.
-VOCABULARY = os.environ.get("TOKENIZER_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,7 +39,7 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = wordpiece.read_pieces(VOCABULARY)
+    pieces = wordpiece.read_pieces(vocabulary())
     return wordpiece.count_tokens(table(spark, sf, "documents").select("doc_id", "text"), pieces)
 
 
@@ -75,6 +81,20 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    found = warc.look_up(warc.archive(pages, min_bytes=0), pages)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(table(spark, sf, "embeddings"), components=32, weigh=True)
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return group_variants(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -86,4 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_warc": op11_warc,
+    "op12_whitening": op12_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
