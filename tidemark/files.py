@@ -31,9 +31,28 @@ class Files:
         out = fs.create(beside, True)
         out.write(text.encode())
         out.close()
-        fs.delete(self._at(path)[1], False)
-        if not fs.rename(beside, self._at(path)[1]):
-            raise OSError(f"cannot write {path}")
+        self._swap(beside, path)
+
+    def _swap(self, beside: JavaObject, path: str) -> None:
+        """Put a file in the place of another, which readers see until then."""
+        fs, where = self._at(path)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.conf)
+        kinds = self.jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.jvm.java.lang.reflect.Array.newInstance(kinds.OVERWRITE.getClass(), 1)
+        options[0] = kinds.OVERWRITE
+        context.rename(beside, where, options)
+
+    def exists(self, path: str) -> bool:
+        fs, where = self._at(path)
+        return bool(fs.exists(where))
+
+    def rename(self, path: str, to: str) -> None:
+        """Move a folder to a name that does not exist yet."""
+        fs, where = self._at(path)
+        target = self._at(to)[1]
+        fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(where, target):
+            raise OSError(f"cannot move {path} to {to}")
 
     def read(self, path: str) -> str:
         fs, where = self._at(path)

@@ -157,16 +157,55 @@ def dead_letters(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col(STATUS) == ERROR).select(*origin, REASON)
 
 
+# Names of the counters, in the order of ``_counters``.
+COUNTS = ("messages_consumed", "rows_written_online", "rows_written_offline", "skipped", "errors")
+#: Beyond this many partitions of a source, accounts are grouped instead of observed.
+OBSERVED_PARTITIONS = 512
+
+
+def _counters(mine: Column) -> list[Column]:
+    """What ``COUNTS`` count of the rows where ``mine`` holds. Both stores receive every
+    accepted row."""
+    ok = F.col(STATUS) == OK
+    conditions = [F.lit(True), ok, ok & F.col(EVENT_TS).isNotNull(), F.col(STATUS) == SKIPPED, F.col(STATUS) == ERROR]
+    return [F.count_if(mine & c) for c in conditions]
+
+
+def _partition(rows: DataFrame, partition: str) -> Column:
+    return F.col(partition).cast("int") if partition in rows.columns else F.lit(0)
+
+
 def ingest_stats(rows: DataFrame, offset: str = SEQ, partition: str = PARTITION) -> DataFrame:
     """Counts over transformed messages, one row for each partition of the source (one in
-    all where it has none). Both stores receive every accepted row."""
-    ok = F.col(STATUS) == OK
-    source = F.col(partition) if partition in rows.columns else F.lit(0)
-    return rows.groupBy(source.cast("int").alias(PARTITION)).agg(
-        F.count(F.lit(1)).alias("messages_consumed"),
-        F.count_if(ok).alias("rows_written_online"),
-        F.count_if(ok & F.col(EVENT_TS).isNotNull()).alias("rows_written_offline"),
-        F.count_if(F.col(STATUS) == SKIPPED).alias("skipped"),
-        F.count_if(F.col(STATUS) == ERROR).alias("errors"),
-        F.max(offset).alias("last_offset"),
-    )
+    all where it has none)."""
+    counters = [c.alias(n) for n, c in zip(COUNTS, _counters(F.lit(True)), strict=True)]
+    by = _partition(rows, partition).alias(PARTITION)
+    return rows.groupBy(by).agg(*counters, F.max(offset).alias("last_offset"))
+
+
+def observed_stats(
+    rows: DataFrame, partitions: int, offset: str = SEQ, partition: str = PARTITION
+) -> list[Column]:
+    """The same counts as metrics of ``observe``, for partitions 0 to ``partitions`` - 1.
+    Rows of any other partition are counted as well, so that none is lost silently."""
+    if partitions > OBSERVED_PARTITIONS:
+        raise ValueError(f"observe at most {OBSERVED_PARTITIONS} partitions, group the others")
+    at = _partition(rows, partition)
+    metrics = []
+    for p in range(partitions):
+        mine = at == p
+        metrics += [c.alias(f"{n}_{p}") for n, c in zip(COUNTS, _counters(F.coalesce(mine, F.lit(False))), strict=True)]
+        metrics.append(F.max(F.when(mine, F.col(offset))).alias(f"last_offset_{p}"))
+    other = ~F.coalesce(at.between(0, partitions - 1), F.lit(False))
+    return [*metrics, F.count_if(other).alias("elsewhere")]
+
+
+def stats_of(metrics: dict, partitions: int) -> list[dict]:
+    """Rows of ``ingest_stats`` from observed metrics; partitions without messages have none."""
+    if metrics.get("elsewhere"):
+        raise ValueError(f"{metrics['elsewhere']} messages come from partitions beyond {partitions}")
+    rows = []
+    for p in range(partitions):
+        if metrics.get(f"{COUNTS[0]}_{p}"):
+            rows.append({PARTITION: p, "last_offset": metrics[f"last_offset_{p}"]} | {n: metrics[f"{n}_{p}"] for n in COUNTS})
+    return rows

@@ -6,6 +6,8 @@ Inputs are the given tables or tables Spark derives from them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ from tidemark.spec import (
     FeatureType,
     ModelVersion,
 )
-from tidemark.streaming import ingest, state
+from tidemark.streaming import ingest, progress, state, stateful
 from tidemark.workspace import new_run_dir
 
 SPLIT = "2024-01-15"
@@ -236,8 +238,12 @@ def sparse_writes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def wide_writes(spark: SparkSession, sf: str) -> DataFrame:
+    return writes_of(events(spark, sf))
+
+
+def writes_of(rows: DataFrame) -> DataFrame:
     own = [F.when(F.col("event_type") == t, F.col("value")).alias(t) for t in TYPES]
-    return events(spark, sf).select(
+    return rows.select(
         "user_id",
         *own,
         k_of().alias("last_k"),
@@ -380,16 +386,19 @@ STREAMED = FeatureGroup(
 )
 
 
-def to_messages(rows: DataFrame) -> DataFrame:
-    """Events as JSON messages; those with k ending in 3 are cut off mid-text, and some have
-    an event time that is none."""
+def message_texts(rows: DataFrame) -> DataFrame:
+    """Events as JSON messages (value, offset, at); those with k ending in 3 are cut off
+    mid-text, and some have an event time that is none."""
     seconds = (ntz_to_micros(F.col("ts")) / F.lit(1e6)).cast("string")
     for k, text in ODD_TIMES.items():
         seconds = F.when(k_of() == k, text).otherwise(seconds)
     text = F.to_json(F.struct("user_id", "event_type", "value", k_of().alias("k"), seconds.alias("ts")))
     cut = F.when(k_of() % 10 == 3, F.substring(text, 1, 20)).otherwise(text)
-    raw = rows.select(cut.alias("value"), F.col("event_id").alias("offset"), F.col("ts").alias("at"))
-    return ms.parse_messages(raw, MESSAGE, seq=F.col("offset"), write_ts=F.col("at"))
+    return rows.select(cut.alias("value"), F.col("event_id").alias("offset"), F.col("ts").alias("at"))
+
+
+def to_messages(rows: DataFrame) -> DataFrame:
+    return ms.parse_messages(message_texts(rows), MESSAGE, seq=F.col("offset"), write_ts=F.col("at"))
 
 
 def even_k(msg: Column) -> tf.Record:
@@ -410,8 +419,9 @@ def transform_dead_letter(spark: SparkSession, sf: str) -> DataFrame:
         "k",
         F.round(ntz_to_micros(F.col(EVENT_TS)) / F.lit(1e6), 3).alias("seconds"),
         F.col(tf.REASON).alias("reason"),
-        # What is kept of a rejected message begins like the message.
-        F.when(F.col(tf.STATUS) == tf.ERROR, F.substring(ms.RAW, 1, 11)).alias("raw"),
+        # Rejected messages are kept whole.
+        F.when(F.col(tf.STATUS) == tf.ERROR, F.length(ms.RAW)).cast("bigint").alias("raw_length"),
+        F.when(F.col(tf.STATUS) == tf.ERROR, F.sha2(F.col(ms.RAW), 256)).alias("raw_sha256"),
     )
 
 
@@ -421,7 +431,7 @@ def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
     return tf.ingest_stats(rows.withColumn(ms.PARTITION, F.col(SEQ) % 3))
 
 
-def _job(base: str) -> ingest.Ingest:
+def _job(base: str, partitions: int | None = None) -> ingest.Ingest:
     return ingest.Ingest(
         STREAMED,
         even_k,
@@ -429,6 +439,7 @@ def _job(base: str) -> ingest.Ingest:
         state_path=f"{base}/latest",
         stats_path=f"{base}/stats",
         dead_letter_path=f"{base}/dead",
+        partitions=partitions,
     )
 
 
@@ -455,30 +466,80 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def stream_latest_multi(spark: SparkSession, sf: str) -> DataFrame:
-    """Six files, one a micro-batch, with compaction between them; the last batch comes after
-    it."""
-    base = new_run_dir(spark, "stream-multi")
-    job = _job(base)
+def _sixths(spark: SparkSession, sf: str, path: str) -> Iterator[int]:
+    """Append the events to a folder in six parts by id, as many files as Spark makes of each."""
     rows = events(spark, sf)
     parts = rows.select(F.percentile("event_id", [i / 6 for i in range(1, 6)])).first()[0]
     before = None
     for i, upto in enumerate([*parts, None]):
         here = F.lit(True) if before is None else F.col("event_id") > before
         here = here if upto is None else here & (F.col("event_id") <= upto)
-        rows.filter(here).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        rows.filter(here).write.mode("append").parquet(path)
         before = upto
-        if i % 2 == 0:
-            continue
-        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        yield i
+
+
+def stream_latest_multi(spark: SparkSession, sf: str) -> DataFrame:
+    """Six micro-batches, with compaction after every second one; the last comes after it."""
+    base = new_run_dir(spark, "stream-multi")
+    job = _job(base)
+    for i in _sixths(spark, sf, f"{base}/in"):
+        source = spark.readStream.schema(events(spark, sf).schema).parquet(f"{base}/in")
         query = ingest.start_ingest(to_messages(source), job, f"{base}/checkpoint", available_now=True)
         query.awaitTermination()
-        if upto is not None:
+        if i in (1, 3):
             state.compact(spark, STREAMED, job.state_path)
             state.vacuum(spark, job.state_path)
     return state.read_latest(spark, STREAMED, job.state_path)
 
 
+def stateful_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """The latest view kept in the stream's state, over six micro-batches of about five days;
+    the ttl is two, so that records are wiped and expire between them."""
+    base = new_run_dir(spark, "stateful")
+    for i in _sixths(spark, sf, f"{base}/in"):
+        source = spark.readStream.schema(events(spark, sf).schema).parquet(f"{base}/in")
+        query = stateful.start_stateful(
+            ACTIVITY, writes_of(source), f"{base}/out", f"{base}/checkpoint", available_now=True
+        )
+        query.awaitTermination()
+        if i == 3:
+            stateful.compact_changes(spark, ACTIVITY, f"{base}/out")
+    return stateful.read_stateful(spark, ACTIVITY, f"{base}/out", as_of=AS_OF)
+
+
+def _landed(spark: SparkSession, sf: str, path: str, partition: Column, file_rows: int) -> None:
+    texts = message_texts(events(spark, sf)).withColumnRenamed("at", "timestamp")
+    ms.land_messages(texts.withColumn("partition", partition.cast("int")), path, file_rows)
+
+
+def bounded_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages landed week by week in files of at most an eighth of all rows, one file a
+    micro-batch: how many batches took how many messages."""
+    base = new_run_dir(spark, "bounded")
+    eighth = events(spark, sf).count() // 8 + 1
+    _landed(spark, sf, f"{base}/in", F.floor(F.dayofyear("timestamp") / 7), eighth)
+    bounds = ms.Bounds(most_files=1)
+    job = _job(base)
+    messages = ms.read_landed(spark, f"{base}/in", MESSAGE, bounds=bounds)
+    ingest.start_ingest(messages, job, f"{base}/checkpoint", available_now=True, bounds=bounds).awaitTermination()
+    batches = ingest.batch_stats(spark, job).groupBy("batch_id").agg(F.sum("messages_consumed").alias("messages"))
+    return batches.groupBy("messages").agg(F.count(F.lit(1)).alias("batches"))
+
+
+def stream_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The accounts of ``ingest_stats``, observed while two micro-batches are written."""
+    base = new_run_dir(spark, "observed")
+    _landed(spark, sf, f"{base}/in", F.col("offset") % 3, 1 << 40)
+    bounds = ms.Bounds(most_files=2)
+    job = _job(base, partitions=3)
+    messages = ms.read_landed(spark, f"{base}/in", MESSAGE, bounds=bounds)
+    with progress.ProgressLog(spark, f"{base}/progress") as log:
+        query = ingest.start_ingest(messages, job, f"{base}/checkpoint", available_now=True, bounds=bounds)
+        progress.await_batches(query, log)
+    return ingest.read_stats(spark, job)
+
+
 def stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     job = _stream(spark, sf, "stream-latest")
     state.compact(spark, STREAMED, job.state_path)
@@ -900,6 +961,9 @@ QUERIES = {
     "stream_ingest": stream_ingest,
     "stream_latest": stream_latest,
     "stream_latest_multi": stream_latest_multi,
+    "stateful_latest": stateful_latest,
+    "bounded_batches": bounded_batches,
+    "stream_stats": stream_stats,
     "quantile_edges": quantiles,
     "histogram": histogram,
     "psi": psi,

@@ -139,14 +139,27 @@ SELECT *, {K} AS kk,
   CASE WHEN {K} % 10 = 3 OR {K} IN (44, 46, 48) THEN 'error' WHEN {K} % 2 = 0 THEN 'ok' ELSE 'skipped' END AS status
 FROM events
 """
+# Only messages with an odd time are rejected and whole.
+ODD_TIME = "CASE kk WHEN 44 THEN 'NaN' WHEN 46 THEN '1e300' ELSE 'yesterday' END"
 DEAD_LETTER = f"""
 SELECT event_id, status,
   CASE WHEN status <> 'error' OR k_odd THEN user_id END AS user_id,
   CASE WHEN status <> 'error' OR k_odd THEN kk END AS k,
   CASE WHEN status <> 'error' THEN round(epoch_us(ts) / 1e6, 3) END AS seconds,
   CASE WHEN k_odd THEN 'event time out of range' WHEN status = 'error' THEN 'not parsed' END AS reason,
-  CASE WHEN status = 'error' THEN '{{"user_id":' END AS raw
-FROM (SELECT *, kk IN (44, 46, 48) AS k_odd FROM ({STATUS}))
+  CASE WHEN status = 'error' THEN len(raw) END AS raw_length,
+  CASE WHEN status = 'error' THEN sha256(raw) END AS raw_sha256
+FROM (SELECT *, CASE WHEN kk % 10 = 3 THEN substr(whole, 1, 20) ELSE whole END AS raw FROM (
+  SELECT *, kk IN (44, 46, 48) AS k_odd, concat('{{"user_id":', user_id, ',"event_type":"', event_type,
+    '","value":', value, ',"k":', kk, ',"ts":"', {ODD_TIME}, '"}}') AS whole FROM ({STATUS})))
+"""
+# A whole day of messages goes to the week of its day; a file holds an eighth of all at most.
+BOUNDED_BATCHES = """
+WITH w AS (SELECT count(*) AS n, (SELECT count(*) // 8 + 1 FROM events) AS most
+  FROM events GROUP BY dayofyear(ts) // 7),
+b AS (SELECT most AS messages, n // most AS batches FROM w
+  UNION ALL SELECT n % most, 1 FROM w WHERE n % most > 0)
+SELECT messages, CAST(sum(batches) AS BIGINT) AS batches FROM b WHERE batches > 0 GROUP BY messages
 """
 INGEST_STATS = f"""
 SELECT CAST(event_id % 3 AS INTEGER) AS partition, count(*) AS messages_consumed,
@@ -561,6 +574,9 @@ ORACLE = {
     "stream_ingest": STREAM_INGEST,
     "stream_latest": STREAM_LATEST,
     "stream_latest_multi": STREAM_LATEST,
+    "stateful_latest": LATEST_TTL,
+    "bounded_batches": BOUNDED_BATCHES,
+    "stream_stats": INGEST_STATS,
     "quantile_edges": QUANTILES,
     "histogram": HISTOGRAM,
     "psi": _psi(["value"], OLD_VALUES, NEW_VALUES),
@@ -592,5 +608,5 @@ ORACLE = {
     "rolling_features": ROLLING,
     "synth_features": SYNTH,
     "train_eval": """SELECT count(*) AS rows, count(*) FILTER (value > 20) AS positives,
-      CAST(5 AS INTEGER) AS trees, true AS beats_majority FROM events WHERE event_type = 'purchase'""",
+      CAST(50 AS INTEGER) AS trees, true AS beats_majority FROM events WHERE event_type = 'purchase'""",
 }

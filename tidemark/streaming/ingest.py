@@ -3,37 +3,49 @@
 Delivery is at least once: Spark's checkpoint commits a micro-batch only after
 both writes have returned. A replayed micro-batch has the same number and
 replaces its own files in both stores, so the replay leaves no duplicates.
+
+A batch's accounts are observed while the offline rows are written: no pass of their own.
+``progress.ProgressLog`` keeps what the stream itself reports.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import json
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.files import Files
 from tidemark.functions.timefns import ntz_to_micros
 from tidemark.operators.transform import (
+    COUNTS,
     Transform,
     accepted,
     apply_transform,
     dead_letters,
     ingest_stats,
+    observed_stats,
+    stats_of,
 )
+from tidemark.sources.messages import Bounds
 from tidemark.sources.offline import write_features
 from tidemark.spec import EVENT_TS, INGEST_TS, WRITE_TS, FeatureGroup
 from tidemark.streaming import state
 
-# Fixed value: how often a batch is flushed.
-FLUSH_INTERVAL = "5 seconds"
+# A batch is flushed at so many messages, or after this time.
+FLUSH = Bounds(rows=1_000, delay="5 seconds")
 
 
 @dataclass(frozen=True)
 class Ingest:
     """Where one ingestion writes. ``name`` labels its batches; an ingestion that
-    starts over with a new checkpoint needs a new name."""
+    starts over with a new checkpoint needs a new name. ``partitions`` is how many
+    partitions the source has: accounts are kept for each. Where it is not known (None),
+    the accounts are counted in a pass of their own."""
 
     fg: FeatureGroup
     transform: Transform
@@ -42,6 +54,7 @@ class Ingest:
     stats_path: str
     dead_letter_path: str
     name: str = "stream"
+    partitions: int | None = None
 
     def label(self, batch_id: int) -> str:
         return f"{self.name}-{batch_id:012d}"
@@ -52,39 +65,57 @@ class Ingest:
         rows = apply_transform(self.fg, messages, self.transform)
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            good = accepted(self.fg, rows)
+            seen, counted = rows, None
+            if self.partitions is not None:
+                counted = Observation(f"accounts of {label}")
+                seen = rows.observe(counted, *observed_stats(rows, self.partitions))
+            good = accepted(self.fg, seen)
             arrival = ntz_to_micros(F.col(WRITE_TS)).alias(INGEST_TS)
             features = good.select(
                 self.fg.entity, EVENT_TS, *self.fg.feature_names, arrival
             )
             write_features(self.fg, features, self.root, batch=label)
-            state.add_writes(self.fg, good, self.state_path, label)
+            state.add_writes(self.fg, accepted(self.fg, rows), self.state_path, label)
             dead_letters(rows).write.mode("overwrite").parquet(
                 f"{self.dead_letter_path}/batch={label}"
             )
-            ingest_stats(rows).withColumn("batch_id", F.lit(batch_id)).write.mode(
-                "overwrite"
-            ).parquet(f"{self.stats_path}/batch={label}")
+            if counted is None:
+                self._count(rows, label)
+            else:
+                self._keep_counts(rows.sparkSession, stats_of(counted.get, self.partitions), label)
         finally:
             rows.unpersist()
 
+    def _count(self, rows: DataFrame, label: str) -> None:
+        stats = ingest_stats(rows).collect()  # one row for each partition of the source
+        self._keep_counts(rows.sparkSession, [r.asDict() for r in stats], label)
+
+    def _keep_counts(self, spark: SparkSession, stats: list[dict], label: str) -> None:
+        lines = [json.dumps(r | {"batch_id": label}) for r in stats]
+        Files(spark).write(f"{self.stats_path}/{label}.json", "\n".join(lines))
+
 
 def start_ingest(
     messages: DataFrame,
     job: Ingest,
     checkpoint: str,
     available_now: bool = False,
-    interval: str = FLUSH_INTERVAL,
+    bounds: Bounds = FLUSH,
 ) -> StreamingQuery:
-    """Start the stream. ``available_now`` ingests what is there and stops; otherwise
-    a batch runs every ``interval`` (bound its size at the source, for instance by
-    ``maxOffsetsPerTrigger``)."""
+    """Start the stream. ``available_now`` ingests what is there, in batches as large as the
+    source was bounded to, and stops.
+
+    Otherwise the two bounds of ``bounds`` decide when a batch runs. A source that counts
+    messages (``read_kafka`` with the same bounds) holds a batch back until it has
+    ``rows`` messages or ``delay`` has passed, and is asked all the time; any other is
+    asked every ``delay``, and its size bound only cuts what is there.
+    """
     writer = messages.writeStream.foreachBatch(job.write_batch).option(
         "checkpointLocation", checkpoint
     )
     if available_now:
         return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=interval).start()
+    return writer.trigger(processingTime=bounds.interval).start()
 
 
 def ingest_batch(messages: DataFrame, job: Ingest, batch_id: int = 0) -> None:
@@ -92,15 +123,20 @@ def ingest_batch(messages: DataFrame, job: Ingest, batch_id: int = 0) -> None:
     job.write_batch(messages, batch_id)
 
 
+STATS = "partition int, " + ", ".join(f"{c} long" for c in COUNTS) + ", last_offset long, batch_id string"
+
+
+def batch_stats(spark: SparkSession, job: Ingest) -> DataFrame:
+    """The accounts of each micro-batch, one row for each partition of the source."""
+    return spark.read.schema(STATS).json(job.stats_path)
+
+
 def read_stats(spark: SparkSession, job: Ingest) -> DataFrame:
     """Totals over all micro-batches, one row for each partition of the source."""
-    counts = (
-        "messages_consumed", "rows_written_online", "rows_written_offline", "skipped", "errors"
-    )
     return (
-        spark.read.parquet(job.stats_path)
+        batch_stats(spark, job)
         .groupBy("partition")
-        .agg(*[F.sum(c).alias(c) for c in counts], F.max("last_offset").alias("last_offset"))
+        .agg(*[F.sum(c).alias(c) for c in COUNTS], F.max("last_offset").alias("last_offset"))
     )
 
 
