@@ -33,11 +33,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.scratch import Scratch
 
 LETTERS = r"([A-Za-zÀ-ÿ]+)"
-SYMBOLS, RATIO, LONG = 8, 2, 64
+SYMBOLS, RATIO, LONG = 4, 2, 64
 LEAST_LETTERS, LEAST_TIMES, ONE_IN = 5, 3, 97
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -105,7 +106,7 @@ def _deletions(word: str) -> set[int]:
 
 
 def _keys(words: DataFrame, symbols: int, long: int, generate: bool) -> DataFrame:
-    """(key, word, n): keys that words generate, or are offered by."""
+    """(key, word, and what comes with it): keys that words generate, or are offered by."""
 
     def keys(word: str) -> set[int]:
         # Long words meet by what is left when one letter goes: their own text counts too.
@@ -122,15 +123,16 @@ def _keys(words: DataFrame, symbols: int, long: int, generate: bool) -> DataFram
                 found = [list(keys(w)) for w in part.column(0).to_pylist()]
                 of = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
                 key = pa.array([k for x in found for k in x], pa.int64())
-                yield pa.RecordBatch.from_arrays([key, part.column(0).take(of), part.column(1).take(of)], names=["key", "word", "n"])
+                columns = [key, *(c.take(of) for c in part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", *part.schema.names])
 
-    return words.select("word", "n").mapInArrow(make, "key long, word string, n long")
+    return words.mapInArrow(make, T.StructType([T.StructField("key", T.LongType()), *words.schema.fields]))
 
 
 def near_words(words: DataFrame, symbols: int = SYMBOLS, long: int = LONG) -> DataFrame:
     """(word, other, other_n): every ordered pair of words exactly one edit apart, once."""
-    made = _keys(words, symbols, long, True)
-    there = _keys(words, symbols, long, False).withColumnsRenamed({"word": "other", "n": "other_n"})
+    made = _keys(words.select("word"), symbols, long, True)
+    there = _keys(words.select("word", "n"), symbols, long, False).withColumnsRenamed({"word": "other", "n": "other_n"})
     alike = (F.col("word") != F.col("other")) & (F.abs(F.length("word") - F.length("other")) <= 1)
     met = made.join(there, "key").where(alike & (F.levenshtein("word", "other", 1) == 1))
     # Words can meet by both halves, or in both ways.
