@@ -191,7 +191,7 @@ def search(index: Index, wanted: DataFrame) -> DataFrame:
             handle.close()
 
     asked = wanted.select("key").where(F.col("key").isNotNull()).distinct().mapInArrow(route, "shard int, key string")
-    sent = asked.repartitionByRange("shard", "key").sortWithinPartitions("shard", "key")
+    sent = asked.repartitionByRange(max(8, len(shards)), "shard", "key").sortWithinPartitions("shard", "key")
     return sent.mapInArrow(look, CAPTURE)
 
 

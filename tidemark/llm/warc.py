@@ -44,6 +44,8 @@ from tidemark.operators.skew import BROADCAST_ROWS, lookup_join
 FILE_BYTES = 256 << 20
 #: Neighbouring records are read together up to this many bytes.
 READ_BYTES = 4 << 20
+#: Bytes of an archive that one task reads, if all of it is read.
+TASK_BYTES = 32 << 20
 #: Beyond the broadcast, digests with a larger share of all pages are joined apart.
 HOT_SHARE, HOT_LEAST = 50_000, 20_000
 DATE = "1970-01-01T00:00:00Z"
@@ -60,6 +62,8 @@ class Archive:
     index: cp.Index
     #: (key, seq, url, file, offset, length) of every record written.
     captures: DataFrame
+    #: Bytes of all records.
+    size: int
 
 
 def record_id(page_id: int | None, seq: int) -> str:
@@ -171,7 +175,8 @@ def archive(
     root = f"{work.root}/archive"
     written = work.save(told.drop("key").mapInArrow(_write(root, file_bytes), cp.CAPTURE), "captures")
     work.drop("pages", "firsts")
-    return Archive(root, cp.build(written, work), written)
+    size = int(written.agg(F.sum("length")).first()[0] or 0)
+    return Archive(root, cp.build(written, work), written, size)
 
 
 def wanted_keys(urls: DataFrame, url: str = "url") -> DataFrame:
@@ -210,7 +215,9 @@ def read_records(archived: Archive, found: DataFrame, read_bytes: int = READ_BYT
         if handle:
             handle.close()
 
-    placed = found.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # The rows are small, what they point to is not: partitions go by the archive's bytes.
+    parts = max(8, archived.size // TASK_BYTES)
+    placed = found.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(read, f"{RECORD}, payload binary")
 
 
