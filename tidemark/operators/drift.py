@@ -8,6 +8,7 @@ before they are shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import chi_square_tail
+from tidemark.functions.timefns import as_utc_ntz, micros_to_ntz, ntz_to_micros
 from tidemark.operators.quantiles import Edges, count_cuts, cut_table, fit_edges, long_form
 
 # Alert thresholds and the share added to empty bins.
@@ -171,6 +173,97 @@ def _against_baseline(counts: DataFrame, asked: DataFrame, window: str) -> DataF
     )
 
 
+#: Columns of pane histograms: where a pane starts (microseconds), and its counts.
+PANE = "pane"
+
+
+def pane_width(size: int, slide: int) -> int:
+    """Seconds of the panes that windows of ``size``, one every ``slide``, are made of."""
+    if size <= 0 or slide <= 0:
+        raise ValueError("a window and its slide last some seconds")
+    return math.gcd(size, slide)
+
+
+def pane_histograms(
+    current: DataFrame, edges: Mapping[str, Edges], ts: str, width: int
+) -> DataFrame:
+    """(pane, feature, bin, current): each row is binned once, in the pane of ``width`` seconds
+    that it falls into. Histograms of different tables or days merge by adding counts, so
+    they can be kept and summed over any windows made of whole panes."""
+    micros = ntz_to_micros(as_utc_ntz(F.col(ts), current.schema[ts].dataType))
+    step = width * 1_000_000
+    panes = current.filter(F.col(ts).isNotNull()).withColumn(PANE, micros - F.pmod(micros, F.lit(step)))
+    nothing = current.sparkSession.createDataFrame([], panes.schema)
+    return bin_counts(nothing, panes, edges, PANE).select(PANE, "feature", "bin", "current")
+
+
+def merge_panes(*parts: DataFrame) -> DataFrame:
+    """Pane histograms of several tables in one."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy(PANE, "feature", "bin").agg(F.sum("current").alias("current"))
+
+
+def window_counts(panes: DataFrame, size: int, slide: int) -> DataFrame:
+    """(start, feature, bin, current) of windows of ``size`` seconds that start every
+    ``slide`` seconds: a pane's few rows go to the size / slide windows that hold it."""
+    whole, step = size * 1_000_000, slide * 1_000_000
+    newest = F.col(PANE) - F.pmod(F.col(PANE), F.lit(step))
+    oldest = F.floor((F.col(PANE) - F.lit(whole)) / F.lit(step)).cast("bigint") * F.lit(step) + F.lit(step)
+    # With gaps between the windows, a pane can lie in none.
+    starts = F.when(oldest <= newest, F.sequence(oldest, newest, F.lit(step)))
+    held = panes.select(F.explode(starts).alias("start"), "feature", "bin", "current")
+    return held.groupBy("start", "feature", "bin").agg(F.sum("current").alias("current"))
+
+
+def sliding_psi(
+    baseline: DataFrame,
+    current: DataFrame,
+    columns: list[str],
+    ts: str,
+    size: int,
+    slide: int,
+    bins: int = 10,
+    threshold: float = PSI_THRESHOLD,
+    edges: Mapping[str, Edges] | None = None,
+    panes: DataFrame | None = None,
+) -> DataFrame:
+    """Population stability index of overlapping windows of the current side against one
+    baseline: (window_start, window_end) and the columns of ``psi``.
+
+    ``size`` and ``slide`` are seconds; windows start at multiples of ``slide`` since 1970 and
+    are there if they hold a value of any column. ``panes`` are histograms kept from
+    earlier (with the same edges); they are added to those of ``current``.
+    """
+    if edges is None:
+        edges = fit_edges(baseline, columns, bins)
+    fitted = {c: edges[c] for c in columns if c in edges}
+    if not fitted:
+        raise ValueError("no baseline value in any of the columns")
+    width = pane_width(size, slide)
+    own = pane_histograms(current, fitted, ts, width)
+    merged = own if panes is None else merge_panes(own, panes)
+    now = window_counts(merged, size, slide)
+    nothing = current.sparkSession.createDataFrame([], current.schema)
+    base = bin_counts(baseline, nothing, fitted).select(F.lit(None).cast("bigint").alias("start"), "feature", "bin", "baseline", F.lit(0).cast("bigint").alias("current"))
+    counts = base.unionByName(now.select("start", "feature", "bin", F.lit(0).cast("bigint").alias("baseline"), "current"))
+    fits = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(fitted[c].bins if c in fitted else bins).alias("fit")) for c in columns]))
+    asked = now.select("start").distinct().select("start", fits)
+    found = asked.join(_psi_of_counts(_against_baseline(counts, asked, "start"), ["start", "feature"]), ["start", "feature"], "left")
+    both = F.coalesce(F.col("both"), F.lit(False))
+    return found.select(
+        micros_to_ntz(F.col("start")).alias("window_start"),
+        micros_to_ntz(F.col("start") + F.lit(size * 1_000_000)).alias("window_end"),
+        "feature",
+        F.when(both, F.col("psi")).otherwise(F.lit(0.0)).alias("statistic"),
+        F.lit(threshold).alias("threshold"),
+        (both & (F.col("psi") >= threshold)).alias("drifted"),
+        F.lit("psi").alias("method"),
+        F.when(both, F.col("fit")).otherwise(F.lit(bins)).alias("bins"),
+    )
+
+
 def category_counts(
     baseline: DataFrame,
     current: DataFrame,

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from tidemark.functions.timefns import as_utc_ntz, ntz_to_micros
 from tidemark.operators.skew import HOT_ROWS, hot_keys
 from tidemark.spec import EVENT_TS, INGEST_TS, FeatureGroup
+from tidemark.workspace import new_run_dir
 
 # Payload structs carried through one sort; more groups are joined in further passes.
 GROUPS_PER_PASS = 16
@@ -35,6 +36,9 @@ GROUPS_PER_PASS = 16
 CELL_MICROS = 3_600_000_000
 CUTS_PER_CELL = 64
 
+# Partitions that rows without a match are spread over, where they are not kept apart.
+UNMATCHED_PARTS = 1 << 20
+
 # Order of rows at one instant: what came before, features, spine.
 _CARRY, _FEATURE, _SPINE = -1, 0, 1
 
@@ -67,6 +71,7 @@ def point_in_time_join(
     *,
     prefix: bool = False,
     hot_rows: int | None = HOT_ROWS,
+    read_once: bool = False,
 ) -> DataFrame:
     """Attach the features of ``groups`` as they were at each spine row's time.
 
@@ -80,14 +85,19 @@ def point_in_time_join(
 
     ``hot_rows`` is the number of rows above which an entity is cut into chunks
     (checked by one job over the entity column); ``None`` skips the check.
+
+    ``read_once`` sends spine rows that nothing can match through the shuffle as well,
+    spread over ``UNMATCHED_PARTS`` partitions, so that a spine which is itself the result of
+    a join is computed once. It is for callers that have looked for hot entities
+    themselves, and skips the check.
     """
     if len(groups) > GROUPS_PER_PASS:
         head, tail = groups[:GROUPS_PER_PASS], groups[GROUPS_PER_PASS:]
         first = point_in_time_join(
-            spine, head, entity_col, event_ts_col, prefix=prefix, hot_rows=hot_rows
+            spine, head, entity_col, event_ts_col, prefix=prefix, hot_rows=hot_rows, read_once=read_once
         )
         return point_in_time_join(
-            first, tail, entity_col, event_ts_col, prefix=prefix, hot_rows=hot_rows
+            first, tail, entity_col, event_ts_col, prefix=prefix, hot_rows=hot_rows, read_once=read_once
         )
 
     payloads = _layout(spine, groups, prefix)
@@ -95,9 +105,11 @@ def point_in_time_join(
     no_match = F.col(entity_col).isNull() | F.col(event_ts_col).isNull()
     key_type = _key_type(spine.schema[entity_col].dataType)
 
-    labels = spine.filter(~no_match).select(
-        F.col(entity_col).cast(key_type).alias("__k"),
-        times.alias("__t"),
+    spread = F.pmod(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in spine.columns]))), F.lit(UNMATCHED_PARTS))
+    labels = (spine if read_once else spine.filter(~no_match)).select(
+        F.when(~no_match, F.col(entity_col)).cast(key_type).alias("__k"),
+        F.when(no_match, spread).otherwise(F.lit(0)).cast("bigint").alias("__part"),
+        F.when(~no_match, times).alias("__t"),
         F.lit(_SPINE).alias("__kind"),
         F.lit(None).cast("bigint").alias("__tie1"),
         F.lit(None).cast("bigint").alias("__tie2"),
@@ -112,6 +124,11 @@ def point_in_time_join(
                 _feature_rows(payload, payloads, rows, key_type, spine_type)
             )
 
+    columns = ["__s", *[p.slot for p in payloads]]
+    expanded = ["__s.*", *[c for p in payloads for c in p.expand()]]
+    if read_once:
+        return _carry_forward(timeline, payloads, ["__k", "__part"]).select(*columns).select(*expanded)
+    timeline = timeline.drop("__part")
     if hot_rows is None or hot_keys(timeline.select("__k"), "__k", hot_rows).isEmpty():
         answered = _carry_forward(timeline, payloads, ["__k"])
     else:
@@ -122,9 +139,84 @@ def point_in_time_join(
         F.struct(*[F.col(f"`{c}`") for c in spine.columns]).alias("__s"),
         *[F.lit(None).cast(p.dtype).alias(p.slot) for p in payloads],
     )
-    columns = ["__s", *[p.slot for p in payloads]]
     result = answered.select(*columns).unionByName(unmatched.select(*columns))
-    return result.select("__s.*", *[c for p in payloads for c in p.expand()])
+    return result.select(*expanded)
+
+
+@dataclass(frozen=True)
+class Keyed:
+    """A feature group to be joined by a key of its own: a column of the spine, whose values
+    are entities of the group. ``rows`` is None for a group without data."""
+
+    entity_col: str
+    fg: FeatureGroup
+    rows: DataFrame | None
+
+
+def plan_passes(groups: Sequence[Keyed]) -> list[tuple[str, list[Keyed]]]:
+    """One pass for each distinct key, with all groups of that key.
+
+    Every pass shuffles the spine with what earlier passes have added, so that the keys with
+    the fewest added columns come first: wide features are carried as seldom as possible.
+    """
+    by_key: dict[str, list[Keyed]] = {}
+    for g in groups:
+        by_key.setdefault(g.entity_col, []).append(g)
+
+    def width(found: list[Keyed]) -> int:
+        # Lists count as many columns.
+        return sum(1 + sum(16 if isinstance(f.spark_type, T.ArrayType) else 1 for f in g.fg.features) for g in found)
+
+    return sorted(by_key.items(), key=lambda kv: width(kv[1]))
+
+
+def point_in_time_join_keys(
+    spine: DataFrame,
+    groups: Sequence[Keyed],
+    event_ts_col: str = "event_ts",
+    *,
+    prefix: bool = False,
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Point-in-time join with groups that have different entities.
+
+    Each row of the spine names one entity for each key (a user, a customer ...). Groups
+    are joined key by key, each key in one pass and one shuffle (``plan_passes``). Rows
+    pass through as they are: equal rows stay as many as they were, and a row without one
+    of its keys still gets the features of the others. Columns come in the order of
+    ``groups``, whatever the order of the passes.
+    """
+    plans = plan_passes(groups)
+    # All names are laid out before anything is joined: a clash is an error up front.
+    layout = _layout(spine, [(g.fg, g.rows) for g in groups], prefix)
+    found = spine
+    for i, (key, mine) in enumerate(plans):
+        pairs = [(g.fg, g.rows) for g in mine]
+        # Hot entities show in the key columns alone; earlier passes need not run for that.
+        hot = hot_rows is not None and _any_hot(spine, key, mine, hot_rows)
+        if hot and i:
+            # The chunked path reads its spine several times.
+            found = _written(found)
+        found = point_in_time_join(
+            found, pairs, key, event_ts_col, prefix=prefix, hot_rows=hot_rows if hot else None, read_once=not hot
+        )
+    added = [n for p in layout for n in (*p.names.values(), p.ts_name)]
+    return found.select(*[F.col(f"`{c}`") for c in (*spine.columns, *added)])
+
+
+def _any_hot(spine: DataFrame, key: str, groups: list[Keyed], hot_rows: int) -> bool:
+    keys = spine.select(F.col(key).cast("string").alias("__k"))
+    for g in groups:
+        if g.rows is not None:
+            keys = keys.union(g.rows.select(F.col(g.fg.entity).cast("string").alias("__k")))
+    return not hot_keys(keys, "__k", hot_rows).isEmpty()
+
+
+def _written(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder."""
+    path = new_run_dir(rows.sparkSession, "pass")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _layout(spine: DataFrame, groups: Sequence, prefix: bool) -> list[_Payload]:
@@ -172,6 +264,7 @@ def _feature_rows(
             arrival = ntz_to_micros(as_utc_ntz(arrival, dtype))
     return rows.filter(F.col(fg.entity).isNotNull() & F.col(EVENT_TS).isNotNull()).select(
         F.col(fg.entity).cast(key_type).alias("__k"),
+        F.lit(0).cast("bigint").alias("__part"),
         event_ts.alias("__t"),
         F.lit(_FEATURE).alias("__kind"),
         arrival.cast("bigint").alias("__tie1"),

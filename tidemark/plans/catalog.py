@@ -22,7 +22,7 @@ from tidemark.operators import transform as tf
 from tidemark.operators.pit import point_in_time_join
 from tidemark.operators.quantiles import quantile_edges
 from tidemark.plans.serving import serve, serve_at_request
-from tidemark.plans.training import training_set
+from tidemark.plans.training import training_set, training_set_keys
 from tidemark.sources import messages as ms
 from tidemark.sources import offline
 from tidemark.sources.kv import export_kv
@@ -128,6 +128,33 @@ def training_from_store(spark: SparkSession, sf: str) -> DataFrame:
     return training_set(spark, purchases(spark, sf), [fg], root, "user_id")
 
 
+#: Days that orders are moved by, to lie among the events.
+ORDER_SHIFT = 9500
+CUSTOMER_ORDERS = FeatureGroup(
+    "orders", "o_custkey", (Feature("o_totalprice", F64), Feature("o_orderstatus", TEXT)), entity_dtype=I64
+)
+
+
+def pit_join_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels that name a user and a customer, joined from stored groups of both: clicks and
+    views by user, orders by customer. Some labels have no customer."""
+    root = new_run_dir(spark, "keys")
+    for name in ("click", "view"):
+        offline.write_features(event_group(name), event_features(spark, sf, name), root)
+    orders = table(spark, sf, "orders").select(
+        "o_custkey",
+        F.timestamp_add("DAY", F.lit(ORDER_SHIFT), F.col("o_orderdate").cast("timestamp_ntz")).alias(EVENT_TS),
+        "o_totalprice",
+        "o_orderstatus",
+        F.col("o_orderkey").alias("_ingest_ts"),
+    )
+    offline.write_features(CUSTOMER_ORDERS, orders, root)
+    customer = F.when(F.col("event_id") % 11 > 0, F.col("event_id") % 150 + 1)
+    spine = purchases(spark, sf).withColumn("customer", customer)
+    groups = {"customer": [CUSTOMER_ORDERS], "user_id": [event_group("click"), event_group("view")]}
+    return training_set_keys(spark, spine, groups, root)
+
+
 # ---- offline tables --------------------------------------------------------
 
 EVENT_LOG = FeatureGroup(
@@ -600,6 +627,18 @@ def psi_daily(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(drift.psi(before, daily, ["value"], window="day"))
 
 
+def psi_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    """One baseline against every seven days, by one day; the first half of the later rows
+    comes as histograms that were kept."""
+    before, after = halves(spark, sf)
+    edges = drift.fit_edges(before, ["value"])
+    day = 86_400
+    early, late = after.filter(F.dayofmonth("ts") < 23), after.filter(F.dayofmonth("ts") >= 23)
+    kept = drift.pane_histograms(early, edges, "ts", day)
+    found = drift.sliding_psi(before, late, ["value"], "ts", 7 * day, day, edges=edges, panes=kept)
+    return rounded(found)
+
+
 def category_counts(spark: SparkSession, sf: str) -> DataFrame:
     return drift.category_counts(*halves(spark, sf), ["event_type"])
 
@@ -941,6 +980,7 @@ QUERIES = {
     "pit_join_multi": pit_join_multi,
     "pit_join_ties": pit_join_ties,
     "pit_join_skew": pit_join_skew,
+    "pit_join_keys": pit_join_keys,
     "training_from_store": training_from_store,
     "offline_roundtrip": offline_roundtrip,
     "evolved_scan": evolved_scan,
@@ -970,6 +1010,7 @@ QUERIES = {
     "psi_shifted": psi_shifted,
     "psi_degenerate": psi_degenerate,
     "psi_daily": psi_daily,
+    "psi_sliding": psi_sliding,
     "category_counts": category_counts,
     "chi_square": chi_square,
     "drift_report": drift_report,

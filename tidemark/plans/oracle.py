@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.catalog import AS_OF, SPLIT, TYPES
+from tidemark.plans.catalog import AS_OF, ORDER_SHIFT, SPLIT, TYPES
 
 # Bounds of the latency buckets.
 PREDICT_BUCKETS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
@@ -36,6 +36,18 @@ SELECT s.o_orderkey, s.cust, s.event_ts, f.o_totalprice, f.o_orderkey AS last_or
 FROM spine s ASOF LEFT JOIN features f ON s.cust = f.o_custkey AND s.event_ts >= f.o_orderdate
 """
 
+PIT_KEYS = f"""
+WITH f AS (
+  SELECT o_custkey, o_orderdate + INTERVAL {ORDER_SHIFT} DAY AS at, o_totalprice, o_orderstatus FROM (
+    SELECT *, row_number() OVER (
+      PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS rn FROM orders)
+  WHERE rn = 1),
+s AS (SELECT *, CASE WHEN event_id % 11 > 0 THEN event_id % 150 + 1 END AS customer
+  FROM ({_asof(["click", "view"])}))
+SELECT s.*, f.o_totalprice, f.o_orderstatus, f.at AS _ts_orders
+FROM s ASOF LEFT JOIN f ON s.customer = f.o_custkey AND s.event_ts >= f.at
+"""
+
 # ---- latest values ---------------------------------------------------------
 
 WRITES = f"""
@@ -301,6 +313,33 @@ SELECT day, 'value' AS feature, round(psi, 6) AS statistic, CAST(0.25 AS DOUBLE)
   psi >= 0.25 AS drifted, 'psi' AS method, CAST(bins AS INTEGER) AS bins FROM p
 """
 
+def _windowed_psi(windows: str, label: str) -> str:
+    """PSI of ``events`` after the split in each of ``windows`` (start, till)."""
+    return f"""
+WITH e AS ({_edges(OLD_VALUES)}),
+b AS (SELECT bin, baseline FROM ({_counts("FROM e", OLD_VALUES, NEW_VALUES)}) WHERE bin >= 0),
+w AS ({windows}),
+x AS (SELECT w.start, w.till, value, edges FROM w JOIN events ON ts >= w.start AND ts < w.till, e WHERE {AFTER}),
+n AS (SELECT start, least(len(list_filter(edges, lambda q: q <= value)), len(edges) - 1) - 1 AS bin,
+    count(*) AS n FROM x WHERE value >= edges[1] AND value <= edges[len(edges)] GROUP BY ALL),
+g AS (SELECT d.start, d.till, b.bin, baseline, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT start, till FROM x) d
+    CROSS JOIN (SELECT i AS bin, coalesce(baseline, 0) AS baseline FROM (
+      SELECT unnest(range(0, len(edges) - 1)) AS i FROM e) LEFT JOIN b ON i = b.bin) b
+    LEFT JOIN n ON n.start = d.start AND n.bin = b.bin),
+s AS (SELECT start, till, baseline / sum(baseline) OVER (PARTITION BY start) + 1e-6 AS b,
+    n / greatest(sum(n) OVER (PARTITION BY start), 1) + 1e-6 AS c FROM g),
+p AS (SELECT start, till, sum((c - b) * ln(c / b)) AS psi, count(*) AS bins FROM s GROUP BY start, till)
+SELECT {label}, 'value' AS feature, round(psi, 6) AS statistic, CAST(0.25 AS DOUBLE) AS threshold,
+  psi >= 0.25 AS drifted, 'psi' AS method, CAST(bins AS INTEGER) AS bins FROM p
+"""
+
+
+# Windows of seven days that start every day, as far as they hold a row.
+SEVEN_DAYS = f"""SELECT CAST(unnest(generate_series(min(CAST(ts AS DATE)) - INTERVAL 6 DAY,
+  max(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS TIMESTAMP) AS start, start + INTERVAL 7 DAY AS till
+  FROM events WHERE {AFTER}"""
+PSI_SLIDING = _windowed_psi(SEVEN_DAYS, "start AS window_start, till AS window_end")
+
 CATEGORY_COUNTS = f"""
 SELECT 'event_type' AS feature, event_type AS category, count(*) FILTER ({BEFORE}) AS baseline,
   count(*) FILTER ({AFTER}) AS current FROM events GROUP BY event_type
@@ -554,6 +593,7 @@ ORACLE = {
     "pit_join_multi": _asof(["click", "error", "view"]),
     "pit_join_ties": PIT_TIES,
     "pit_join_skew": _asof(["click"]),
+    "pit_join_keys": PIT_KEYS,
     "training_from_store": _asof(["click"]),
     "offline_roundtrip": f"SELECT {EVENT_LOG} FROM events",
     "evolved_scan": f"""SELECT {EVENT_LOG}, CASE WHEN {AFTER} THEN {K} END AS k FROM events""",
@@ -587,6 +627,7 @@ ORACLE = {
     ),
     "psi_degenerate": PSI_DEGENERATE,
     "psi_daily": PSI_DAILY,
+    "psi_sliding": PSI_SLIDING,
     "category_counts": CATEGORY_COUNTS,
     "chi_square": _chi_square("events", "event_type", BEFORE, "exp(-x / 2) * (1 + x / 2)"),
     "drift_report": DRIFT_REPORT,
