@@ -1,8 +1,8 @@
 """Which model version answers a request.
 
-A model's deployments are few and known to the driver's operators as a log; they
-are packed into one array per model and joined to the requests, so routing is a
-column expression over each request.
+A small log of deployments is packed into one array per model and joined to the
+requests, so routing is a column expression over each request. A log beyond
+``SMALL_LOG`` rows is counted as such and swept instead (``operators.sweep``).
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import canary_bucket
 from tidemark.operators.registry import active_deployments, deployment_intervals
 from tidemark.operators.skew import side_table_join
+from tidemark.operators.sweep import NO_DEPLOYMENT, NOT_SERVABLE, route_sweep
 from tidemark.spec import CANARY, PRODUCTION, SHADOW
 
-NO_DEPLOYMENT = "no active deployment"
-NOT_SERVABLE = "no servable deployment"
+#: Deployments up to which a model's history is one array.
+SMALL_LOG = 10_000
 
 
 def _packed(deployments: DataFrame) -> DataFrame:
@@ -104,9 +105,14 @@ def route_requests(
     request_ts: str | None = "request_ts",
     model_col: str = "model_name",
     entity_col: str = "entity_id",
+    small_log: int = SMALL_LOG,
 ) -> DataFrame:
     """Route every request by the deployments in force at its time (or, with
-    ``request_ts=None``, by those in force now)."""
+    ``request_ts=None``, by those in force now). Logs of more than ``small_log`` rows
+    (the count stops there) are swept."""
+    if request_ts is not None and deployment_log.limit(small_log + 1).count() > small_log:
+        bucket = canary_bucket(F.col(model_col), F.col(entity_col))
+        return route_sweep(requests, deployment_log, bucket, request_ts, model_col)
     if request_ts is None:
         found = active_now(requests, deployment_log, model_col)
     else:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tidemark.functions.codec import decode, encode
 from tidemark.functions.hashing import canary_bucket
 from tidemark.functions.timefns import age_seconds, ntz_to_micros
-from tidemark.operators import drift, registry, rolling, routing, scoring, servelog
+from tidemark.operators import drift, registry, rolling, routing, scoring, servelog, sweep
 from tidemark.operators import latest as lv
 from tidemark.operators import transform as tf
 from tidemark.operators.pit import point_in_time_join
@@ -784,12 +784,24 @@ def routed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def route_requests(spark: SparkSession, sf: str) -> DataFrame:
+    return route_columns(routed(spark, sf))
+
+
+def route_columns(found: DataFrame) -> DataFrame:
     shadows = F.array_join(F.transform("shadow_versions", lambda v: v.cast("string")), ",")
-    return routed(spark, sf).select(
+    return found.select(
         "event_id", "bucket", "model_version", "mode", shadows.alias("shadows"), "route_error"
     )
 
 
+def route_large_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The same routes by sweeping the log, as if it were too large for arrays, in chunks of
+    three deployments and a thousand requests."""
+    bucket_ = canary_bucket(F.col("model_name"), F.col("entity_id"))
+    found = sweep.route_sweep(requests(spark, sf), daily_deployments(spark, sf), bucket_, starts=3, request_rows=1000)
+    return route_columns(found)
+
+
 def cohort_split(spark: SparkSession, sf: str) -> DataFrame:
     served = routed(spark, sf).filter(F.col("model_version").isNotNull())
     split = servelog.cohort_split(served)
@@ -1020,6 +1032,7 @@ QUERIES = {
     "lineage": lineage,
     "canary_bucket": bucket,
     "route_requests": route_requests,
+    "route_large_log": route_large_log,
     "cohort_split": cohort_split,
     "predict_counts": predict_counts,
     "latency_histogram": latency_histogram,

@@ -637,6 +637,7 @@ ORACLE = {
     "lineage": LINEAGE,
     "canary_bucket": f"SELECT event_id, bucket FROM ({BUCKETS})",
     "route_requests": ROUTES,
+    "route_large_log": ROUTES,
     "cohort_split": COHORTS,
     "predict_counts": PREDICT_COUNTS,
     "latency_histogram": _latency("value / 500", PREDICT_BUCKETS),
