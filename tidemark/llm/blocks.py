@@ -20,7 +20,7 @@ from tidemark.llm import text as tx
 from tidemark.llm.scratch import text_bytes
 
 #: Text bytes of a block: a two-thousandth of the input inside these bounds.
-LEAST_BLOCK, MOST_BLOCK = 8 << 20, 128 << 20
+LEAST_BLOCK, MOST_BLOCK = 8 << 20, 24 << 20
 MESSAGE = "target int, block int, kind int, body binary"
 #: The id that a null id counts as: after all others.
 NO_ID = np.iinfo(np.int64).max

@@ -37,6 +37,10 @@ from tidemark.llm import text as tx
 SEEN, RUNS, PLACES = 0, 1, 2
 #: Pads a suffix beyond its text; no UTF-8 text has this byte.
 PAD = 0xFF
+#: Positions of a block that are looked at at once.
+PIECE = 1 << 20
+#: Suffixes whose strings are marked at once.
+MARKED = 1 << 15
 #: Documents that splitters are sampled from. Splitters only balance the parts.
 SAMPLE_DOCS = 1000
 _BYTE = tx.mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
@@ -75,38 +79,47 @@ class Block:
     ids: np.ndarray
     data: np.ndarray
     off: np.ndarray
-    #: Starts of whole strings and the number (in ``at``) of the suffix each one picks.
-    start: np.ndarray
-    pick: np.ndarray
-    #: Suffixes: where they start, their gram's hash, their document.
+    #: Suffixes: where they start, their gram's hash, their document, and the first and last of
+    #: the strings that pick them (a string's pick never lies before the one of an earlier string).
     at: np.ndarray
     gram: np.ndarray
     doc: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
 
 
 def read_block(table: pa.Table, shape: Shape) -> Block:
+    """What is kept of a block is its bytes and its suffixes, about one in sixteen of the
+    positions; single positions are looked at piece by piece."""
     ids = bl.doc_ids(table.column("doc_id"))
     order = np.argsort(ids, kind="stable")
     data, off = tx.bytes_of(tx.one_array(table.column("text")).take(pa.array(order)))
-    at, gram = _picked(data, shape)
-    start = np.flatnonzero(tx.whole_windows(off, shape.span))
-    at, gram = at[start], gram[start]
-    new = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
-    seeds = at[new]
-    doc = np.searchsorted(off, seeds, "right") - 1
-    return Block(ids[order], data, off, start, np.cumsum(new, dtype=np.int32) - 1, seeds, gram[new], doc)
-
-
-def _picked(data: np.ndarray, shape: Shape, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) - shape.span + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, gram = np.empty(n, np.int64), np.empty(n, np.uint64)
-    for a in range(0, n, piece):
-        b = min(n, a + piece)
-        found, gram[a:b] = tx.picks(_BYTE[data[a : b + shape.span - 1]], shape.k, shape.w)
-        at[a:b] = found + a
-    return at, gram
+    at, gram, first, last = _suffixes(data, off, shape)
+    doc = np.searchsorted(off, at, "right").astype(np.int32) - np.int32(1)
+    return Block(ids[order], data, off, at, gram, doc, first, last)
+
+
+def _suffixes(data: np.ndarray, off: np.ndarray, shape: Shape, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, gram hash, first string, last string) of the suffixes that whole strings pick."""
+    found: list[tuple[np.ndarray, ...]] = []
+    whole = tx.whole_windows(off, shape.span)
+    for a in range(0, len(whole), piece):
+        b = min(len(whole), a + piece)
+        start = np.flatnonzero(whole[a:b])
+        if not len(start):
+            continue
+        at, gram = tx.picks(_BYTE[data[a : b + shape.span - 1]], shape.k, shape.w)
+        at, gram = at[start], gram[start]
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        end = np.r_[new[1:] - 1, len(at) - 1]
+        found.append(((at[new] + a).astype(np.int32), gram[new], (start[new] + a).astype(np.int32), (start[end] + a).astype(np.int32)))
+    if not found:
+        none = np.zeros(0, np.int32)
+        return none, np.zeros(0, np.uint64), none, none
+    at, gram, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    # A suffix that is picked on both sides of a cut between pieces is one.
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return at[new], gram[new], first[new], last[np.r_[new[1:] - 1, len(at) - 1]]
 
 
 def hash_bytes(count: int) -> int:
@@ -337,6 +350,30 @@ def _seen(table: pa.Table, parts: int, size: int) -> pa.Table:
     return bl.table_of(out)
 
 
+def _copied(b: Block, mask: np.ndarray) -> np.ndarray:
+    """Which positions begin a string that is removed: ``mask`` has a bit for each place that
+    a string can have before its suffix."""
+    out = np.zeros(len(b.data), bool)
+    which = np.flatnonzero(mask)
+    for a in range(0, len(which), MARKED):
+        some = which[a : a + MARKED]
+        length = (b.last[some] - b.first[some] + 1).astype(np.int64)
+        start = tx.ranges(b.first[some].astype(np.int64), length)
+        before = (np.repeat(b.at[some], length) - start).astype(np.uint64)
+        out[start] = (np.repeat(mask[some], length) >> before & np.uint64(1)).astype(bool)
+    return out
+
+
+def _covered(starts: np.ndarray, span: int) -> np.ndarray:
+    """Which positions of a text lie in a string of ``span`` that begins at one of ``starts``."""
+    if not starts.any():
+        return np.zeros(len(starts), bool)
+    begun = np.cumsum(starts, dtype=np.int32)
+    ended = np.zeros_like(begun)
+    ended[span:] = begun[:-span]
+    return begun > ended
+
+
 def _by_part(told: pa.Table, kind: int) -> list[bytes]:
     rows = zip(told.column("from").to_pylist(), told.column("kind").to_pylist(), told.column("body").to_pylist(), strict=True)
     return [body for _, k, body in sorted((r for r in rows if r[1] == kind), key=lambda r: r[0])]
@@ -363,8 +400,8 @@ def splitters(docs: DataFrame, parts: int, shape: Shape, doc_id: str = "doc_id",
     texts = [r[0].encode() for r in some.where(F.col(text).isNotNull()).select(F.substring(text, 1, 4096)).limit(2 * SAMPLE_DOCS).collect()]
     leads = []
     for raw in texts:
-        at, _ = _picked(np.frombuffer(raw, np.uint8), shape)
-        leads += [raw[p : p + shape.lead] for p in np.unique(at).tolist()]
+        at, _, _, _ = _suffixes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), shape)
+        leads += [raw[p : p + shape.lead] for p in at.tolist()]
     leads.sort()
     return sorted({leads[len(leads) * i // parts] for i in range(1, parts)}) if len(leads) > parts else []
 
@@ -431,11 +468,9 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
             mask = np.zeros(len(b.at), np.uint64)
             later = b.ids[b.doc[which]] > least[number]
             mask[which] = np.where(later, np.uint64((1 << shape.w) - 1), bits[number] if len(number) else np.uint64(0))
-            before = (b.at[b.pick] - b.start).astype(np.uint64)
-            copied = (mask[b.pick] >> before & np.uint64(1)).astype(bool)
-            gone = tx.covered(len(b.data), b.start[copied], span)
+            copied = _copied(b, mask)
             for i, (lo, hi) in enumerate(zip(b.off[:-1].tolist(), b.off[1:].tolist(), strict=True)):
-                lost = gone[lo:hi]
+                lost = _covered(copied[lo:hi], span)
                 kept = b.data[lo:hi][~lost].tobytes()
                 spans = int((lost[1:] & ~lost[:-1]).sum() + lost[:1].sum())
                 for c, v in zip(names, (int(b.ids[i]), hi - lo, int(lost.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")), strict=True):
