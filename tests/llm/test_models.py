@@ -139,9 +139,48 @@ def test_paraphrases_are_found(spark):
     changed = [w if i % 4 or i > 30 else fx.sentence(draw, 1) for i, w in enumerate(words)]
     rows = [(i, fx.sentence(draw, 200)) for i in range(40)]
     rows += [(100, f"{fx.sentence(draw, 50)} {' '.join(changed)} {fx.sentence(draw, 50)}"), (101, " ".join(words[:12])), (102, None), (None, item)]
-    bench = spark.createDataFrame([(7, item), (8, None), (None, "x"), (9, "too short")], "item_id long, text string")
-    found = dc.find_leaks(fx.documents(spark, rows), bench).collect()
-    assert [(r.doc_id, r.item_id) for r in found] == [(100, 7)] and found[0].coverage < 1
+    bench = spark.createDataFrame([(7, item), (8, None), (None, "x"), (9, "too short"), (10, " .,; ")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.coverage for r in dc.find_leaks(fx.documents(spark, rows), bench).collect()}
+    assert set(found) == {(100, 7), (None, 7)} and found[100, 7] < 1 == found[None, 7]
+
+
+def test_short_and_widespread_items_are_found_word_for_word(spark):
+    bench = spark.createDataFrame([(1, "What is the capital"), (2, "of the of"), (3, "zebra"), (4, "one two three four five six seven")], "item_id long, text string")
+    rows = [(1, "so: what is THE capital?"), (2, "what is the big capital"), (3, "of the of the of"), (4, "the of the"), (5, "a zebra."), (6, "zebras"), (None, "what is the capital")]
+    rows += [(10 + i, f"{i} one two three four five six seven") for i in range(20)]
+    found = {(r.doc_id, r.item_id, r.word_start) for r in dc.find_leaks(fx.documents(spark, rows), bench).collect()}
+    assert found == {(1, 1, 1), (None, 1, 0), (3, 2, 0), (5, 3, 1)} | {(10 + i, 4, 1) for i in range(20)}
+    # A document that is the item, alone in its corpus.
+    alone = fx.documents(spark, [(1, "one two three four five six seven")])
+    assert [(r.doc_id, r.item_id) for r in dc.find_leaks(alone, bench).collect()] == [(1, 4)]
+
+
+def test_items_in_blocks_and_reads_are_found_alike(spark, monkeypatch):
+    draw = random.Random(13)
+    items = {i: fx.sentence(draw, n) for i, n in enumerate((3, 9, 16, 22, 35, 60, 18))}
+    rows = [(i, f"{fx.sentence(draw, 40)} {items[i % 7]} {fx.sentence(draw, 40)}") for i in range(30)]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    docs = fx.documents(spark, rows)
+    wanted = {(i, i % 7) for i in range(30)}
+    assert {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()} >= wanted
+    monkeypatch.setattr(dc, "ITEMS", 2)
+    monkeypatch.setattr(dc, "READ_ITEMS", 4)
+    monkeypatch.setattr(dc, "FIT_BYTES", 500)
+    assert {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()} >= wanted
+
+
+def test_the_space_decides_candidates():
+    draw = np.random.default_rng(2)
+    texts = [" ".join(f"w{j}" for j in draw.integers(0, 200, 30)) for _ in range(20)]
+    items = dc.read_items(list(enumerate(texts)))
+    idf = np.ones(len(items.vocabulary))
+    words = np.concatenate([draw.permutation(np.concatenate(items.words))[:4000]]).astype(np.int32)
+    f = dc.Found(np.arange(len(words), dtype=np.int32), words, np.array([0, len(words)]), np.zeros(len(words), np.int64))
+    pieces = dc.piece_vectors(items, idf)
+    _, _, right = np.linalg.svd(pieces)
+    low = dc.near_windows(f, dc.prepare(items, idf, right[:10].T), dc.NEAR)
+    full = dc.near_windows(f, dc.prepare(items, idf, np.eye(len(idf))), dc.NEAR)
+    assert set(zip(low[0], low[1])) != set(zip(full[0], full[1]))
 
 
 def test_leaks_without_rows(spark):
