@@ -43,11 +43,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least id. Rows that
-    repeat an id are one document; rows without an id stay."""
-    found = near_duplicates(docs, k=NEAR_SHINGLE, percent=NEAR_PERCENT).where(F.col("doc_id").isNotNull() & ~F.col("kept"))
-    gone = found.select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(left.where(F.col("doc_id").isNull()))
+    repeat an id and its text are one document; different texts under one id are documents of
+    their own, after all others. Rows without an id stay."""
+    own = F.col("doc_id")
+    texts = docs.where(own.isNotNull()).select(own, F.xxhash64("text").alias("_t")).distinct()
+    shared = texts.groupBy("doc_id").count().where("count > 1").select(own.alias("_shared"))
+    keyed = docs.withColumn("_key", own.cast("bigint"))
+    if not shared.isEmpty():
+        # Positive, and larger than any id that a table numbers its rows by.
+        made = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        keyed = docs.join(shared, own == F.col("_shared"), "left")
+        keyed = keyed.withColumn("_key", F.when(F.col("_shared").isNotNull(), made).otherwise(own.cast("bigint"))).drop("_shared")
+    found = near_duplicates(keyed.select("_key", "text"), k=NEAR_SHINGLE, percent=NEAR_PERCENT, doc_id="_key")
+    gone = found.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    left = keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    kept = left.where(own.isNotNull()).dropDuplicates(["_key"]).unionByName(left.where(own.isNull()))
+    return kept.select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +74,11 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, copied or paraphrased."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select(F.col("doc_id").alias("_leak")).distinct(), F.col("doc_id") == F.col("_leak"), "left_anti")
+    """Documents that hold no benchmark item, copied or paraphrased. Rows are told apart by a
+    64-bit hash of id and text, so that rows without an id, or with the same one, count."""
+    key = F.xxhash64("doc_id", "text")
+    leaks = find_leaks(docs.select(key.alias("_key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="_key")
+    return docs.join(leaks.select(F.col("doc_id").alias("_leak")).distinct(), key == F.col("_leak"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
