@@ -178,8 +178,8 @@ def test_the_space_decides_candidates():
     f = dc.Found(np.arange(len(words), dtype=np.int32), words, np.array([0, len(words)]), np.zeros(len(words), np.int64))
     pieces = dc.piece_vectors(items, idf)
     _, _, right = np.linalg.svd(pieces)
-    low = dc.near_windows(f, dc.prepare(items, idf, right[:10].T), dc.NEAR)
-    full = dc.near_windows(f, dc.prepare(items, idf, np.eye(len(idf))), dc.NEAR)
+    low = dc.near_windows(f, dc.prepare(items, idf, right[:10].T), idf, dc.NEAR)
+    full = dc.near_windows(f, dc.prepare(items, idf, np.eye(len(idf))), idf, dc.NEAR)
     assert set(zip(low[0], low[1])) != set(zip(full[0], full[1]))
 
 
