@@ -65,6 +65,11 @@ class Files:
         finally:
             stream.close()
 
+    def size(self, path: str) -> int:
+        """Bytes of all files below a path; 0 if there is none."""
+        fs, where = self._at(path)
+        return int(fs.getContentSummary(where).getLength()) if fs.exists(where) else 0
+
     def delete(self, path: str) -> None:
         fs, where = self._at(path)
         fs.delete(where, True)
