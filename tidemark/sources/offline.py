@@ -4,7 +4,7 @@ Layout: ``<root>/<group>_v<version>/batch=<label>/date=YYYY-MM-DD/*.parquet`` an
 ``_spec/spec.json``. A batch owns its ``batch=`` folder, so writing the same batch again
 replaces exactly its own rows, whatever their dates; batches never touch one another.
 The spec lies beside the rows: a batch whose spec removes or retypes a stored feature
-is refused before anything is written.
+is refused before anything is written. ``sources.compaction`` folds batches into few files.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tidemark.files import Files
 from tidemark.functions.timefns import as_utc_ntz
+from tidemark.sources import compaction
 from tidemark.spec import EVENT_TS, INGEST_TS, FeatureGroup, FeatureType
 
 
@@ -70,6 +71,8 @@ def write_features(
     _keep_spec(df.sparkSession, fg, path)
     if batch is None:
         batch = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    else:
+        compaction.mark_rewritten(Files(df.sparkSession), path, batch)
     event_ts = as_utc_ntz(F.col(EVENT_TS), df.schema[EVENT_TS].dataType)
     rows = df.withColumns(
         {f.name: F.col(f.name).cast(f.spark_type) for f in fg.features} | {EVENT_TS: event_ts}
@@ -117,28 +120,45 @@ def read_features(
     column such as a scalar subquery) prunes later date folders. ``keep`` names
     extra stored columns to return as well. A table without data is empty.
     """
-    path = table_path(fg, root)
-    text = FeatureType.STRING.spark_type
-    declared = fg.entity_dtype.spark_type if fg.entity_dtype else None
-    partitions = [T.StructField("date", T.DateType()), T.StructField("batch", T.StringType())]
+    path, files = table_path(fg, root), Files(spark)
+    manifest = compaction.read_manifest(files, path)
+    parts = compaction.parts_of(files, path, manifest)
+    if not parts.batches and not parts.packs:
+        text = FeatureType.STRING.spark_type
+        declared = fg.entity_dtype.spark_type if fg.entity_dtype else text
+        return spark.createDataFrame([], _table_schema(fg, declared, []))
     try:
-        extra = []
-        if declared is None or keep:
-            stored = spark.read.parquet(path).schema
-            declared = declared or stored[fg.entity].dataType
-            extra = [stored[c] for c in keep or []]
-        schema = _table_schema(fg, declared, extra)
-        table = spark.read.schema(T.StructType([*schema.fields, *partitions])).parquet(path)
+        schema = stored_schema(spark, fg, path, keep)
     except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        # Batches without rows have no files to tell a type.
+        if missing.getCondition() != "UNABLE_TO_INFER_SCHEMA":
             raise
-        return spark.createDataFrame([], _table_schema(fg, declared or text, []))
+        return spark.createDataFrame([], _table_schema(fg, FeatureType.STRING.spark_type, []))
+    if manifest.number:
+        table = compaction.read_parts(spark, path, parts, schema)
+    else:
+        partitions = [T.StructField("date", T.DateType()), T.StructField("batch", T.StringType())]
+        table = spark.read.schema(T.StructType([*schema.fields, *partitions])).parquet(path)
     if until is not None:
         bound = until if not isinstance(until, str) else F.lit(until)
         table = table.filter(F.col("date") <= F.to_date(bound))
     return table.select(*schema.fieldNames())
 
 
+def stored_schema(spark: SparkSession, fg: FeatureGroup, path: str, keep: list[str] | None = None) -> T.StructType:
+    """The columns that are read: entity, event time, features, arrival, and ``keep``. Types
+    that the spec does not say are those of the stored files."""
+    declared = fg.entity_dtype.spark_type if fg.entity_dtype else None
+    extra = []
+    if declared is None or keep:
+        files = Files(spark)
+        parts = compaction.parts_of(files, path, compaction.read_manifest(files, path))
+        stored = compaction.stored_fields(spark, path, parts)
+        declared = declared or stored[fg.entity].dataType
+        extra = [stored[c] for c in keep or []]
+    return _table_schema(fg, declared, extra)
+
+
 def _table_schema(
     fg: FeatureGroup, entity_type: T.DataType, extra: list[T.StructField]
 ) -> T.StructType:
