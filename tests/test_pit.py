@@ -152,3 +152,16 @@ def test_training_set_prunes_dates(spark, tmp_path):
     assert (row.a, row.z, row._ts_never_written) == (1, None, None)
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "date#" in plan
+
+
+def test_chunks_of_a_large_cell_stay_near_the_bound(spark):
+    # A million rows of one entity in one hour, unevenly over it; a tenth at one instant.
+    at = F.timestamp_add("MICROSECOND", F.pmod(F.col("id") * F.col("id"), F.lit(3_599_999_999)), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz"))
+    one = F.lit("2024-05-01 10:20:00").cast("timestamp_ntz")
+    rows = spark.range(1_000_000).select(F.lit(1).alias("__k"), F.when(F.col("id") % 10 == 0, one).otherwise(at).alias("__t"))
+    chunks = pit._chunked(rows, 1_000, F.broadcast).groupBy("__chunk", "__point").agg(F.count(F.lit(1)).alias("n"), F.min("__t").alias("a"), F.max("__t").alias("z"))
+    found = chunks.orderBy("a", "z").collect()
+    assert max(r.n for r in found if not r["__point"]) < 2_000
+    assert [r.n for r in found if r["__point"]] == [100_000]
+    # Chunks follow time.
+    assert [r["__chunk"] for r in found] == sorted(r["__chunk"] for r in found)

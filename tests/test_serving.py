@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -15,32 +16,47 @@ T0 = datetime(2024, 1, 1)
 LOG = "id long, model_name string, model_version int, mode string, traffic_pct int, created_at timestamp"
 
 
-def group(version, *features):
-    return FeatureGroup("user_activity", "user_id", tuple(Feature(f, "int64") for f in features), version)
+def valve(version, **dtypes):
+    return FeatureGroup("valve", "valve_no", tuple(Feature(n, t) for n, t in dtypes.items()), version, ttl_seconds=60 * version)
 
 
-def test_register_get_and_latest(spark):
-    log = registry.spec_log(spark, [group(1, "login_count"), group(3, "a", "b"), group(2, "a")])
-    assert registry.get_version(log, "user_activity").first().version == 3
-    row = registry.get_version(log, "user_activity", 2).first()
-    assert (row.version, [f.name for f in row.features]) == (2, ["a"])
-    assert registry.get_version(log, "nothing").count() == 0
-    listed = [(r.version, r.n_features, r.ttl_seconds) for r in registry.list_groups(log).collect()]
-    assert listed == [(1, 1, 86400), (2, 1, 86400), (3, 2, 86400)]
+def test_spec_log_answers_by_version_and_newest(spark):
+    """Versions registered in no order; what is newest is decided by number, not by time."""
+    versions = [11, 2, 40, 7]
+    made = {v: valve(v, **{f"f{i}": "float64" for i in range(v % 5 + 1)}) for v in versions}
+    log = registry.spec_log(spark, [made[v] for v in versions])
+    assert registry.get_version(log, "valve").first().version == 40
+    for v in versions:
+        row = registry.get_version(log, "valve", v).first()
+        assert [f.name for f in row.features] == made[v].feature_names
+    assert registry.get_version(log, "valve", 3).count() == registry.get_version(log, "pump").count() == 0
+    listed = {(r.version, r.n_features, r.ttl_seconds) for r in registry.list_groups(log).collect()}
+    assert listed == {(v, v % 5 + 1, 60 * v) for v in versions}
 
 
-def test_removal_is_blocked(spark):
-    registry.check_compatible(group(1, "a"), group(1, "a", "b"))
-    with pytest.raises(ValueError, match="removed"):
-        registry.check_compatible(group(1, "a", "b"), group(1, "a"))
-    with pytest.raises(ValueError, match="removed"):
-        registry.check_compatible(group(1, "a", "b"), group(1, "a", "c"))
-    old = registry.spec_log(spark, [group(1, "a", "b")])
-    new = registry.spec_log(spark, [group(1, "a", "c")])
-    assert {(r.feature, r.change) for r in registry.schema_diff(old, new).collect()} == {
-        ("b", "removed"),
-        ("c", "added"),
-    }
+OLD = {"flow": "float64", "seal": "string", "turns": "int64"}
+
+
+@pytest.mark.parametrize(
+    ("new", "removed", "retyped", "added"),
+    [
+        ({**OLD, "leaks": "bool"}, [], [], ["leaks"]),
+        (dict(reversed(OLD.items())), [], [], []),
+        ({"flow": "float64", "turns": "int64"}, ["seal"], [], []),
+        ({**OLD, "turns": "float64"}, [], ["turns"], []),
+        ({"seal": "bool", "spring": "int64"}, ["flow", "turns"], ["seal"], ["spring"]),
+    ],
+)
+def test_what_a_version_may_change(spark, new, removed, retyped, added):
+    before, after = valve(3, **OLD), valve(3, **new)
+    if removed or retyped:
+        with pytest.raises(ValueError, match=f"removed {re.escape(str(removed))}, retyped {re.escape(str(retyped))}"):
+            registry.check_compatible(before, after)
+    else:
+        registry.check_compatible(before, after)
+    log = [registry.spec_log(spark, [g]) for g in (before, after)]
+    found = {(r.feature, r.change) for r in registry.schema_diff(*log).collect()}
+    assert found == {(n, "removed") for n in removed} | {(n, "retyped") for n in retyped} | {(n, "added") for n in added}
 
 
 def deployments(spark, rows):
@@ -49,19 +65,20 @@ def deployments(spark, rows):
     return df.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
-def test_production_replaces_production(spark):
-    log = deployments(spark, [(1, 1, "production", 100, 0), (2, 2, "production", 100, 1)])
-    assert [r.model_version for r in registry.active_deployments(log).collect()] == [2]
-    gone = log.withColumn(
-        "retired_at", F.when(F.col("id") == 2, F.lit(T0).cast("timestamp_ntz"))
-    )
-    assert registry.active_deployments(gone).count() == 0
-
-
-def test_canary_coexists(spark):
-    log = deployments(spark, [(1, 1, "production", 100, 0), (2, 2, "canary", 10, 1)])
-    active = {(r.mode, r.traffic_pct) for r in registry.active_deployments(log).collect()}
-    assert active == {("production", 100), ("canary", 10)}
+@pytest.mark.parametrize("seed", [3, 4])
+def test_active_deployments_of_random_logs(spark, seed):
+    """Of the productions the one with the largest id, if it is not retired; of the others all
+    that are not."""
+    draw = random.Random(seed)
+    rows = [(i, draw.randint(1, 99), draw.choice(["production", "canary", "shadow"]), draw.randint(0, 100), draw.randint(0, 50)) for i in draw.sample(range(500), 40)]
+    retired = {r[0] for r in rows if draw.random() < 0.3}
+    log = deployments(spark, rows)
+    ends = F.when(F.col("id").isin(list(retired)), F.lit(T0).cast("timestamp_ntz"))
+    last = max(r[0] for r in rows if r[2] == "production")
+    kept = [r for r in rows if r[2] != "production" or r[0] == last]
+    for table, gone in ((log, set()), (log.withColumn("retired_at", ends), retired)):
+        found = {(r.id, r.model_version, r.mode, r.traffic_pct) for r in registry.active_deployments(table).collect()}
+        assert found == {r[:4] for r in kept if r[0] not in gone}
 
 
 def bucket(model, entity):
@@ -212,11 +229,11 @@ def test_reduction_is_size_checked(spark):
 
 def test_lineage_keeps_unregistered_groups(spark):
     models = spark.createDataFrame(
-        [("m", 1, ["user_activity", "gone"])], "name string, version long, feature_groups array<string>"
+        [("press", 6, ["valve", "gone"])], "name string, version long, feature_groups array<string>"
     )
-    specs = registry.spec_log(spark, [group(1, "x"), group(2, "a", "b")])
+    specs = registry.spec_log(spark, [valve(9, **OLD), valve(5, x="int64")])
     rows = {tuple(r)[2:] for r in registry.lineage(models, specs).collect()}
-    assert rows == {("user_activity", 2, "a"), ("user_activity", 2, "b"), ("gone", None, None)}
+    assert rows == {("gone", None, None), *(("valve", 9, n) for n in OLD)}
 
 
 @pytest.mark.parametrize("hot_rows", [3, 100])

@@ -29,6 +29,12 @@ CELL = "_cell"
 FIRST_WRITE = "_first_write"
 LAST_WRITE = "_last_write"
 
+# With a ttl below this many seconds a busy entity has very many cells: they are merged chunk
+# by chunk of so many cells first, each chunk a group of its own.
+SHORT_TTL = 3_600
+CHUNK_CELLS = 4_096
+_CHUNK = "__chunk"
+
 ARRIVAL = "arrival"
 EVENT_TIME = "event_time"
 
@@ -96,13 +102,26 @@ def merge_partials(
     fg: FeatureGroup, partials: DataFrame, order: str = ARRIVAL, expire: bool = True
 ) -> DataFrame:
     """Merge partial rows to one row per entity, still in partial form."""
-    alive = _last_island(fg, partials) if expire and fg.ttl_seconds > 0 else partials
+    alive = partials
+    if expire and fg.ttl_seconds > 0:
+        if fg.ttl_seconds < SHORT_TTL:
+            # A pause inside a chunk wipes what lies before it in the chunk; what is left is one
+            # row, and a pause before its first write lies between chunks.
+            length = F.lit(fg.ttl_seconds * 1_000_000 * CHUNK_CELLS)
+            chunked = partials.withColumn(_CHUNK, F.col(CELL) - F.pmod(F.col(CELL), length))
+            by = [fg.entity, _CHUNK]
+            alive = _merged(fg, _last_island(fg, chunked, by), order, by).drop(_CHUNK)
+        alive = _last_island(fg, alive, [fg.entity])
+    return _merged(fg, alive, order, [fg.entity])
+
+
+def _merged(fg: FeatureGroup, rows: DataFrame, order: str, by: list[str]) -> DataFrame:
     merged = [F.max(f.name).alias(f.name) for f in fg.features]
     if order == ARRIVAL:
         event = F.max_by(EVENT_TS, F.struct(LAST_WRITE, SEQ))
     else:
         event = F.max(EVENT_TS)
-    return alive.groupBy(fg.entity).agg(
+    return rows.groupBy(*by).agg(
         F.min(CELL).alias(CELL),
         F.min(FIRST_WRITE).alias(FIRST_WRITE),
         F.max(LAST_WRITE).alias(LAST_WRITE),
@@ -132,14 +151,14 @@ def partial_schema(fg: FeatureGroup, entity: T.DataType) -> T.StructType:
     )
 
 
-def _last_island(fg: FeatureGroup, partials: DataFrame) -> DataFrame:
-    """Keep the partial rows after an entity's last pause of at least ttl."""
+def _last_island(fg: FeatureGroup, partials: DataFrame, by: list[str]) -> DataFrame:
+    """Keep the partial rows after the last pause of at least ttl."""
     ttl_us = fg.ttl_seconds * 1_000_000
-    by_time = W.partitionBy(fg.entity).orderBy(FIRST_WRITE, LAST_WRITE)
+    by_time = W.partitionBy(*by).orderBy(FIRST_WRITE, LAST_WRITE)
     earlier = by_time.rowsBetween(W.unboundedPreceding, -1)
     pause = F.col(FIRST_WRITE) - F.max(LAST_WRITE).over(earlier)
     started = F.max(F.when(F.col("__pause") >= ttl_us, F.col(FIRST_WRITE)))
-    whole = W.partitionBy(fg.entity)
+    whole = W.partitionBy(*by)
     return (
         partials.withColumn("__pause", pause)
         .withColumn("__start", started.over(whole))

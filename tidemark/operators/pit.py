@@ -15,7 +15,7 @@ chunks, which makes the cut exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,17 +24,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.timefns import as_utc_ntz, ntz_to_micros
-from tidemark.operators.skew import HOT_ROWS, hot_keys
+from tidemark.operators.skew import BROADCAST_ROWS, HOT_ROWS, hot_keys
 from tidemark.spec import EVENT_TS, INGEST_TS, FeatureGroup
 from tidemark.workspace import new_run_dir
 
 # Payload structs carried through one sort; more groups are joined in further passes.
 GROUPS_PER_PASS = 16
 
-# A hot entity's timeline is cut by the hour, and an hour that is itself too
-# large at quantiles of its event times.
+# A hot entity's timeline is cut by the hour, and an hour that is itself too large at
+# quantiles of its event times: as many of a grid of them as its rows ask for.
 CELL_MICROS = 3_600_000_000
-CUTS_PER_CELL = 64
+CUT_GRID = 1_024
+# Cuts are looked up in two steps, by groups of this many.
+CUT_GROUP = 32
 
 # Partitions that rows without a match are spread over, where they are not kept apart.
 UNMATCHED_PARTS = 1 << 20
@@ -129,10 +131,11 @@ def point_in_time_join(
     if read_once:
         return _carry_forward(timeline, payloads, ["__k", "__part"]).select(*columns).select(*expanded)
     timeline = timeline.drop("__part")
-    if hot_rows is None or hot_keys(timeline.select("__k"), "__k", hot_rows).isEmpty():
+    rows, hot = (0, 0) if hot_rows is None else _count_hot(timeline, hot_rows)
+    if not hot:
         answered = _carry_forward(timeline, payloads, ["__k"])
     else:
-        answered = _hot_path(timeline, payloads, hot_rows)
+        answered = _hot_path(timeline, payloads, hot_rows, rows // hot_rows <= BROADCAST_ROWS)
 
     # Without a key or a time nothing can match; these rows skip the shuffle.
     unmatched = spine.filter(no_match).select(
@@ -290,16 +293,25 @@ def _carry_forward(
     return timeline.withColumns(newest).filter(F.col("__kind") == _SPINE)
 
 
-def _hot_path(timeline: DataFrame, payloads: list[_Payload], hot_rows: int) -> DataFrame:
+def _count_hot(timeline: DataFrame, hot_rows: int) -> tuple[int, int]:
+    """Rows with a key, and how many keys are hot."""
+    keys = timeline.filter(F.col("__k").isNotNull()).groupBy("__k").agg(F.count(F.lit(1)).alias("n"))
+    found = keys.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") >= hot_rows).alias("hot")).first()
+    return found["rows"] or 0, found["hot"]
+
+
+def _hot_path(timeline: DataFrame, payloads: list[_Payload], hot_rows: int, few: bool) -> DataFrame:
     """The same answer with the timelines of hot entities cut into chunks.
 
     ``hot``, ``cuts`` and the points are lists of things that each stand for at
-    least ``hot_rows`` rows, so N rows give at most N / hot_rows of them.
+    least ``hot_rows`` rows, so N rows give at most N / hot_rows of them. They are broadcast
+    if N, which has been counted, makes that ``few``; else they are joined like any table.
     """
+    near = F.broadcast if few else (lambda listed: listed)
     slots = [p.slot for p in payloads]
-    hot = F.broadcast(hot_keys(timeline.select("__k"), "__k", hot_rows))
+    hot = near(hot_keys(timeline.select("__k"), "__k", hot_rows))
     cold = timeline.join(hot, "__k", "left_anti").withColumn("__chunk", F.lit(0).cast("bigint"))
-    warm = _chunked(timeline.join(hot, "__k", "left_semi"), hot_rows)
+    warm = _chunked(timeline.join(hot, "__k", "left_semi"), hot_rows, near)
 
     # Newest payloads per chunk, combined before the shuffle, then run forward:
     # one row per chunk and entity.
@@ -337,26 +349,29 @@ def _hot_path(timeline: DataFrame, payloads: list[_Payload], hot_rows: int) -> D
     )
     point_spine = warm.filter(F.col("__point") & (F.col("__kind") == _SPINE))
     point_answers = point_spine.select("__k", "__chunk", "__s").join(
-        F.broadcast(at_point), ["__k", "__chunk"], "left"
+        near(at_point), ["__k", "__chunk"], "left"
     )
     return answered.select("__s", *slots).unionByName(point_answers.select("__s", *slots))
 
 
-def _chunked(rows: DataFrame, hot_rows: int) -> DataFrame:
+def _chunked(rows: DataFrame, hot_rows: int, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Add ``__chunk``, which grows with event time, and ``__point``, set where the
     chunk is a single instant that alone holds at least ``hot_rows`` rows."""
     micros = ntz_to_micros(F.col("__t"))
     started = micros - F.pmod(micros, F.lit(CELL_MICROS))
     rows = rows.withColumn("__cell", (started / F.lit(CELL_MICROS)).cast("bigint"))
-    quantiles = [i / CUTS_PER_CELL for i in range(1, CUTS_PER_CELL)]
+    quantiles = [i / CUT_GRID for i in range(1, CUT_GRID)]
     cells = (
         rows.groupBy("__k", "__cell")
         .agg(
             F.count(F.lit(1)).alias("__n"),
-            F.percentile_approx(micros, quantiles, 20 * CUTS_PER_CELL).alias("__quantiles"),
+            F.percentile_approx(micros, quantiles, 20 * CUT_GRID).alias("__grid"),
         )
         .filter(F.col("__n") >= hot_rows)
     )
+    # Two cuts for each hot_rows rows of the cell, as far as the grid goes.
+    step = F.greatest(F.lit(1), F.floor(F.lit(CUT_GRID * hot_rows) / (F.lit(2) * F.col("__n"))))
+    quantile_cuts = F.array_distinct(F.filter("__grid", lambda c, i: (i + 1) % step == 0))
     points = (
         rows.groupBy("__k", "__cell", "__t")
         .agg(F.count(F.lit(1)).alias("__n"))
@@ -365,25 +380,30 @@ def _chunked(rows: DataFrame, hot_rows: int) -> DataFrame:
         .agg(F.collect_list(micros).alias("__points"))
     )
     no_points = F.array().cast("array<bigint>")
-    cuts = cells.join(points, ["__k", "__cell"], "left").select(
-        "__k",
-        "__cell",
-        F.coalesce("__points", no_points).alias("__points"),
-        F.array_union("__quantiles", F.coalesce("__points", no_points)).alias("__cuts"),
+    all_cuts = F.array_sort(F.array_union(quantile_cuts, F.coalesce("__points", no_points)))
+    last = F.floor((F.size("__cuts") - 1) / CUT_GROUP).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(F.col("__cuts"), i * CUT_GROUP + 1, CUT_GROUP))
+    cuts = (
+        cells.join(points, ["__k", "__cell"], "left")
+        .select("__k", "__cell", F.coalesce("__points", no_points).alias("__points"), all_cuts.alias("__cuts"))
+        .withColumn("__groups", groups)
+        .withColumn("__heads", F.transform("__groups", lambda g: g[0]))
     )
     # Rows of one cell get even numbers by the cuts before them; a point is a cut
     # itself and gets the odd number just below the rows that follow it.
-    earlier = F.size(F.filter(F.col("__cuts"), lambda c: c < micros))
+    begun = F.size(F.filter("__heads", lambda c: c < micros))
+    inside = F.size(F.filter(F.get("__groups", begun - 1), lambda c: c < micros))
+    earlier = F.when(begun == 0, F.lit(0)).otherwise((begun - 1) * CUT_GROUP + inside)
     is_point = F.coalesce(F.array_contains("__points", micros), F.lit(False))
-    per_cell = 4 * CUTS_PER_CELL + 2 * (CELL_MICROS // 1_000)
+    per_cell = 4 * CUT_GRID + 2 * (CELL_MICROS // 1_000)
     number = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(
         F.lit(2) * earlier + is_point.cast("int")
     )
     return (
-        rows.join(F.broadcast(cuts), ["__k", "__cell"], "left")
+        rows.join(near(cuts.select("__k", "__cell", "__points", "__cuts", "__groups", "__heads")), ["__k", "__cell"], "left")
         .withColumn("__chunk", F.col("__cell") * F.lit(per_cell) + number)
         .withColumn("__point", is_point)
-        .drop("__cell", "__cuts", "__points")
+        .drop("__cell", "__cuts", "__points", "__groups", "__heads")
     )
 
 
