@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 from pyspark import StorageLevel
+from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,16 +18,17 @@ from pyspark.sql import types as T
 from tidemark.functions.codec import decode, encode
 from tidemark.functions.hashing import canary_bucket
 from tidemark.functions.timefns import age_seconds, ntz_to_micros
-from tidemark.operators import drift, registry, rolling, routing, scoring, servelog, sweep
+from tidemark.operators import drift, modelstore, registry, rolling, routing, scoring, servelog, sketches, sweep
 from tidemark.operators import latest as lv
+from tidemark.operators import quantiles as quantiles_module
 from tidemark.operators import transform as tf
-from tidemark.operators.pit import point_in_time_join
+from tidemark.operators.pit import Keyed, point_in_time_join, point_in_time_join_keys
 from tidemark.operators.quantiles import quantile_edges
 from tidemark.plans.serving import serve, serve_at_request
-from tidemark.plans.training import training_set, training_set_keys
+from tidemark.plans.training import training_set
 from tidemark.sources import messages as ms
-from tidemark.sources import offline
-from tidemark.sources.kv import export_kv
+from tidemark.sources import compaction, offline
+from tidemark.sources.kv import apply_changes, export_changes, export_kv
 from tidemark.sources.synth import synth_features
 from tidemark.spec import (
     CANARY,
@@ -136,11 +139,8 @@ CUSTOMER_ORDERS = FeatureGroup(
 
 
 def pit_join_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels that name a user and a customer, joined from stored groups of both: clicks and
-    views by user, orders by customer. Some labels have no customer."""
-    root = new_run_dir(spark, "keys")
-    for name in ("click", "view"):
-        offline.write_features(event_group(name), event_features(spark, sf, name), root)
+    """Labels that name a user and a customer, joined with clicks and views by user and orders
+    by customer. Some labels have no customer."""
     orders = table(spark, sf, "orders").select(
         "o_custkey",
         F.timestamp_add("DAY", F.lit(ORDER_SHIFT), F.col("o_orderdate").cast("timestamp_ntz")).alias(EVENT_TS),
@@ -148,11 +148,11 @@ def pit_join_keys(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderstatus",
         F.col("o_orderkey").alias("_ingest_ts"),
     )
-    offline.write_features(CUSTOMER_ORDERS, orders, root)
     customer = F.when(F.col("event_id") % 11 > 0, F.col("event_id") % 150 + 1)
     spine = purchases(spark, sf).withColumn("customer", customer)
-    groups = {"customer": [CUSTOMER_ORDERS], "user_id": [event_group("click"), event_group("view")]}
-    return training_set_keys(spark, spine, groups, root)
+    groups = [Keyed("customer", CUSTOMER_ORDERS, orders)]
+    groups += [Keyed("user_id", event_group(n), event_features(spark, sf, n)) for n in ("click", "view")]
+    return point_in_time_join_keys(spine, groups)
 
 
 # ---- offline tables --------------------------------------------------------
@@ -190,6 +190,36 @@ def evolved_scan(spark: SparkSession, sf: str) -> DataFrame:
     return offline.read_features(spark, EVENT_LOG_EVOLVED, root).drop("_ingest_ts")
 
 
+def compacted_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Five batches folded into packs; then one of them is written again, a sixth comes, and
+    both are folded."""
+    root = new_run_dir(spark, "compacted")
+    rows = event_log(spark, sf).drop("k")
+    part = F.pmod(F.col("event_id"), F.lit(6))
+    for i in range(5):
+        # The second batch is wrong at first: it has rows of others, and lacks its own.
+        mine = part == i if i != 1 else part == 0
+        offline.write_features(EVENT_LOG, rows.filter(mine), root, batch=f"b{i}")
+    compaction.compact_features(spark, EVENT_LOG, root)
+    compaction.vacuum_features(spark, EVENT_LOG, root)
+    offline.write_features(EVENT_LOG, rows.filter(part == 1), root, batch="b1")
+    offline.write_features(EVENT_LOG, rows.filter(part == 5), root, batch="b5")
+    compaction.compact_features(spark, EVENT_LOG, root)
+    return offline.read_features(spark, EVENT_LOG, root).drop("_ingest_ts")
+
+
+def missing_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Which columns a batch lacks, as the writer refuses it: all events as batches that have
+    lost two columns."""
+    rows = event_log(spark, sf).drop("k", "value", EVENT_TS)
+    try:
+        offline.write_features(EVENT_LOG, rows, new_run_dir(spark, "missing"))
+        refused = ""
+    except ValueError as error:
+        refused = str(error)
+    return rows.agg(F.count(F.lit(1)).alias("rows")).withColumn("refused", F.lit(refused))
+
+
 def dedup_features(spark: SparkSession, sf: str) -> DataFrame:
     """The same batch delivered twice under different labels."""
     root = new_run_dir(spark, "dedup")
@@ -352,7 +382,11 @@ def kv_export(spark: SparkSession, sf: str) -> DataFrame:
     """Exported fields, one row each; doubles are shown as numbers because their
     text form is not standardised."""
     view = lv.latest_view(ACTIVITY, wide_writes(spark, sf), as_of=AS_OF)
-    fields = export_kv(ACTIVITY, view).select("key", F.explode("fields").alias("field", "text"))
+    return kv_fields(export_kv(ACTIVITY, view))
+
+
+def kv_fields(exported: DataFrame) -> DataFrame:
+    fields = exported.select("key", F.explode("fields").alias("field", "text"))
     is_number = F.col("field").isin([*TYPES, EVENT_TS])
     return fields.select(
         "key",
@@ -362,6 +396,21 @@ def kv_export(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def kv_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The export as of the split, brought up to date by the changes since: fields as in
+    ``kv_export``."""
+    path = new_run_dir(spark, "kv")
+    writes = wide_writes(spark, sf)
+    early = F.col(WRITE_TS) < F.lit(SPLIT)
+    state.add_writes(ACTIVITY, writes.filter(early), path, "early")
+    first = state.compact(spark, ACTIVITY, path)
+    state.add_writes(ACTIVITY, writes.filter(~early), path, "late")
+    state.compact(spark, ACTIVITY, path)
+    before = export_kv(ACTIVITY, state.generation_view(spark, ACTIVITY, path, first, SPLIT))
+    changed = export_changes(ACTIVITY, state.changes(spark, ACTIVITY, path, first, None, SPLIT, AS_OF))
+    return kv_fields(apply_changes(before, changed))
+
+
 VECTORS = FeatureGroup(
     "vectors",
     "vec_id",
@@ -587,6 +636,30 @@ def halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter(F.col("ts") < F.lit(SPLIT)), rows.filter(F.col("ts") >= F.lit(SPLIT))
 
 
+def sketch_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges from sketches of single months, and whether each is as near to its rank as stated."""
+    columns = ["l_quantity", "l_discount", "l_extendedprice"]
+    rows = table(spark, sf, "lineitem").withColumn("month", F.date_trunc("month", "l_shipdate"))
+    kept = sketches.sketch_values(rows, columns, ("month",))
+    merged = sketches.merge_sketches(kept)
+    asked = sketches.read_quantiles(merged, [i / 10 for i in range(11)])
+    long = quantiles_module.long_form(rows, columns)
+    return within_rank(sketches.rank_gaps(long, asked, "value", "value", ("feature",))).select("feature", "n", "pos", "near")
+
+
+def within_rank(gaps: DataFrame) -> DataFrame:
+    return gaps.withColumn("near", F.col("gap") <= sketches.SURE * sketches.rank_error())
+
+
+def latency_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Latencies of each model from sketches of single days, and whether their ranks hold."""
+    log = events(spark, sf).select(F.col("event_type").alias("model_name"), (F.col("value") / 500).alias("latency"), "ts")
+    kept = sketches.sketch_days(log, ["latency"], "ts", ("model_name",))
+    found = sketches.latency_quantiles(kept, (0.5, 0.9, 0.99))
+    gaps = sketches.rank_gaps(log, found, "latency", "seconds", ("model_name",))
+    return within_rank(gaps).select("model_name", "n", "probability", "near")
+
+
 def histogram(spark: SparkSession, sf: str) -> DataFrame:
     before, after = halves(spark, sf)
     found = drift.histogram(before, after, ["value"])
@@ -900,6 +973,42 @@ def shadow_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("agreement", "mean_abs_diff")})
 
 
+#: Weights of click and view, and the intercept, of the stored versions of one model.
+STORED = {1: (2.0, 0.5, 1.0), 2: (0.25, 1.0, -1.0), 3: (1.0, -1.0, 0.5)}
+
+
+def pipeline_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests scored by stored pipelines, each fitted on all users' features to a linear
+    target; what was measured comes from the store."""
+    root = new_run_dir(spark, "models")
+    writes = wide_writes(spark, sf).withColumn("entity_id", F.concat(F.lit("u_"), F.col("user_id").cast("string")))
+    view = lv.latest_view(SERVED, writes)
+    order = ["click", "view"]
+    for version, (a, b, c) in STORED.items():
+        target = F.lit(a) * F.coalesce("click", F.lit(0.0)) + F.lit(b) * F.coalesce("view", F.lit(0.0)) + F.lit(c)
+        training = view.withColumn("label", target)
+        model = modelstore.fit_pipeline(training, "label", order, [LinearRegression(solver="normal")])
+        fit = modelstore.measure(model, training, "label", order, RegressionEvaluator(metricName="r2"))
+        modelstore.save_model(spark, root, "click", version, model, order, {"r2": fit})
+    stored = {("click", v): modelstore.load_model(spark, root, "click", v) for v in STORED}
+    spec = ModelVersion("click", 1, ("served",))
+    wanted = lv.features_for_model(spec, requests(spark, sf), {"served": (SERVED, view)}, "entity_id")
+    attached = lv.attach_features(requests(spark, sf), wanted, "entity_id")
+    found = routing.route_requests(attached, daily_deployments(spark, sf, versions=4))
+    scored_ = modelstore.score_pipelines(found, stored, "event_id")
+    measured = modelstore.list_models(spark, root).select(
+        F.col("version").alias("model_version"), F.col("name").alias("model_name"), F.round(F.col("metrics")["r2"], 6).alias("r2")
+    )
+    return scored_.join(F.broadcast(measured), ["model_name", "model_version"], "left").select(
+        "event_id",
+        "model_version",
+        F.round("prediction", 4).alias("prediction"),
+        F.round(F.col("shadow_predictions")["v3"], 4).alias("shadow_v3"),
+        "score_error",
+        "r2",
+    )
+
+
 def _own_groups(spark: SparkSession, sf: str) -> dict[str, tuple[FeatureGroup, DataFrame]]:
     groups = {}
     for name in ("click", "view"):
@@ -996,9 +1105,11 @@ QUERIES = {
     "training_from_store": training_from_store,
     "offline_roundtrip": offline_roundtrip,
     "evolved_scan": evolved_scan,
+    "compacted_scan": compacted_scan,
     "dedup_features": dedup_features,
     "replay_fewer_dates": replay_fewer_dates,
     "evolution_checked": evolution_checked,
+    "missing_columns": missing_columns,
     "latest_view": latest_view,
     "latest_event_time": latest_event_time,
     "latest_ttl": latest_ttl,
@@ -1007,6 +1118,7 @@ QUERIES = {
     "model_features": model_features,
     "feature_age": feature_age,
     "kv_export": kv_export,
+    "kv_changes": kv_changes,
     "kv_decode": kv_decode,
     "transform_dead_letter": transform_dead_letter,
     "ingest_stats": ingest_stats,
@@ -1017,6 +1129,7 @@ QUERIES = {
     "bounded_batches": bounded_batches,
     "stream_stats": stream_stats,
     "quantile_edges": quantiles,
+    "sketch_edges": sketch_edges,
     "histogram": histogram,
     "psi": psi,
     "psi_shifted": psi_shifted,
@@ -1036,8 +1149,10 @@ QUERIES = {
     "cohort_split": cohort_split,
     "predict_counts": predict_counts,
     "latency_histogram": latency_histogram,
+    "latency_quantiles": latency_quantiles,
     "fetch_histogram": fetch_histogram,
     "batch_score": batch_score,
+    "pipeline_score": pipeline_score,
     "shadow_agreement": shadow_agreement,
     "request_score": request_score,
     "request_age": request_age,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans.catalog import AS_OF, ORDER_SHIFT, SPLIT, TYPES
+from tidemark.plans.catalog import AS_OF, ORDER_SHIFT, SPLIT, STORED, TYPES
 
 # Bounds of the latency buckets.
 PREDICT_BUCKETS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
@@ -501,6 +501,22 @@ SELECT event_id, model_version, round(CAST(prediction AS DOUBLE), 6) AS predicti
     AS score_error
 FROM scored
 """
+# The stored pipelines are fitted to these lines exactly.
+def _line(version: int) -> str:
+    a, b, c = STORED[version]
+    return f"round({c} + f0 * {a} + f2 * {b}, 4)"
+
+
+PIPELINE_SCORE = f"""{SCORED}
+SELECT event_id, model_version,
+  CAST(CASE WHEN model_name = 'click' THEN CASE model_version WHEN 1 THEN {_line(1)} WHEN 2 THEN {_line(2)}
+    WHEN 3 THEN {_line(3)} END END AS DOUBLE) AS prediction,
+  CAST(CASE WHEN model_name = 'click' AND shadows = '3' THEN {_line(3)} END AS DOUBLE) AS shadow_v3,
+  CASE WHEN model_version IS NOT NULL AND NOT (model_name = 'click' AND model_version IN (1, 2, 3))
+    THEN 'model version not loaded' END AS score_error,
+  CAST(CASE WHEN model_name = 'click' AND model_version IN (1, 2, 3) THEN 1.0 END AS DOUBLE) AS r2
+FROM scored
+"""
 SHADOW_AGREEMENT = f"""{SCORED}
 SELECT model_name, CAST(shadows AS INTEGER) AS shadow_version, count(*) AS requests,
   count(*) FILTER (shadow_v3 IS NULL) AS failures,
@@ -586,6 +602,16 @@ SELECT c_custkey, visits, round(minutes, 4) AS minutes, idle_days, _event_ts,
 FROM u
 """
 
+# Every quantile of a sketch has the rank it should have, within the stated error.
+SKETCH_EDGES = f"""
+SELECT feature, count(*) AS n, CAST(unnest(range(0, 11)) AS INTEGER) AS pos, true AS near
+FROM ({_long("SELECT * FROM lineitem", LINE_COLUMNS)}) GROUP BY feature
+"""
+LATENCY_QUANTILES = """
+SELECT event_type AS model_name, count(value) AS n, unnest([0.5::DOUBLE, 0.9::DOUBLE, 0.99::DOUBLE]) AS probability, true AS near
+FROM events GROUP BY event_type
+"""
+
 EVENT_LOG = "user_id, ts AS _event_ts, event_id, event_type, value"
 
 ORACLE = {
@@ -597,9 +623,11 @@ ORACLE = {
     "training_from_store": _asof(["click"]),
     "offline_roundtrip": f"SELECT {EVENT_LOG} FROM events",
     "evolved_scan": f"""SELECT {EVENT_LOG}, CASE WHEN {AFTER} THEN {K} END AS k FROM events""",
+    "compacted_scan": f"SELECT {EVENT_LOG} FROM events",
     "dedup_features": f"SELECT DISTINCT {EVENT_LOG} FROM events",
     "replay_fewer_dates": f"SELECT {EVENT_LOG} FROM events WHERE {AFTER}",
     "evolution_checked": f"SELECT {EVENT_LOG}, 2 AS refused FROM events",
+    "missing_columns": "SELECT count(*) AS rows, 'event_log: missing columns [''_event_ts'', ''value'']' AS refused FROM events",
     "latest_view": _fold(ISLANDS),
     "latest_event_time": _fold(LATE, "ts, event_id"),
     "latest_ttl": LATEST_TTL,
@@ -608,6 +636,7 @@ ORACLE = {
     "model_features": MODEL_FEATURES,
     "feature_age": FEATURE_AGE,
     "kv_export": _kv_export(),
+    "kv_changes": _kv_export(),
     "kv_decode": KV_DECODE,
     "transform_dead_letter": DEAD_LETTER,
     "ingest_stats": INGEST_STATS,
@@ -618,6 +647,7 @@ ORACLE = {
     "bounded_batches": BOUNDED_BATCHES,
     "stream_stats": INGEST_STATS,
     "quantile_edges": QUANTILES,
+    "sketch_edges": SKETCH_EDGES,
     "histogram": HISTOGRAM,
     "psi": _psi(["value"], OLD_VALUES, NEW_VALUES),
     "psi_shifted": _psi(
@@ -641,8 +671,10 @@ ORACLE = {
     "cohort_split": COHORTS,
     "predict_counts": PREDICT_COUNTS,
     "latency_histogram": _latency("value / 500", PREDICT_BUCKETS),
+    "latency_quantiles": LATENCY_QUANTILES,
     "fetch_histogram": _latency("value / 2000", FEATURE_FETCH_BUCKETS),
     "batch_score": BATCH_SCORE,
+    "pipeline_score": PIPELINE_SCORE,
     "shadow_agreement": SHADOW_AGREEMENT,
     "request_score": REQUEST_SCORE,
     "request_age": REQUEST_AGE,
