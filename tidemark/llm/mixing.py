@@ -54,10 +54,11 @@ def share_targets(masses: DataFrame, level: str, weights: list[int], cap: float)
         .withColumn("_capped_before", F.sum(F.lit(float(cap)) * F.col("mass")).over(upto) - F.lit(float(cap)) * F.col("mass"))
         .withColumn("_weight_left", F.sum("_weight").over(by_bound.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     )
+    ranked = ranked.withColumn("_rank", F.row_number().over(by_bound))
     # The level with this row as the first uncapped one; it holds from the first row where
-    # it stays below the row's own bound.
+    # it stays below the row's own bound. Equal bounds are told apart by their rank.
     level_here = (F.col("_total") - F.col("_capped_before")) / F.col("_weight_left")
-    water = F.min(F.when(level_here <= F.col("_bound"), F.struct("_bound", level_here.alias("t"))))
+    water = F.min(F.when(level_here <= F.col("_bound"), F.struct("_rank", level_here.alias("t"))))
     return ranked.withColumn("_water", water.over(everything)["t"]).select(
         level,
         "mass",
