@@ -138,9 +138,23 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_
 FROM base b LEFT JOIN inside i ON b.doc_id = i.doc_id
 """
 
+# Five hexadecimal digits of a digest are four base-32 symbols.
+BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + CAST((CAST(concat('0x', substr(s, CAST(i // 4 * 5 + 1 AS BIGINT), 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '')"""
+WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS s,
+  min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRINGS,
     "op5_minmax_hash": NEAR,
     "op9_quality_rules": QUALITY,
     "op10_suffix_dedup": SUFFIXES,
+    "op11_warc": WARC,
 }
