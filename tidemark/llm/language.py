@@ -109,6 +109,7 @@ def learn_profiles(docs: DataFrame, lang: str = "lang", text: str = "text", size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tx.release()
             named = batch.column(0).dictionary_encode()
             group = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             _, off = tx.bytes_of(batch.column(1))
@@ -174,16 +175,19 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", size: int
     place of columns of these names; the text is not changed."""
     base = docs.drop("lang_pred", "score")
     names = base.columns
+    # The text goes through the task once, and is lower-cased there.
+    place = names.index(text)
     schema = T.StructType([*base.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(len(names))
+            tx.release()
+            column = batch.column(place)
             _, off = tx.bytes_of(column)
             for lo, hi in tx.slices(off, _SLICE):
                 for a in range(lo, hi, 1 << 16):
                     b = min(hi, a + (1 << 16))
-                    found, used = distances([x or "" for x in column.slice(a, b - a).to_pylist()], profiles, size)
+                    found, used = distances([(x or "").lower() for x in column.slice(a, b - a).to_pylist()], profiles, size)
                     if profiles.names:
                         best = found.argmin(axis=1)
                         score = np.where(used > 0, 1 - found[np.arange(b - a), best] / np.maximum(used * size, 1), 0.0)
@@ -193,7 +197,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", size: int
                     kept = [batch.column(i).slice(a, b - a) for i in range(len(names))]
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(label, pa.string()), pa.array(np.clip(score, 0, 1))], names=schema.names)
 
-    return base.withColumn("_lower", F.lower(docs[text])).mapInArrow(predict, schema)
+    return base.mapInArrow(predict, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

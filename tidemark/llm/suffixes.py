@@ -421,15 +421,18 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
     cuts = splitters(docs, parts, shape, doc_id, text)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
+        tx.release()
         names, _, _ = _local(read_block(table, shape), size)
         raw = names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
         full = names << np.uint64(64 - 8 * size)
         return bl.table_of([(p, key[0].as_py(), SEEN, raw[a:z].tobytes()) for p, a, z in bl.cut_by_part(bl.part_of(full, parts), parts)])
 
     def seen(table: pa.Table) -> pa.Table:
+        tx.release()
         return _seen(table, parts, size)
 
     def send(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+        tx.release()
         if not table.num_rows:
             return bl.table_of([])
         b = read_block(table, shape)
@@ -438,6 +441,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
         return bl.table_of([(p, key[0].as_py(), RUNS, front_code(found[a:z], least[a:z])) for p, a, z in bl.cut_by_part(part, parts)])
 
     def merge(table: pa.Table) -> pa.Table:
+        tx.release()
         senders = table.column("block").to_pylist()
         runs = [read_run(x, shape.width) for x in table.column("body").to_pylist()]
         strings = [(np.ascontiguousarray(r).view(f"V{shape.width}").ravel().tolist(), s.tolist()) for r, s, _ in runs]
@@ -456,6 +460,7 @@ def dedup_suffixes(docs: DataFrame, span: int = 50, doc_id: str = "doc_id", text
         return bl.table_of([(s, me, PLACES, bl.pack(bits[e - n : e])) for s, n, e in zip(senders, counts.tolist(), ends.tolist(), strict=True)])
 
     def remove(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
+        tx.release()
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
         out: dict[str, list] = {c: [] for c in names}
         order = pa.array(np.argsort(bl.doc_ids(table.column("doc_id")), kind="stable"))

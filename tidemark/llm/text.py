@@ -6,6 +6,7 @@ Texts stay UTF-8 bytes. A word is a maximal run of bytes other than space and
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -75,6 +76,16 @@ def slices(off: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         lo = hi
 
 
+def release() -> None:
+    """Give memory that earlier work of this process has freed back to the system. Workers are
+    used again, stage after stage, and share an executor's memory with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
