@@ -169,6 +169,43 @@ def test_items_in_blocks_and_reads_are_found_alike(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()} >= wanted
 
 
+def test_the_space_is_fitted_on_all_documents(spark, monkeypatch):
+    # More than 8 MB of packed words; no two documents have the same places.
+    rows = [(i, "unknown " * i + "alpha beta gamma delta even " * 6_000) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha even beta gamma delta epsilon")], "item_id long, text string")
+    fitted, plain = [], dc.latent_space
+
+    def fit(hits, items, to, idf, **more):
+        fitted.append((hits.count(), dc.total_bytes(hits)))
+        return plain(hits, items, to, idf, **more)
+
+    monkeypatch.setattr(dc, "latent_space", fit)
+    dc.find_leaks(docs, bench).collect()
+    assert fitted == [(80, 80 * 30_000 * 4)]
+
+
+def test_products_are_those_of_the_passages(spark):
+    draw = random.Random(14)
+    texts = [fx.sentence(draw, n) for n in (1, 15, 16, 17, 40, 200)]
+    # A cell without a word of the benchmark ends a passage.
+    texts += [f"{texts[3]} {'... '.join(['unknown'] * 40)} {texts[4]}"]
+    items = dc.read_items([(1, " ".join(texts[:5]).lower())])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits = dc.find_words(docs, items.vocabulary)
+    size = len(items.vocabulary)
+    idf = np.random.default_rng(1).random(size)
+    idf[::3] = 0
+    rows = []
+    for r in hits.collect():
+        place, word = np.frombuffer(r.places, np.int32) // dc.CELL, np.frombuffer(r.words, np.int32)
+        rows += [np.bincount(word[(place == c) | (place == c + 1)], minlength=size) * idf for c in np.unique(place)]
+    x, right = np.array(rows), np.random.default_rng(2).standard_normal((size, 5))
+    to = np.arange(size, dtype=np.int32)
+    assert np.allclose(dc._product(hits, to, idf, right, gram=False), x.T @ (x @ right), atol=1e-3)
+    assert np.allclose(dc._product(hits, to, idf, right, gram=True), right.T @ x.T @ x @ right, atol=1e-3)
+
+
 def test_the_space_decides_candidates():
     draw = np.random.default_rng(2)
     texts = [" ".join(f"w{j}" for j in draw.integers(0, 200, 30)) for _ in range(20)]

@@ -6,9 +6,9 @@ neighbouring cells each. Passages are TF-IDF vectors with document counts from t
 corpus. A randomised singular value decomposition finds their main directions, fewer than
 there are pieces: the matrix of passages is multiplied with a random one in one pass, and
 with the orthonormal basis of that in another; only sums over passages, as large as the
-vocabulary, leave a task. The space is fitted on the passages of a hash sample of the
-documents, at most about ``FIT_BYTES`` of packed words; benchmark pieces are rows of the
-matrix too, weighted up to the weight of the passages. Every document is searched.
+vocabulary, leave a task. The space is fitted on the passages of all documents; benchmark
+pieces are rows of the matrix too, weighted up to the weight of the passages. Every document
+is searched.
 
 Each piece is compared with the windows of a text that have its own length and begin at
 one of its words. A window is a candidate if it holds ``SHARE`` of the piece's words, and
@@ -50,8 +50,9 @@ CELL = 16
 #: Pieces for each direction of the space, and the most directions; the basis has some more
 #: while it is found.
 PIECES_EACH, MOST_RANK, EXTRA = 2, 256, 16
-#: Packed words of the documents that the space is fitted on.
-FIT_BYTES = 8 << 20
+#: While the space is fitted, a task sums products over so many bytes of packed words once
+#: there are more than ``FIT_TASKS`` tasks: a sum is as large as the vocabulary.
+FIT_BYTES, FIT_TASKS = 256 << 20, 256
 #: Weight of all pieces against that of all passages when the space is found.
 PIECES = 10.0
 NEAR = 0.33
@@ -62,8 +63,8 @@ COMMON = 0.5
 LEAST_WORDS = 5
 #: Items whose documents are read in one go, and items searched in one go over what was read.
 READ_ITEMS, ITEMS = 30_000, 300
-#: Packed words that one task sums products over; a sum is as large as the vocabulary.
-TASK_BYTES = 256 << 20
+#: Vectors of a run that are added one after the other.
+RUN = 32
 #: Words, and windows, that are looked at at once.
 WINDOWS = 1 << 14
 _BLOCK = 64
@@ -146,13 +147,13 @@ def find_words(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
 
 
 @dataclass
-class Passages:
-    """Passages of a batch: their words as (passage, word) rows."""
+class Cells:
+    """Cells of a batch that have words: the rows of their words, where those of each cell
+    begin, and whether a cell and the next make a passage. A passage begins at each cell."""
 
     word: np.ndarray
-    #: Where each passage's words begin in ``of``, which numbers rows of ``word``.
     first: np.ndarray
-    of: np.ndarray
+    pair: np.ndarray
 
 
 @dataclass
@@ -179,17 +180,13 @@ def read_found(batch: pa.RecordBatch, to: np.ndarray | None = None) -> Found:
     return Found(place, word, bounds, doc)
 
 
-def read_passages(batch: pa.RecordBatch, to: np.ndarray) -> Passages:
-    """Passages of two neighbouring cells."""
+def read_cells(batch: pa.RecordBatch, to: np.ndarray) -> Cells:
     f = read_found(batch, to)
     doc, cell = f.doc, f.place // CELL
     new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (cell[1:] != cell[:-1])]) if len(doc) else np.zeros(0, np.int64)
-    if not len(new):
-        return Passages(f.word, new, new)
-    own, at, ends = doc[new], cell[new], np.r_[new[1:], len(f.word)]
-    pair = np.r_[(own[1:] == own[:-1]) & (at[1:] == at[:-1] + 1), False]
-    length = np.where(pair, np.r_[ends[1:], 0], ends) - new
-    return Passages(f.word, np.r_[0, np.cumsum(length)[:-1]].astype(np.int64), tx.ranges(new, length))
+    own, at = doc[new], cell[new]
+    pair = np.r_[(own[1:] == own[:-1]) & (at[1:] == at[:-1] + 1), False][: len(new)]
+    return Cells(f.word, new, pair)
 
 
 def inverse_frequencies(counts: np.ndarray, documents: int) -> np.ndarray:
@@ -200,25 +197,27 @@ def _sums(vectors: np.ndarray, of: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of the vectors ``of`` each run; runs begin at ``first``, none is empty.
 
     All runs add their next vector at once, the longest first: whole rows are added, which
-    is several times faster than reducing run by run.
+    is several times faster than reducing run by run. Runs of over ``RUN`` vectors are summed
+    in parts, and the parts as runs again.
     """
     if not len(first):
         return np.zeros((0, vectors.shape[1]), np.float32)
     length = np.diff(np.r_[first, len(of)])
+    if length.max() > RUN:
+        parts = -(-length // RUN)
+        begin = np.r_[0, np.cumsum(parts)[:-1]]
+        inside = np.arange(parts.sum()) - np.repeat(begin, parts)
+        some = _sums(vectors, of, np.repeat(first, parts) + RUN * inside)
+        return _sums(some, np.arange(len(some)), begin)
     order = np.argsort(-length, kind="stable")
     length, first = length[order], first[order]
     out = vectors[of[first]]
+    row = np.empty_like(out)
     for j in range(1, int(length[0])):
         more = int(np.searchsorted(-length, -j, "left"))
-        out[:more] += vectors[of[first[:more] + j]]
-    back = np.empty_like(out)
-    back[order] = out
-    return back
-
-
-def _vectors(p: Passages, vectors: np.ndarray) -> np.ndarray:
-    """The vector of each passage, from those of its words."""
-    return _sums(vectors, p.word[p.of], p.first)
+        out[:more] += np.take(vectors, of[first[:more] + j], axis=0, out=row[:more], mode="clip")
+    row[order] = out
+    return row
 
 
 def _each_batch(batches: Iterator[pa.RecordBatch], size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -273,19 +272,23 @@ def _product(hits: DataFrame, to: np.ndarray, idf: np.ndarray, right: np.ndarray
         rows = -(-(width if gram else size) // _BLOCK) * _BLOCK
         total = np.zeros((rows, width), np.float64 if gram else np.float32)
         for batch in _each_batch(batches):
-            p = read_passages(batch, to)
-            if not len(p.first):
+            c = read_cells(batch, to)
+            if not len(c.first):
                 continue
-            y = _vectors(p, vectors)
+            # Each word is added once, to its cell; a passage is the sum of its cells.
+            y = _sums(vectors, c.word, c.first)
+            y[:-1] += np.where(c.pair[:-1, None], y[1:], np.float32(0))
             if gram:
                 total[:width] += y.T @ y
                 continue
-            word = p.word[p.of]
-            passage = np.repeat(np.arange(len(p.first)), np.diff(np.r_[p.first, len(p.of)]))
-            order = np.argsort(word, kind="stable")
-            word, passage = word[order], passage[order]
+            # A cell's words are in the passage that begins at it, and in the one before.
+            of_cell = y.copy()
+            of_cell[1:] += np.where(c.pair[:-1, None], y[:-1], np.float32(0))
+            cell = np.repeat(np.arange(len(c.first)), np.diff(np.r_[c.first, len(c.word)]))
+            order = np.argsort(c.word, kind="stable")
+            word, cell = c.word[order], cell[order]
             new = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            total[word[new]] += idf[word[new], None] * _sums(y, passage, new)
+            total[word[new]] += idf[word[new], None] * _sums(of_cell, cell, new)
         blocks = total.reshape(-1, _BLOCK, width)
         filled = np.flatnonzero(np.abs(blocks).sum(axis=(1, 2)))
         body = pa.array([blocks[i].astype(np.float32).tobytes() for i in filled], pa.binary())
@@ -366,6 +369,8 @@ def near_windows(f: Found, p: Pieces, idf: np.ndarray, near: float) -> tuple[np.
     jump = np.r_[0, (f.place[1:] < f.place[:-1]) | (f.doc[1:] != f.doc[:-1])][: len(f.doc)]
     shift = np.cumsum(np.where(jump, np.r_[0, f.place[:-1]][: len(f.doc)] + CELL + 1, 0))
     place = f.place + shift.astype(np.int64)
+    sizes, sized = np.unique(p.size, return_inverse=True)
+    adds, squares = p.adds.ravel(), idf**2
     out = []
     for a in range(0, len(place), WINDOWS):
         # Windows that begin here may end in the next chunk.
@@ -380,13 +385,15 @@ def near_windows(f: Found, p: Pieces, idf: np.ndarray, near: float) -> tuple[np.
         begin = np.searchsorted(here, key & ((1 << 40) - 1))
         own = begin < z - a
         begin, piece = begin[own], piece[own]
+        # Where windows of each size end, for each word that they may begin at.
+        ends = np.array([np.searchsorted(here, here + size) for size in sizes])
         for lo in range(0, len(begin), WINDOWS):
             b, q = begin[lo : lo + WINDOWS], piece[lo : lo + WINDOWS]
-            n = np.searchsorted(here, here[b] + p.size[q]) - b
+            n = ends[sized[q], b] - b
             inside, start = word[tx.ranges(b, n)], np.r_[0, np.cumsum(n)[:-1]]
-            like = np.add.reduceat(p.adds[inside, np.repeat(q, n)].astype(np.float64), start)
+            like = np.add.reduceat(adds[inside.astype(np.int64) * len(p.size) + np.repeat(q, n)].astype(np.float64), start)
             # Equal words lengthen a window further; those that fail before that need not be looked at.
-            norm = np.sqrt(np.add.reduceat((idf**2)[inside], start))
+            norm = np.sqrt(np.add.reduceat(squares[inside], start))
             maybe = np.flatnonzero(like >= near * np.minimum(norm, p.length[q]))
             if not len(maybe):
                 continue
@@ -540,17 +547,16 @@ def find_leaks(
             continue
         hits = work.save(find_words(named, whole.vocabulary), f"hits_{r}")
         counts = document_counts(hits, len(whole.vocabulary))
-        share = max(1, -(-total_bytes(hits) // FIT_BYTES))
-        fitted = hits.where(F.pmod(F.xxhash64("places", "words"), F.lit(share)) == 0)
-        fitted = work.save(fitted.select("places", "words").coalesce(16), f"fitted_{r}")
+        # Fewer, larger tasks for the same rows.
+        passages = hits.coalesce(max(FIT_TASKS, -(-total_bytes(hits) // FIT_BYTES)))
         for lo in range(0, len(whole.ids), ITEMS):
             items, to = some_items(whole, range(lo, min(lo + ITEMS, len(whole.ids))))
             mine = counts[to >= 0]
             idf = inverse_frequencies(mine, documents)
-            space = latent_space(fitted, items, to, idf)
+            space = latent_space(passages, items, to, idf)
             found = search(hits, items, to, mine, idf, space, near, verbatim, paraphrase)
             out.append(work.save(found, f"leaks_{r}_{lo}"))
-        work.drop(f"hits_{r}", f"fitted_{r}")
+        work.drop(f"hits_{r}")
     if not out:
         return spark.createDataFrame([], _LEAKS)
     together = out[0]
