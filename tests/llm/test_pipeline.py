@@ -3,6 +3,7 @@ from collections import Counter
 import brute
 import corpus_pipeline as cp
 import fixtures as fx
+from tidemark.llm import decontam as dc
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +47,19 @@ def test_stages_take_awkward_and_empty_tables(spark, tmp_path):
             docs = spark.read.parquet(f"{tmp_path}/{label}/{name}")
             assert name == "mix" or docs.columns == columns
         assert docs.count() == (2 if label == "awkward" else 0)
+
+
+def test_decontaminate_fits_its_space_on_all_documents(spark, tmp_path, monkeypatch):
+    # More than 8 MB of packed words; no two documents have the same places.
+    rows = [(i, "unknown " * i + "alpha beta gamma delta even " * 6_000) for i in range(80)]
+    bench = spark.createDataFrame([(1, "alpha even beta gamma delta epsilon")], "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    fitted, plain = [], dc.latent_space
+
+    def fit(hits, items, to, idf, **more):
+        fitted.append(hits.count())
+        return plain(hits, items, to, idf, **more)
+
+    monkeypatch.setattr(dc, "latent_space", fit)
+    cp.decontaminate(spark, fx.documents(spark, rows), str(tmp_path)).collect()
+    assert fitted == [80]
