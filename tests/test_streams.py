@@ -129,6 +129,40 @@ def test_state_equals_all_writes_in_any_batches(ttl, seed):
         watermark = max(watermark, (newest - 6 * SECOND) // 1000)
 
 
+@pytest.mark.parametrize("ttl", [0, 7])
+def test_a_micro_batch_reads_and_writes_an_entity_once(ttl):
+    calls = []
+
+    class Counted(Handle):
+        def registerTimer(self, at):
+            calls.append("register")
+            super().registerTimer(at)
+
+        def deleteTimer(self, at):
+            calls.append("delete")
+            super().deleteTimer(at)
+
+        def _state(self, state):
+            for name in ("iterator", "updateValue", "removeKey", "exists", "get", "update", "clear"):
+                if hasattr(state, name):
+                    setattr(state, name, lambda *a, f=getattr(state, name), n=name: (calls.append(n), f(*a))[1])
+            return state
+
+        def getMapState(self, *_):
+            return self._state(Map())
+
+        def getValueState(self, *_):
+            return self._state(Value())
+
+    p = stateful._Latest(group(ttl))
+    p.init(Counted())
+    for i in range(3):
+        calls.clear()
+        rows = [("key", at - at % (7 * SECOND), at, at, at, i, at, i, i, None, None, None, None) for at in range(20 * i * SECOND, 20 * (i + 1) * SECOND, 4 * SECOND)]
+        list(p.handleInputRows(("key",), iter(rows), Times(20_000 * i)))
+        assert sorted(calls) == sorted(["get", "update"] + (["register"] + ["delete"] * (i > 0) if ttl else []))
+
+
 KIND = "id string, a long, b string, _event_ts timestamp_ntz, _write_ts timestamp_ntz, _seq long"
 
 

@@ -1,6 +1,7 @@
 """The latest value of each entity, kept in the stream's own state.
 
-One state per entity, in RocksDB: a map from ttl cells to folded writes. Writes are
+One state per entity, in RocksDB: its ttl cells with their folded writes, and its timer, as
+one value that is read and written once for each micro-batch it has rows in. Writes are
 folded inside each task before they are shuffled, so an entity that holds a third of a
 micro-batch arrives as a few rows. Within an entity the rules are those of
 ``operators.latest``: fields merge by arrival, and a pause of at least ttl wipes the record.
@@ -106,12 +107,20 @@ class _Latest(StatefulProcessor):
         self.ttl = fg.ttl_seconds * 1_000_000
         self.width = len(fg.features)
         self.schema = T.StructType(_cell_fields(fg))
+        cell = T.StructType([T.StructField(CELL, T.LongType()), *self.schema.fields])
+        self.kept = T.StructType([T.StructField("timer", T.LongType()), T.StructField("cells", T.ArrayType(cell))])
+        #: The cells of the entity handled last.
+        self.cells: dict[int, tuple] = {}
         self.row = Row(fg.entity, *fg.feature_names, EVENT_TS, LAST_WRITE, EXPIRED)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cells = handle.getMapState("cells", "cell long", self.schema)
-        self.timer = handle.getValueState("timer", "at long")
+        self.state = handle.getValueState("record", self.kept)
+
+    def _read(self) -> tuple[int | None, dict[int, tuple]]:
+        """An entity's timer and cells. Each call to a state goes from Python to the JVM and back."""
+        found = self.state.get()
+        return (found[0], {c[0]: tuple(c[1:]) for c in found[1]}) if found else (None, {})
 
     def merged(self, a: tuple | None, b: tuple) -> tuple:
         """Two folds of writes in one; merging one again changes nothing."""
@@ -150,41 +159,35 @@ class _Latest(StatefulProcessor):
         return out
 
     def handleInputRows(self, key: tuple, rows: Iterator, timerValues: object) -> Iterator:
-        before = {k[0]: tuple(v) for k, v in self.cells.iterator()}
+        timer, before = self._read()
         cells = dict(before)
         for row in rows:
             values = tuple(row)
             # An entity, its cell and the fold; the event time of the watermark comes last.
             cells[values[1]] = self.merged(cells.get(values[1]), values[2 : 2 + len(self.schema)])
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        cells = self.settled(cells, watermark)
-        for k in before.keys() - cells.keys():
-            self.cells.removeKey((k,))
-        for k, v in cells.items():
-            if before.get(k) != v:
-                self.cells.updateValue((k,), v)
+        self.cells = cells = self.settled(cells, watermark)
         whole = None
         for k in self.islands(cells)[-1]:
             whole = self.merged(whole, cells[k])
-        if self.ttl > 0:
-            self._set_timer(whole[1])
+        ends = self._move_timer(timer, whole[1]) if self.ttl > 0 else None
+        if ends != timer or cells != before:
+            self.state.update((ends, [(k, *v) for k, v in cells.items()]))
         values = [whole[6 + 3 * i] for i in range(self.width)]
         yield self.row(key[0], *values, whole[2], whole[1], False)
 
-    def _set_timer(self, last: int) -> None:
+    def _move_timer(self, old: int | None, last: int) -> int:
         ends = -(-(last + self.ttl) // 1000)
-        if self.timer.exists():
-            old = self.timer.get()[0]
-            if old == ends:
-                return
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(ends)
-        self.timer.update((ends,))
+        if old != ends:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(ends)
+        return ends
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator:
-        last = max(v[1] for _, v in self.cells.iterator())
-        self.cells.clear()
-        self.timer.clear()
+        last = max(v[1] for v in self._read()[1].values())
+        self.cells = {}
+        self.state.clear()
         yield self.row(key[0], *[None] * self.width, None, last, True)
 
     def close(self) -> None:
