@@ -8,6 +8,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tidemark.operators import modelstore as store
+from tidemark.plans import catalog
 from tidemark.operators import sketches
 from tidemark.operators.scoring import FAILED, NOT_LOADED, linear_predictor, score
 
@@ -103,3 +104,17 @@ def test_gaps_are_zero_for_exact_values_and_large_for_others(spark):
 def test_sketches_without_values(spark):
     nothing = spark.createDataFrame([], "v double, ts timestamp")
     assert sketches.sketch_edges(sketches.sketch_days(nothing, ["v"], "ts")).count() == 0
+
+
+def test_models_are_fitted_on_a_view_folded_once(spark, monkeypatch):
+    read, plain = [], store.fit_pipeline
+
+    def fit(training, *rest):
+        read.append(training.inputFiles())
+        return plain(training, *rest)
+
+    monkeypatch.setattr(store, "fit_pipeline", fit)
+    assert catalog.pipeline_score(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(read) == len(catalog.STORED)
+    assert read[0] and all(files == read[0] for files in read)
+    assert not any("events.parquet" in f for f in read[0])

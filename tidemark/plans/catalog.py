@@ -982,7 +982,11 @@ def pipeline_score(spark: SparkSession, sf: str) -> DataFrame:
     target; what was measured comes from the store."""
     root = new_run_dir(spark, "models")
     writes = wide_writes(spark, sf).withColumn("entity_id", F.concat(F.lit("u_"), F.col("user_id").cast("string")))
-    view = lv.latest_view(SERVED, writes)
+    # Fits, measures and requests read the view, which is folded from all writes once.
+    kept = f"{new_run_dir(spark, 'model-view')}/view"
+    latest = lv.latest_view(SERVED, writes)
+    latest.write.parquet(kept)
+    view = spark.read.schema(latest.schema).parquet(kept)
     order = ["click", "view"]
     for version, (a, b, c) in STORED.items():
         target = F.lit(a) * F.coalesce("click", F.lit(0.0)) + F.lit(b) * F.coalesce("view", F.lit(0.0)) + F.lit(c)
