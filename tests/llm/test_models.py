@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,6 +221,78 @@ def test_the_space_decides_candidates():
     assert set(zip(low[0], low[1])) != set(zip(full[0], full[1]))
 
 
+def _windows_by_the_word(f, items, idf, space, near):
+    """All windows near a piece, one by one: (row, piece) to cosine."""
+    found, vectors = {}, dc.piece_vectors(items, idf)
+    for q, (i, a, b) in enumerate(zip(items.piece_item, items.piece_from, items.piece_to)):
+        own, size = {w for w in items.words[i][a:b].tolist() if idf[w]}, b - a
+        unit = vectors[q] @ space / max(np.linalg.norm(vectors[q] @ space), 1e-12)
+        least = max(1, int(np.ceil(dc.SHARE * (idf[items.words[i][a:b]] > 0).sum())))
+        for row in range(len(f.word)):
+            inside = (f.doc == f.doc[row]) & (f.place >= f.place[row]) & (f.place < f.place[row] + size)
+            if f.word[row] not in own or sum(w in own for w in f.word[inside].tolist()) < least:
+                continue
+            x = np.bincount(f.word[inside], minlength=len(idf)) * idf
+            if x @ space @ unit >= near * min(np.linalg.norm(x), np.linalg.norm(vectors[q])):
+                found[row, q] = x @ space @ unit / np.linalg.norm(x)
+    return found
+
+
+def test_windows_are_those_found_one_by_one(monkeypatch):
+    draw = np.random.default_rng(8)
+    items = dc.read_items([(i, " ".join(f"w{j}" for j in draw.integers(0, 60, n))) for i, n in enumerate((5, 7, 15, 16, 16, 21, 50))])
+    idf = draw.random(len(items.vocabulary))
+    idf[::7] = 0
+    space, _ = np.linalg.qr(draw.standard_normal((len(idf), 12)))
+    n = 600
+    words, doc = draw.integers(0, len(idf), n).astype(np.int32), np.sort(draw.integers(0, 9, n))
+    # Gaps of every width, some far wider than a window.
+    step = np.where(draw.random(n) < 0.9, draw.integers(1, 4, n), draw.integers(10, 10**6, n))
+    place = np.concatenate([np.cumsum(step[doc == d]) for d in range(9)]).astype(np.int32)
+    f = dc.Found(place, words, np.searchsorted(doc, np.arange(10)), doc)
+    for size in (dc.WINDOWS, 50):
+        monkeypatch.setattr(dc, "WINDOWS", size)
+        row, piece, cosine = dc.near_windows(f, dc.prepare(items, idf, space), idf, 0.2)
+        wanted = _windows_by_the_word(f, items, idf, space, 0.2)
+        found = dict(zip(zip(row.tolist(), piece.tolist()), cosine.tolist()))
+        assert len(found) == len(row) > 20 and found.keys() == wanted.keys()
+        assert all(found[k] == pytest.approx(wanted[k], abs=1e-5) for k in wanted)
+
+
+class _InThisProcess:
+    """Stands for a table whose task is called by the test."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, task, schema):
+        return task
+
+
+def test_surroundings_without_the_answer_are_not_compared(monkeypatch):
+    item = [f"w{i}" for i in range(20)]
+    items = dc.read_items([(1, " ".join(item))])
+    number = {w: int(np.searchsorted(items.vocabulary, dc.read_items([(0, w)]).vocabulary[0])) for w in item}
+    texts = [[w for w in item if w not in item[i : 16 : 4]] for i in range(4)]
+    # Two thirds of the item without its answer, backwards too.
+    texts += [item[:13], item[12::-1], item]
+    places = [np.arange(len(x), dtype=np.int32).tobytes() for x in texts]
+    packed = [np.array([number[w] for w in x], np.int32).tobytes() for x in texts]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "places": pa.array(places, pa.binary()), "words": pa.array(packed, pa.binary())})
+    idf, compared, plain = np.ones(20), [], dc.common_subsequence
+
+    def compare(whole, text):
+        compared.append(len(text))
+        return plain(whole, text)
+
+    monkeypatch.setattr(dc, "common_subsequence", compare)
+    task = dc.search(_InThisProcess(), items, np.arange(20, dtype=np.int32), np.ones(20, np.int64), idf, np.eye(20), dc.NEAR, 0.75, 0.5)
+    found = {d: c for out in task(iter([batch])) for d, c in zip(out["doc_id"].to_pylist(), out["coverage"].to_pylist())}
+    assert found == {i: pytest.approx(len(texts[i]) / 20) for i in (0, 1, 2, 3, 6)}
+    # None for the two without the answer, two for each that is found and no copy.
+    assert len(compared) == 8
+
+
 def test_leaks_without_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")

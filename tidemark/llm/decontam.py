@@ -61,12 +61,16 @@ SHARE = 0.25
 #: Words in more than this share of documents don't count for retrieval (they do for coverage).
 COMMON = 0.5
 LEAST_WORDS = 5
+#: Share of a paraphrased item's answer that is found in order.
+ANSWER = 0.8
 #: Items whose documents are read in one go, and items searched in one go over what was read.
 READ_ITEMS, ITEMS = 30_000, 300
 #: Vectors of a run that are added one after the other.
 RUN = 32
 #: Words, and windows, that are looked at at once.
 WINDOWS = 1 << 14
+#: Words of surroundings that are compared at once.
+PLACES = 1 << 19
 _BLOCK = 64
 _LEAKS = "doc_id long, item_id long, cosine double, coverage double, answer double, word_start long"
 
@@ -342,12 +346,22 @@ class Pieces:
     size: np.ndarray
     #: Least number of own words in a window.
     least: np.ndarray
-    #: Pieces that hold a word: those of word w are pieces[first[w] : first[w + 1]].
+    #: Pieces by size and least number, and where those begin that are alike in both (and the end).
+    order: np.ndarray
+    alike: np.ndarray
+    #: Pieces that hold a word: those of word w are keys[first[w] : first[w + 1]], as places in
+    #: ``order`` above ``_KEY`` bits for a place in the text.
     first: np.ndarray
-    pieces: np.ndarray
+    keys: np.ndarray
     length: np.ndarray
     #: (vocabulary, piece): what a word adds to the product with the piece's unit latent vector.
     adds: np.ndarray
+    #: More than a sum of these in short numbers loses.
+    slack: float
+
+
+#: Bits for the places of words that are looked at at once; wider gaps count as ``CELL`` + 1.
+_KEY = ((WINDOWS + CELL + 1) * (CELL + 1)).bit_length()
 
 
 def prepare(items: Items, idf: np.ndarray, space: np.ndarray) -> Pieces:
@@ -360,79 +374,162 @@ def prepare(items: Items, idf: np.ndarray, space: np.ndarray) -> Pieces:
     counted = np.array([(idf[items.words[i][a:b]] > 0).sum() for i, a, b in zip(items.piece_item, items.piece_from, items.piece_to, strict=True)])
     first = np.searchsorted(word, np.arange(len(items.vocabulary) + 1))
     least = np.maximum(1, np.ceil(SHARE * counted)).astype(np.int64)
-    return Pieces(items.piece_to - items.piece_from, least, first, piece, np.linalg.norm(vectors, axis=1), adds)
+    size = items.piece_to - items.piece_from
+    order = np.lexsort((least, size))
+    alike = np.flatnonzero(np.r_[True, (np.diff(size[order]) != 0) | (np.diff(least[order]) != 0), True]) if len(order) else np.zeros(1, np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # Short keys are sorted twice as fast.
+    keys = (rank[piece] << _KEY).astype(np.uint32 if len(order) << _KEY <= 1 << 32 else np.uint64)
+    return Pieces(size, least, order, alike, first, keys, np.linalg.norm(vectors, axis=1), adds, 1e-4 * float(np.abs(adds).max(initial=0)))
+
+
+def _likes(word: np.ndarray, begin: np.ndarray, n: np.ndarray, piece: np.ndarray, p: Pieces) -> np.ndarray:
+    """Products of windows of ``n`` words with pieces, in short numbers: all windows add their
+    next word at once, the longest first."""
+    order = np.argsort(-n.astype(np.int8), kind="stable")
+    longest, base = n[order], word.astype(np.int64) * len(p.size)
+    begin, piece, adds = begin[order], piece[order], p.adds.ravel()
+    out = adds[base[begin] + piece]
+    for j in range(1, int(longest[0])):
+        more = int(np.searchsorted(-longest, -j, "left"))
+        out[:more] += adds[base[begin[:more] + j] + piece[:more]]
+    like = np.empty_like(out)
+    like[order] = out
+    return like
 
 
 def near_windows(f: Found, p: Pieces, idf: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of the first word, piece, cosine) of all windows near a piece."""
+    out = []
+    if not len(p.size) or not len(f.word):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     # Places that run on from document to document, with gaps wider than a window.
-    jump = np.r_[0, (f.place[1:] < f.place[:-1]) | (f.doc[1:] != f.doc[:-1])][: len(f.doc)]
-    shift = np.cumsum(np.where(jump, np.r_[0, f.place[:-1]][: len(f.doc)] + CELL + 1, 0))
-    place = f.place + shift.astype(np.int64)
+    step = np.where(np.diff(f.doc) != 0, CELL + 1, np.minimum(np.diff(f.place), CELL + 1))
+    place = np.r_[0, np.cumsum(step, dtype=np.int64)]
     sizes, sized = np.unique(p.size, return_inverse=True)
     adds, squares = p.adds.ravel(), idf**2
-    out = []
     for a in range(0, len(place), WINDOWS):
         # Windows that begin here may end in the next chunk.
         z, until = min(a + WINDOWS, len(place)), min(a + WINDOWS + CELL, len(place))
         word, here = f.word[a:until], place[a:until] - place[a]
         n = p.first[word + 1] - p.first[word]
-        key = np.sort((p.pieces[tx.ranges(p.first[word], n)].astype(np.int64) << 40) | np.repeat(here, n))
-        piece = key >> 40
-        last = np.arange(len(key)) + p.least[piece] - 1
-        enough = (last < len(key)) & (key[np.minimum(last, len(key) - 1)] < key + p.size[piece])
-        key, piece = key[enough], piece[enough]
-        begin = np.searchsorted(here, key & ((1 << 40) - 1))
+        upto = np.cumsum(n)
+        at = np.arange(upto[-1]) + np.repeat(p.first[word] - upto + n, n)
+        key = np.sort(p.keys[at] | np.repeat(here.astype(p.keys.dtype), n))
+        # Pieces that ask as many words of as long a window are neighbours.
+        ends = np.searchsorted(key, (p.alike[1:-1] << _KEY).astype(key.dtype))
+        kept = []
+        for some, i in zip(np.split(key, ends), p.order[p.alike[:-1]].tolist(), strict=True):
+            more = int(p.least[i]) - 1
+            kept.append(some[: max(0, len(some) - more)][some[more:] - some[: max(0, len(some) - more)] < p.size[i]])
+        key = np.concatenate(kept).astype(np.int64)
+        # How many words stand before each place.
+        before = np.zeros(int(here[-1]) + CELL + 2, np.int64)
+        before[here + 1] = 1
+        before = np.cumsum(before)
+        begin, piece = before[key & ((1 << _KEY) - 1)], p.order[key >> _KEY]
         own = begin < z - a
         begin, piece = begin[own], piece[own]
         # Where windows of each size end, for each word that they may begin at.
-        ends = np.array([np.searchsorted(here, here + size) for size in sizes])
+        ends = np.array([before[here + size] for size in sizes])
+        sums = np.r_[0, np.cumsum(squares[word])]
+        found = []
         for lo in range(0, len(begin), WINDOWS):
             b, q = begin[lo : lo + WINDOWS], piece[lo : lo + WINDOWS]
             n = ends[sized[q], b] - b
-            inside, start = word[tx.ranges(b, n)], np.r_[0, np.cumsum(n)[:-1]]
-            like = np.add.reduceat(adds[inside.astype(np.int64) * len(p.size) + np.repeat(q, n)].astype(np.float64), start)
             # Equal words lengthen a window further; those that fail before that need not be looked at.
-            norm = np.sqrt(np.add.reduceat(squares[inside], start))
-            maybe = np.flatnonzero(like >= near * np.minimum(norm, p.length[q]))
+            norm = np.sqrt(np.maximum(sums[b + n] - sums[b] - 1e-6, 0))
+            maybe = np.flatnonzero(_likes(word, b, n, q, p) + p.slack >= near * np.minimum(norm, p.length[q]))
             if not len(maybe):
                 continue
-            b, q, n, like = b[maybe], q[maybe], n[maybe], like[maybe]
-            inside, window = word[tx.ranges(b, n)].astype(np.int64), np.repeat(np.arange(len(b)), n)
-            pairs, times = np.unique((window << 32) | inside, return_counts=True)
+            b, q, n = b[maybe], q[maybe], n[maybe]
+            inside, start = word[tx.ranges(b, n)].astype(np.int64), np.r_[0, np.cumsum(n)[:-1]]
+            like = np.add.reduceat(adds[inside * len(p.size) + np.repeat(q, n)].astype(np.float64), start)
+            pairs, times = np.unique((np.repeat(np.arange(len(b)), n) << 32) | inside, return_counts=True)
             norm = np.sqrt(np.bincount(pairs >> 32, (times * idf[pairs & ((1 << 32) - 1)]) ** 2, len(b)))
             kept = like >= near * np.minimum(norm, p.length[q])
-            out.append((a + b[kept], q[kept], (like / np.maximum(norm, 1e-9))[kept]))
+            found.append((a + b[kept], q[kept], (like / np.maximum(norm, 1e-9))[kept]))
+        if found:
+            row, piece, cosine = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((row, piece))
+            out.append((row[order], piece[order], cosine[order]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _compare_all(item: np.ndarray, place: np.ndarray, word: np.ndarray, middle: np.ndarray, verbatim: float, paraphrase: float) -> tuple[int, float, float, int] | None:
-    """(candidate, coverage, answer, start) of the surroundings that hold most of an item, if
-    it is a leak. ``place`` and ``word`` are the item's words in a text."""
-    reach = len(item) + CELL
-    lo, hi = np.searchsorted(place, middle - reach), np.searchsorted(place, middle + reach)
-    order = np.lexsort((-hi, lo))
-    lo, hi = lo[order], hi[order]
-    # Surroundings that lie in others hold no more than those.
-    widest = np.flatnonzero(np.r_[True, hi[1:] > np.maximum.accumulate(hi)[:-1]])
-    least = min(verbatim, paraphrase) * len(item)
-    answer = item[-max(3, len(item) // 5) :]
-    best = None
-    for i in widest.tolist():
-        near = word[lo[i] : hi[i]]
-        if len(near) < least or np.isin(item, near).sum() < least:
-            continue
-        coverage = common_subsequence(item, near) / len(item)
-        if coverage < min(verbatim, paraphrase) or (best and coverage <= best[1]):
-            continue
-        found = common_subsequence(answer, near) / len(answer)
-        if coverage >= verbatim or found >= 0.8:
-            best = (int(order[i]), coverage, found, int(place[lo[i]]))
-            if coverage == 1:
-                break
-    return best
+@dataclass
+class Times:
+    """How often items, and their answers, hold their words, by ``item << 32 | word``; and how
+    many words both have."""
+
+    key: np.ndarray
+    times: np.ndarray
+    in_answer: np.ndarray
+    size: np.ndarray
+    answer: np.ndarray
+
+
+def word_times(items: Items) -> Times:
+    size = np.array([len(x) for x in items.words], np.int64)
+    answer = np.minimum(size, np.maximum(3, size // 5))
+    key = (np.repeat(np.arange(len(size)), size) << 32) | np.concatenate([np.zeros(0, np.int64), *items.words])
+    key, at, times = np.unique(key, return_inverse=True, return_counts=True)
+    ends = np.cumsum(size)
+    return Times(key, times, np.bincount(at[tx.ranges(ends - answer, answer)], minlength=len(key)), size, answer)
+
+
+def _compare_all(
+    f: Found, items: Items, held: np.ndarray, t: Times, doc: np.ndarray, item: np.ndarray, middle: np.ndarray, verbatim: float, paraphrase: float
+) -> Iterator[tuple[int, float, float, int]]:
+    """(candidate, coverage, answer, start) of the surroundings that hold most of an item, for
+    each document and item that is a leak. Candidates come by document, item and middle."""
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    ends, n = np.r_[new[1:], len(doc)], f.bounds[doc[new] + 1] - f.bounds[doc[new]]
+    for one, two in tx.slices(np.r_[0, np.cumsum(n)], PLACES):
+        # The items' words in each document: pair of document and item, place and word.
+        pair = np.repeat(np.arange(one, two), n[one:two])
+        row = tx.ranges(f.bounds[doc[new[one:two]]], n[one:two])
+        own = held[item[new[pair]], f.word[row]]
+        pair, word, place = pair[own], f.word[row[own]].astype(np.int64), f.place[row[own]]
+        where = (pair << 32) | place
+        which = np.arange(new[one], ends[two - 1])
+        of = np.repeat(np.arange(one, two), (ends - new)[one:two])
+        reach = t.size[item[which]] + CELL
+        lo, hi = np.searchsorted(where, (of << 32) + middle[which] - reach), np.searchsorted(where, (of << 32) + middle[which] + reach)
+        order = np.lexsort((-hi, lo, of))
+        which, of, lo, hi = which[order], of[order], lo[order], hi[order]
+        # Surroundings that lie in others hold no more than those.
+        widest = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (hi[1:] > np.maximum.accumulate(hi)[:-1])])
+        which, of, lo, hi = which[widest], of[widest], lo[widest], hi[widest]
+        best: dict[int, tuple[int, float, float, int]] = {}
+        for k in _may_hold(word, lo, hi, item[which], t, verbatim, paraphrase).tolist():
+            whole, near, so_far = items.words[item[which[k]]], word[lo[k] : hi[k]], best.get(int(of[k]))
+            if so_far and so_far[1] == 1:
+                continue
+            coverage = common_subsequence(whole, near) / len(whole)
+            if coverage < min(verbatim, paraphrase) or (so_far and coverage <= so_far[1]):
+                continue
+            answer = whole[-max(3, len(whole) // 5) :]
+            found = common_subsequence(answer, near) / len(answer)
+            if coverage >= verbatim or found >= ANSWER:
+                best[int(of[k])] = (int(which[k]), coverage, found, int(place[lo[k]]))
+        yield from best.values()
+
+
+def _may_hold(word: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, t: Times, verbatim: float, paraphrase: float) -> np.ndarray:
+    """Surroundings word[lo : hi] that hold enough words of the item, in whatever order."""
+    out = []
+    for one, two in tx.slices(np.r_[0, np.cumsum(hi - lo)], PLACES):
+        n = (hi - lo)[one:two]
+        pairs, times = np.unique((np.repeat(np.arange(one, two), n) << 32) | word[tx.ranges(lo[one:two], n)], return_counts=True)
+        which = pairs >> 32
+        at = np.searchsorted(t.key, (item[which] << 32) | (pairs & ((1 << 32) - 1)))
+        coverage = np.bincount(which - one, np.minimum(times, t.times[at]), two - one) / t.size[item[one:two]]
+        answer = np.bincount(which - one, np.minimum(times, t.in_answer[at]), two - one) / t.answer[item[one:two]]
+        out.append(one + np.flatnonzero((coverage >= min(verbatim, paraphrase)) & ((coverage >= verbatim) | (answer >= ANSWER))))
+    return np.concatenate([np.zeros(0, np.int64), *out])
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -489,7 +586,7 @@ def copies(f: Found, s: Sequences) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(hits: DataFrame, items: Items, to: np.ndarray, counts: np.ndarray, idf: np.ndarray, space: np.ndarray, near: float, verbatim: float, paraphrase: float) -> DataFrame:
-    pieces, exact = prepare(items, idf, space), sequences(items, counts)
+    pieces, exact, times = prepare(items, idf, space), sequences(items, counts), word_times(items)
 
     def leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((len(items.words), len(items.vocabulary)), bool)
@@ -507,16 +604,11 @@ def search(hits: DataFrame, items: Items, to: np.ndarray, counts: np.ndarray, id
             doc, item, middle = f.doc[row], items.piece_item[piece], f.place[row] + pieces.size[piece] // 2
             order = np.lexsort((middle, item, doc))
             doc, item, middle, cosine = doc[order], item[order], middle[order], cosine[order]
-            new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]) if len(doc) else doc
-            for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(doc)], strict=True) if len(doc) else ():
-                d, i = int(doc[lo]), int(item[lo])
-                if (d, i) in best:
-                    continue
-                a, b = f.bounds[d], f.bounds[d + 1]
-                own = a + np.flatnonzero(held[i][f.word[a:b]])
-                found = _compare_all(items.words[i], f.place[own], f.word[own], middle[lo:hi], verbatim, paraphrase)
-                if found:
-                    best[d, i] = (float(cosine[lo + found[0]]), *found[1:])
+            if best:
+                left = ~np.isin(doc << 32 | item, [d << 32 | i for d, i in best])
+                doc, item, middle, cosine = doc[left], item[left], middle[left], cosine[left]
+            for k, *found in _compare_all(f, items, held, times, doc, item, middle, verbatim, paraphrase):
+                best[int(doc[k]), int(item[k])] = (float(cosine[k]), *found)
             if best:
                 docs, ids = [d for d, _ in best], [items.ids[i] for _, i in best]
                 cosine_, coverage_, answer_, start_ = map(list, zip(*best.values(), strict=True))
